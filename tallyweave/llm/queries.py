@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tallyweave.llm import decontaminate, mix_sources
+from tallyweave.llm import decontaminate, mix_sources, near_dedup
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_mix_sources": mix_sources.op2_mix_sources,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
 }
-ORACLE_SQL = {"op1_decontaminate": decontaminate.SQL, "op2_mix_sources": mix_sources.SQL}
+ORACLE_SQL = {"op1_decontaminate": decontaminate.SQL, "op2_mix_sources": mix_sources.SQL, "op9_near_dedup": near_dedup.SQL}
