@@ -16,7 +16,7 @@ from tallyweave.llm.common import table
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: Rows of all sources together for one block of each source.
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 10_000
 SEED = "mix-1"
 
 

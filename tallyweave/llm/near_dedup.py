@@ -27,7 +27,7 @@ SIDE = 8
 #: Shares of equal minhashes, of 32, below which a pair cannot be a link at 0.8 or more but by odds of about 1 in 1000.
 LEAST_EQUAL = 18
 PAIRS_A_ROUND = (1, 1 << 30)
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 _ALL = (1 << 64) - 1
