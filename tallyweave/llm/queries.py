@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from tallyweave.llm import decontaminate, mix_sources, near_dedup
+from tallyweave.llm import chat_format, decontaminate, mix_sources, near_dedup, toxicity, url_rules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_mix_sources": mix_sources.op2_mix_sources,
+    "op5_url_rules": url_rules.op5_url_rules,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_chat_format": chat_format.op7_chat_format,
     "op9_near_dedup": near_dedup.op9_near_dedup,
 }
-ORACLE_SQL = {"op1_decontaminate": decontaminate.SQL, "op2_mix_sources": mix_sources.SQL, "op9_near_dedup": near_dedup.SQL}
+ORACLE_SQL = {
+    "op1_decontaminate": decontaminate.SQL,
+    "op2_mix_sources": mix_sources.SQL,
+    "op5_url_rules": url_rules.SQL,
+    "op7_chat_format": chat_format.SQL,
+    "op9_near_dedup": near_dedup.SQL,
+}
