@@ -91,7 +91,7 @@ def compact(spark: SparkSession, base: str, schema, target: int = TARGET_BYTES)
     folder = f"{base}/data/{uuid.uuid4().hex}"
     old = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/data").select("*", F.col("_metadata.file_path").alias("_path"))
     todo = old.join(maybe_broadcast(plan.select(F.col("path").alias("_path"), F.col("run").alias("_run")), size[0]), "_path").drop("_path")
-    todo.repartition(max(1, size[1]), "_run").write.partitionBy("_run").option("compression", "zstd").parquet(folder)
+    todo.repartitionById(size[1], F.col("_run") - 1).write.partitionBy("_run").option("compression", "zstd").parquet(folder)
     left = entries.join(plan.select("path"), "path", "left_anti").select("path", "rows", "bytes", "tier")
     return commit(left.unionByName(_entries(spark, folder, schema)), base, version)
 
