@@ -1,2 +1,455 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""The registered queries and their SQL. Inputs are whole tables; nothing is sampled."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tallyweave.functions import vocabulary as V
+from tallyweave.functions.money import fix_ocr_digits, parse_money
+from tallyweave.functions.predicates import date_like, file_kind, header_canon, version_parts
+from tallyweave.operators import grid as G
+from tallyweave.operators import layout as L
+from tallyweave.operators import pipeline as P
+from tallyweave.operators import score as S
+from tallyweave.operators.pairs import pairs_from_text
+from tallyweave.operators.reconcile import complete, normalize_rows, reconcile, summarize
+from tallyweave.plans import synth as Y
+from tallyweave.sources.office import parse_grids
+from tallyweave.sources.sinks import ledger_files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def add(f):  # noqa: ANN001, ANN202
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_BASE = f"SELECT doc_id, row_no, false AS total, false AS opening, d, c, CAST(NULL AS DECIMAL(18,2)) AS a, b FROM ({Y.LEDGER}) q"
+_SUMS = 'SELECT doc_id, "rows", rows_with_balance, sign_convention, balance_checked, balance_mismatches, verified, parsed FROM sums'
+_FLAGS = "SELECT doc_id, row_no, sign_convention, flag FROM f JOIN sums USING (doc_id)"
+
+
+def _audit(rows: DataFrame) -> DataFrame:
+    return reconcile(normalize_rows(rows))
+
+
+@query(Y.audit_sql(_BASE) + _FLAGS)
+def ledger_reconcile_flags(spark, sf):
+    return _audit(Y.ledger_rows(spark, sf)).select("doc_id", "row_no", "sign_convention", "flag")
+
+
+@query(Y.audit_sql(_BASE) + _SUMS)
+def ledger_summary(spark, sf):
+    return summarize(_audit(Y.ledger_rows(spark, sf)))
+
+
+@query(Y.audit_sql(_BASE.replace("d, c, CAST(NULL AS DECIMAL(18,2)) AS a", "CAST(NULL AS DECIMAL(18,2)) AS d, CAST(NULL AS DECIMAL(18,2)) AS c, coalesce(c, -d) AS a")) + _FLAGS)
+def ledger_single_amount(spark, sf):
+    r = Y.ledger_rows(spark, sf)
+    amount = F.coalesce("credit", F.concat(F.lit("("), F.col("debit"), F.lit(")")))
+    return _audit(r.withColumn("amount", amount).drop("debit", "credit")).select("doc_id", "row_no", "sign_convention", "flag")
+
+
+@query(Y.audit_sql(_BASE.replace("d, c, CAST", "c AS d, d AS c, CAST")) + _SUMS)
+def ledger_debit_raises(spark, sf):
+    r = Y.ledger_rows(spark, sf)
+    return summarize(_audit(r.withColumns({"debit": F.col("credit"), "credit": F.col("debit")})))
+
+
+_GENERAL = f"SELECT doc_id, row_no, kind = 'total' AS total, kind = 'open' AS opening, CASE WHEN kind = 'total' THEN b ELSE v END AS d, CAST(NULL AS DECIMAL(18,2)) AS c, CAST(NULL AS DECIMAL(18,2)) AS a, b FROM ({Y.GENERAL}) q"
+
+
+def _general_rows(spark: SparkSession, sf: str) -> DataFrame:
+    r = Y.over(spark, sf, Y.GENERAL, "lineitem")
+    named = F.when(F.col("kind") == "total", "Total Account").when(F.col("kind") == "open", "Account")
+    return r.select("doc_id", "row_no", named.alias("type"), F.when(F.col("kind") == "move", "10/02/2020").alias("date"), Y.us(F.when(F.col("kind") == "total", F.col("b")).otherwise(F.col("v"))).alias("debit"), Y.us(F.col("b")).alias("balance"))
+
+
+@query(Y.audit_sql(_GENERAL) + _FLAGS)
+def ledger_gl_restart(spark, sf):
+    return _audit(_general_rows(spark, sf)).select("doc_id", "row_no", "sign_convention", "flag")
+
+
+@query(Y.audit_sql(_BASE.replace("AS a, b FROM", "AS a, CAST(NULL AS DECIMAL(18,2)) AS b FROM")) + _SUMS)
+def ledger_unchecked(spark, sf):
+    return summarize(_audit(Y.ledger_rows(spark, sf).drop("balance")))
+
+
+# ---- money -----------------------------------------------------------------------------------------------------------
+
+_ITEM = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+
+
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select(*_ITEM.split(", "), F.col("l_extendedprice").cast("decimal(18,2)").alias("v"))
+
+
+def _money_sql(value: str, names: str = "value") -> str:
+    return f"SELECT {_ITEM}, CAST({value} AS DECIMAL(28,6)) AS {names} FROM (SELECT *, CAST(l_extendedprice AS DECIMAL(18,2)) AS v FROM lineitem) q"
+
+
+def _money(spark, sf, text):  # noqa: ANN001, ANN202
+    return _items(spark, sf).select(*_ITEM.split(", "), parse_money(text).alias("value"))
+
+
+@query(_money_sql("v"))
+def money_us(spark, sf):
+    return _money(spark, sf, F.concat(F.lit("$"), Y.us(F.col("v"))))
+
+
+@query(_money_sql("v"))
+def money_eu(spark, sf):
+    return _money(spark, sf, Y.eu(F.col("v")))
+
+
+@query(_money_sql("v"))
+def money_space(spark, sf):
+    return _money(spark, sf, F.translate(Y.us(F.col("v")), ",.", " ,"))
+
+
+@query(_money_sql("CASE WHEN l_orderkey % 7 = 6 THEN v ELSE -v END"))
+def money_negatives(spark, sf):
+    s = Y.us(F.col("v"))
+    forms = [F.concat(F.lit("("), s, F.lit(")")), F.concat(s, F.lit("-")), F.concat(F.lit("−"), s), F.concat(F.lit("-$"), s), F.concat(s, F.lit(" DR")), F.concat(s, F.lit("DB")), F.concat(s, F.lit(" CR"))]
+    return _money(spark, sf, F.get(F.array(*forms), (F.col("l_orderkey") % 7).cast("int")))
+
+
+@query(_money_sql("v"))
+def money_ocr_digits(spark, sf):
+    return _money(spark, sf, F.concat(F.translate(F.substring_index(Y.us(F.col("v")), ".", 1), "01", "ol"), F.lit("."), F.substring_index(Y.us(F.col("v")), ".", -1)))
+
+
+@query(_money_sql("CASE WHEN l_orderkey % 6 = 5 THEN v END"))
+def money_rejects(spark, sf):
+    s = Y.us(F.col("v"))
+    forms = [F.concat(F.lit("1043 "), s), F.concat(s, F.lit(" (2)")), F.concat(F.lit("Page "), s), F.concat(F.lit("S"), s), F.concat(F.lit("12.a"), s), F.concat(F.lit("USD"), F.col("v").cast("string"))]
+    return _money(spark, sf, F.get(F.array(*forms), (F.col("l_orderkey") % 6).cast("int")))
+
+
+@query(_money_sql("v"))
+def money_nfkc(spark, sf):
+    return _money(spark, sf, F.translate(Y.us(F.col("v")), "0123456789.", "０１２３４５６７８９．"))
+
+
+@query("SELECT o_orderkey, 'Total ' || CAST(o_orderkey AS VARCHAR) || '7.00 due' AS fixed FROM orders")
+def ocr_digit_tokens(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    return o.select("o_orderkey", fix_ocr_digits(F.concat(F.lit("Total  "), F.translate(F.col("o_orderkey").cast("string"), "1", "l"), F.lit("7.oo due "))).alias("fixed"))
+
+
+# ---- labels and predicates -------------------------------------------------------------------------------------------
+
+_LABELS = (("Descr", "description"), ("Money In", "credit"), ("Withdrawals", "debit"), ("Notes", None), ("Funds Out", "debit"), ("CR Amount", "credit"), ("Payment Date", "date"), ("Account Name", "description"), ("Payment details", "description"), ("Running Balance", "balance"), ("Amount", "amount"), ("Num.", "num"), ("Type", "type"), ("Account No", "account"))
+
+
+@query("SELECT n_nationkey, l AS label, c AS canon FROM nation, (VALUES " + ", ".join(f"('{a}', {'NULL' if c is None else repr(c)})" for a, c in _LABELS) + ") v(l, c)")
+def header_canon_labels(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", F.explode(F.array(*(F.lit(a) for a, _ in _LABELS))).alias("label"))
+    return n.select("n_nationkey", "label", header_canon(F.col("label")).alias("canon"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 6 < 4 AS kept FROM orders")
+def date_like_filter(spark, sf):
+    d = F.col("o_orderdate")
+    forms = [F.date_format(d, "yyyy-MM-dd"), F.date_format(d, "d/M/yy"), F.date_format(d, "dd MMM yyyy"), F.date_format(d, "MMM d"), F.lit("Thank you"), F.lit("subtotal")]
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    return o.select("o_orderkey", date_like(F.get(F.array(*forms), (F.col("o_orderkey") % 6).cast("int"))).alias("kept"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '.xlsx' WHEN 1 THEN '.jpeg' WHEN 2 THEN '.pdf' WHEN 3 THEN '.docx' ELSE '' END AS ext, CASE p_partkey % 5 WHEN 0 THEN 'grid' WHEN 1 THEN 'image' WHEN 3 THEN 'grid' ELSE 'pdf' END AS route FROM part")
+def file_routing(spark, sf):
+    names = F.array(*map(F.lit, ("a.b/X.XLSX", "photo.JPEG", "s.pdf", "t.Docx", "a.b/noext")))
+    p = spark.read.parquet(f"{sf}/part.parquet").withColumn("f", file_kind(F.get(names, (F.col("p_partkey") % 5).cast("int"))))
+    return p.select("p_partkey", "f.ext", "f.route")
+
+
+@query("SELECT s_suppkey, s_suppkey % 12 > 2 OR (s_suppkey % 12 = 2 AND s_suppkey % 10 > 0) AS newer FROM supplier")
+def version_compare(spark, sf):
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    tag = F.concat(F.lit("v0."), (F.col("s_suppkey") % 12).cast("string"), F.lit("."), (F.col("s_suppkey") % 10).cast("string"))
+    return s.select("s_suppkey", (version_parts(tag) > version_parts(F.lit("0.2.0"))).alias("newer"))
+
+
+# ---- layout ----------------------------------------------------------------------------------------------------------
+
+_PRINTED = f"""SELECT doc_id, row_no, strftime(dt, '%Y-%m-%d') AS date, 'Order ' || CAST(k AS VARCHAR) AS description, d AS debit, c AS credit, b AS balance FROM ({Y.LEDGER}) q"""
+_PARSED_SQL = "SELECT doc_id, row_no, date, description, CAST(debit AS DECIMAL(28,6)) AS debit, CAST(credit AS DECIMAL(28,6)) AS credit, CAST(balance AS DECIMAL(28,6)) AS balance FROM"
+
+
+def _numbers(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "row_no", "date", "description", *(parse_money(F.col(c)).alias(c) for c in ("debit", "credit", "balance")))
+
+
+@query(f"{_PARSED_SQL} ({_PRINTED}) r")
+def rows_from_words(spark, sf):
+    return _numbers(L.rows_from_words(*Y.ledger_words(spark, sf)))
+
+
+@query(f"{_PARSED_SQL} ({_PRINTED}) r")
+def carry_bounds_pages(spark, sf):
+    return _numbers(L.rows_from_words(*Y.ledger_words(spark, sf, per_page=3)))
+
+
+@query(f"SELECT doc_id, CAST((row_no - 1) // 40 AS INTEGER) AS page_no, CAST(row_no AS INTEGER) % 40 AS m, CAST(3 + (d IS NOT NULL)::INT + (c IS NOT NULL)::INT + 1 AS INTEGER) AS words FROM ({Y.LEDGER}) q")
+def visual_rows(spark, sf):
+    words, _ = Y.ledger_words(spark, sf)
+    jitter = F.when(F.col("word_no") % 3 == 0, 1.5).otherwise(0.0)
+    rows = L.visual_rows(words.withColumns({"top": F.col("top") + jitter, "bottom": F.col("bottom") + jitter}))
+    first = F.get("ws", F.lit(0))
+    r = rows.where(first["text"] != "Date")
+    line = F.round(first["top"] / 20).cast("int")
+    return r.select("doc_id", "page_no", (line % 40).alias("m"), F.size("ws").alias("words"))
+
+
+@query(f"""SELECT q.doc_id, q.page_no, x.canon, CAST(x.lo AS DOUBLE) AS lo, CAST(x.hi AS DOUBLE) AS hi FROM (SELECT DISTINCT doc_id, CAST((row_no - 1) // 40 AS INTEGER) AS page_no FROM ({Y.LEDGER}) l) q,
+ (VALUES ('date', 0, 97), ('description', 97, 224), ('debit', 224, 366.5), ('credit', 366.5, 469.5), ('balance', 469.5, 600)) x(canon, lo, hi)""")
+def header_detect(spark, sf):
+    words, pages = Y.ledger_words(spark, sf)
+    rows = L.visual_rows(words)
+    b = L.column_bounds(rows, L.headers(rows), pages)
+    return b.select("doc_id", "page_no", F.explode("bounds").alias("b")).select("doc_id", "page_no", "b.canon", "b.lo", "b.hi")
+
+
+def _one_page(spark: SparkSession, sf: str, source: str, rows: DataFrame, places: dict, width: float = 600.0, head: dict | None = None):
+    """Word boxes of documents of one page, a header above."""
+    h = rows.select("doc_id", "page_no").distinct().select("doc_id", "page_no", F.lit(0).alias("line"), *(F.lit(t).alias(c) for c, t in (head or {c: c.capitalize() for c in places}).items()))
+    words = Y.boxes(Y.cells_of(rows, **places).unionByName(Y.cells_of(h, **places)))
+    return words, rows.select("doc_id", "page_no").distinct().withColumn("width", F.lit(width))
+
+
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as rows of documents of ten."""
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    return p.select(F.concat(F.lit("p"), F.floor(F.col("p_partkey") / 10).cast("string")).alias("doc_id"), F.lit(0).alias("page_no"), (F.col("p_partkey") % 10 + 1).cast("int").alias("line"), "p_partkey", "p_size", F.col("p_retailprice").cast("decimal(18,2)").alias("price"))
+
+
+_PART = "SELECT *, 'p' || CAST(p_partkey // 10 AS VARCHAR) AS doc_id, CAST(p_partkey % 10 AS INTEGER) AS m, CAST(p_retailprice AS DECIMAL(18,2)) AS price FROM part"
+
+
+@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY m) AS BIGINT) AS row_no, 'Part ' || CAST(p_partkey AS VARCHAR) || ' size ' || CAST(p_size AS VARCHAR) AS description, CAST(price AS DECIMAL(28,6)) AS amount FROM ({_PART}) q")
+def wrapped_descriptions(spark, sf):
+    p = _parts(spark, sf)
+    top = p.select("doc_id", "page_no", (F.col("line") * 2 - 1).alias("line"), F.lit("2026-01-02").alias("date"), F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("description"), Y.us(F.col("price")).alias("amount"))
+    below = p.select("doc_id", "page_no", (F.col("line") * 2).alias("line"), F.lit(None).cast("string").alias("date"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("description"), F.lit(None).cast("string").alias("amount"))
+    r = L.rows_from_words(*_one_page(spark, sf, "part", top.unionByName(below), {"date": 10, "description": 100, "amount": 400}))
+    return r.select("doc_id", "row_no", "description", parse_money(F.col("amount")).alias("amount"))
+
+
+@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY m) AS BIGINT) AS row_no, 'Long transfer to supplier account number' AS starts, CAST(price AS DECIMAL(28,6)) AS amount FROM ({_PART}) q")
+def leaked_token_repair(spark, sf):
+    p = _parts(spark, sf).withColumn("date", F.lit("2026-01-02")).withColumn("description", F.concat(F.lit("Long transfer to supplier account number "), (F.col("p_partkey") % 900 + 100).cast("string"))).withColumn("amount", Y.us(F.col("price")))
+    r = L.rows_from_words(*_one_page(spark, sf, "part", p.select("doc_id", "page_no", "line", "date", "description", "amount"), {"date": 10, "description": 100, "amount": 420}))
+    return r.select("doc_id", "row_no", F.substring("description", 1, 40).alias("starts"), parse_money(F.col("amount")).alias("amount"))
+
+
+@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY m) AS BIGINT) AS row_no, '01/04/2022' AS date, 'Garage ' || CAST(p_partkey AS VARCHAR) AS description FROM ({_PART}) q")
+def date_spill(spark, sf):
+    p = _parts(spark, sf).withColumn("date", F.concat(F.lit("01/04/2022 Garage "), F.col("p_partkey").cast("string"))).withColumn("amount", Y.us(F.col("price")))
+    r = L.rows_from_words(*_one_page(spark, sf, "part", p.select("doc_id", "page_no", "line", "date", F.lit(None).cast("string").alias("description"), "amount"), {"date": 34, "description": 130, "amount": 400}))
+    return r.select("doc_id", "row_no", "date", "description")
+
+
+@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY m) AS BIGINT) AS row_no, CAST(CASE WHEN p_partkey % 2 = 0 THEN price END AS DECIMAL(28,6)) AS amount, CAST(CASE WHEN p_partkey % 2 = 1 THEN price END AS DECIMAL(28,6)) AS credit FROM ({_PART}) q")
+def money_header_asof(spark, sf):
+    p = _parts(spark, sf).withColumn("date", F.lit("2026-01-02")).withColumn("description", F.lit("Item"))
+    p = p.withColumn("amount", F.when(F.col("p_partkey") % 2 == 0, Y.us(F.col("price")))).withColumn("credit", F.when(F.col("p_partkey") % 2 == 1, Y.us(F.col("price"))))
+    words, pages = _one_page(spark, sf, "part", p.select("doc_id", "page_no", "line", "date", "description", "amount", "credit"), {"date": 10, "description": 100, "amount": 300, "credit": 400}, head={"date": "Date", "description": "Description", "amount": "Amount", "credit": "CR Amount"})
+    r = L.rows_from_words(words, pages)
+    return r.select("doc_id", "row_no", parse_money(F.col("amount")).alias("amount"), parse_money(F.col("credit")).alias("credit"))
+
+
+@query("SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS doc_id, CAST(o_orderkey AS VARCHAR) || '.' || CAST(o_custkey AS VARCHAR) AS text, CAST(0 AS DOUBLE) AS x0 FROM orders")
+def touching_words(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("doc_id"), F.col("o_orderkey").cast("string").alias("a"), F.concat(F.lit("."), F.col("o_custkey").cast("string")).alias("b"))
+    box = lambda i, t, x0: F.struct(F.lit(i).alias("word_no"), t.alias("text"), x0.alias("x0"), (x0 + F.length(t) * 6.0).alias("x1"), F.lit(0.5 * i).alias("top"), F.lit(10.0).alias("bottom"))
+    w = o.select("doc_id", F.lit(0).alias("page_no"), F.inline(F.array(box(0, F.col("a"), F.lit(0.0)), box(1, F.col("b"), F.length("a") * 6.0 + 0.05))))
+    return L.join_touching(w).select("doc_id", "text", "x0")
+
+
+@query("SELECT l_orderkey, CAST(count(*) FILTER (WHERE l_linenumber % 3 <> 0) AS BIGINT) AS shown FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) q GROUP BY 1 HAVING shown > 0")
+def hidden_glyph_antijoin(spark, sf):
+    i = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct()
+    g = i.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_no"), F.lit("$").alias("char"), (F.col("l_linenumber") * 7.0 + 0.1).alias("x"), F.lit(3.0).alias("y"), F.lit(255).alias("alpha"), "l_orderkey")
+    hid = i.where("l_linenumber % 3 = 0").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_no"), F.lit("$").alias("char"), (F.col("l_linenumber") * 7.0 - 0.2).alias("x"), F.lit(3.2).alias("y"), F.lit(0).alias("alpha"), "l_orderkey")
+    return L.visible_glyphs(g.unionByName(hid)).groupBy("l_orderkey").agg(F.count("*").alias("shown"))
+
+
+@query("SELECT CAST(l_orderkey AS BIGINT) AS doc_id, CAST(count(*) FILTER (WHERE n >= 3) AS INTEGER) AS rulings FROM (SELECT l_orderkey, l_suppkey % 4 AS g, count(*) AS n FROM lineitem GROUP BY 1, 2) q GROUP BY 1")
+def vline_clusters(spark, sf):
+    i = spark.read.parquet(f"{sf}/lineitem.parquet")
+    s = i.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_no"), (F.col("l_suppkey") % 4 * 50.0 + (F.col("l_partkey") % 3) * 0.4).alias("x"), (F.col("l_linenumber") * 10.0).alias("top"), (F.col("l_linenumber") * 10.0 + 8).alias("bottom"))
+    return L.vertical_rulings(s).select("doc_id", F.size("vlines").alias("rulings"))
+
+
+@query(f"SELECT doc_id, CAST(round(degrees(atan(CASE WHEN n >= 3 THEN s ELSE 0 END)), 4) AS DECIMAL(10,4)) AS angle, n >= 3 AND abs(degrees(atan(s))) > 0.3 AS reread FROM (SELECT doc_id, count(*) AS n, (CAST(replace(doc_id, 'p', '') AS INTEGER) % 5) * 0.004 AS s FROM ({_PART}) q GROUP BY doc_id) z")
+def page_skew(spark, sf):
+    p = _parts(spark, sf).withColumn("t", F.lit(" ".join(["one two three four five six seven eight"] * 3)))
+    w = Y.boxes(Y.cells_of(p, t=20.0)).withColumn("line", F.col("top").cast("string")).withColumn("s", F.regexp_replace("doc_id", "p", "").cast("int") % 5 * 0.004)
+    lift = (F.col("x0") + F.col("x1")) / 2 * F.col("s") * 2
+    w = w.withColumns({"bottom": F.col("bottom") + lift / 2 + 20, "top": F.col("top") + lift / 2})
+    return L.page_skew(w).select("doc_id", F.round("angle", 4).cast("decimal(10,4)").alias("angle"), "reread")
+
+
+# ---- grids and pairs -------------------------------------------------------------------------------------------------
+
+
+def _part_boxes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    p = _parts(spark, sf).withColumn("a", F.concat(F.lit("Part "), F.col("p_partkey").cast("string"))).withColumn("b", F.concat(F.lit("size "), F.col("p_size").cast("string"))).withColumn("c", F.col("price").cast("string"))
+    return Y.boxes(Y.cells_of(p, a=60, b=250, c=450)), p.select("doc_id", "page_no").distinct().withColumn("width", F.lit(612.0))
+
+
+@query(f"SELECT doc_id, 'Part ' || CAST(p_partkey AS VARCHAR) || '|size ' || CAST(p_size AS VARCHAR) || '|' || CAST(price AS VARCHAR) AS cells FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM ({_PART}) q) z WHERE n >= 3")
+def grid_white_gaps(spark, sf):
+    return G.grid_from_words(*_part_boxes(spark, sf)).select("doc_id", F.array_join("cells", "|").alias("cells"))
+
+
+@query(f"SELECT doc_id, 'Part ' || CAST(p_partkey AS VARCHAR) || ' size ' || CAST(p_size AS VARCHAR) || '||' || CAST(price AS VARCHAR) AS cells FROM ({_PART}) q WHERE p_partkey % 3 = 0 UNION ALL SELECT doc_id, 'Part ' || CAST(p_partkey AS VARCHAR) || '|size ' || CAST(p_size AS VARCHAR) || '|' || CAST(price AS VARCHAR) FROM ({_PART}) q WHERE p_partkey % 3 <> 0")
+def grid_ruled(spark, sf):
+    words, _ = _part_boxes(spark, sf)
+    rows = _parts(spark, sf)
+    first = F.collect_list(F.when(F.col("p_partkey") % 3 != 0, F.struct((F.col("line") * 20.0 - 4).alias("top"), (F.col("line") * 20.0 + 14).alias("bottom"))))
+    second = F.collect_list(F.struct((F.col("line") * 20.0 - 4).alias("top"), (F.col("line") * 20.0 + 14).alias("bottom")))
+    v = rows.groupBy("doc_id", "page_no").agg(F.array(F.struct(F.lit(240.0).alias("x"), first.alias("spans")), F.struct(F.lit(440.0).alias("x"), second.alias("spans"))).alias("vlines"))
+    return G.grid_from_ruled(words, v).select("doc_id", F.array_join("cells", "|").alias("cells"))
+
+
+@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY m) AS BIGINT) + 1 AS row_no, CAST(p_partkey AS VARCHAR) || '|' || CAST(price AS VARCHAR) AS cells FROM ({_PART}) q UNION ALL SELECT DISTINCT doc_id, 1, 'Box|Value' FROM ({_PART}) q")
+def grid_header_dedup(spark, sf):
+    p = _parts(spark, sf).withColumn("page_no", F.when(F.col("line") <= 5, 0).otherwise(1))
+    rows = p.select("doc_id", "page_no", F.col("line").alias("row_no"), F.array(F.col("p_partkey").cast("string"), F.lit(""), F.col("price").cast("string")).alias("cells"))
+    head = p.select("doc_id", "page_no").distinct().select("doc_id", "page_no", F.lit(0).alias("row_no"), F.array(F.lit("Box"), F.lit(""), F.lit("Value")).alias("cells"))
+    return G.document_grid(rows.unionByName(head)).select("doc_id", "row_no", F.array_join("cells", "|").alias("cells"))
+
+
+@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY m) AS BIGINT) AS row_no, '2026-01-02' AS date, 'Part ' || CAST(p_partkey AS VARCHAR) AS description, CAST(price AS DECIMAL(28,6)) AS amount FROM ({_PART}) q")
+def records_from_grid(spark, sf):
+    p = _parts(spark, sf)
+    rows = p.select("doc_id", F.lit(0).alias("grid_no"), (F.col("line") + 1).alias("row_no"), F.array(F.lit("2026-01-02"), F.concat(F.lit(" Part\n"), F.col("p_partkey").cast("string")), Y.us(F.col("price"))).alias("cells"))
+    d = p.select("doc_id").distinct()
+    title = d.select("doc_id", F.lit(0).alias("grid_no"), F.lit(0).alias("row_no"), F.array(F.lit("Statement")).alias("cells"))
+    head = d.select("doc_id", F.lit(0).alias("grid_no"), F.lit(1).alias("row_no"), F.array(F.lit("Date"), F.lit("Details"), F.lit("Amount")).alias("cells"))
+    r = G.records_from_grid(rows.unionByName(title).unionByName(head))
+    return r.select("doc_id", "row_no", "date", "description", parse_money(F.col("amount")).alias("amount"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CAST(p AS INTEGER) AS pos, f AS field, v AS value FROM (SELECT o_orderkey, 0 AS p, 'Order' AS f, CAST(o_orderkey AS VARCHAR) AS v FROM orders UNION ALL SELECT o_orderkey, 1, 'Status', o_orderstatus FROM orders UNION ALL SELECT o_orderkey, 2, 'Total Due', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) FROM orders) q WHERE o_orderkey % 4 <> 0")
+def pairs_of_text(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    text = F.concat(F.lit("OFFICIAL RECEIPT\nOrder: "), F.col("o_orderkey").cast("string"), F.lit(" Status: "), F.col("o_orderstatus"), F.when(F.col("o_orderkey") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit(" Total Due: "), price)), F.lit("\nopen 9:00 am to 8:00 pm\n"))
+    return pairs_from_text(o.select(F.col("o_orderkey").cast("string").alias("doc_id"), text.alias("text")))
+
+
+@query("""WITH w AS (SELECT doc_id, i, w FROM (SELECT doc_id, regexp_split_to_array(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')), ' ') AS ws FROM documents) d, LATERAL (SELECT unnest(ws) AS w, unnest(range(len(ws))) AS i) u),
+l AS (SELECT doc_id, i // 400 AS page_no, i // 8 AS line, CASE WHEN i % 8 < 4 THEN 40 ELSE 340 END + sum(6 * length(w) + 4) OVER (PARTITION BY doc_id, i // 4 ORDER BY i) - 6 * length(w) - 4 AS x0, w FROM w),
+b AS (SELECT *, x0 + 6 * length(w) AS x1 FROM l),
+sp AS (SELECT doc_id, page_no, unnest(range(CAST(min(x0) AS BIGINT), CAST(least(612, max(x1)) AS BIGINT) + 1)) AS bin, 1 AS s, 0 AS k FROM b GROUP BY doc_id, page_no, line),
+ik AS (SELECT doc_id, page_no, unnest(range(CAST(x0 AS BIGINT), CAST(least(612, x1) AS BIGINT) + 1)) AS bin, 0 AS s, 1 AS k FROM b),
+h AS (SELECT doc_id, page_no, bin, sum(s) AS s, sum(k) AS k FROM (SELECT * FROM sp UNION ALL SELECT * FROM ik) u GROUP BY 1, 2, 3 HAVING sum(s) >= 2 AND sum(k) <= 0.25 * sum(s)),
+r AS (SELECT doc_id, page_no, bin, bin - row_number() OVER (PARTITION BY doc_id, page_no ORDER BY bin) AS run FROM h)
+SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, CAST((min(bin) + max(bin) + 1) / 2.0 AS DOUBLE) AS sep FROM r GROUP BY doc_id, page_no, run HAVING count(*) >= 18""")
+def prose_white_gaps(spark, sf):
+    """Texts set in two columns, eight words a line and fifty lines a page: where do white gaps run through a page?"""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    w = d.select("doc_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " ")), " ")).alias("i", "text"))
+    w = w.withColumn("page_no", F.floor(F.col("i") / 400).cast("int")).withColumn("half", F.floor(F.col("i") / 4))
+    step = F.length("text") * 6 + 4
+    x0 = F.when(F.col("i") % 8 < 4, 40).otherwise(340) + F.sum(step).over(Window.partitionBy("doc_id", "page_no", "half").orderBy("i")) - step
+    top = F.floor(F.col("i") / 8) % 50 * 14.0
+    w = w.withColumn("x0", x0.cast("double")).select("doc_id", "page_no", F.col("i").alias("word_no"), "text", "x0", (F.col("x0") + F.length("text") * 6).alias("x1"), top.alias("top"), (top + 10).alias("bottom"))
+    pages = w.select("doc_id", "page_no").distinct().withColumn("width", F.lit(612.0))
+    return G.white_gap_separators(L.visual_rows(w), pages).select("doc_id", "page_no", "sep")
+
+
+# ---- results ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'text' WHEN o_orderkey % 3 > 0 AND NOT (o_orderkey % 2 = 0 AND o_orderkey % 5 = 0) THEN 'ledger' WHEN o_orderkey % 11 > 0 THEN 'table' ELSE 'text' END AS document_shape FROM orders")
+def shape_decision(spark, sf):
+    k = F.col("o_orderkey")
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(k, (k % 3).alias("rows"), (k % 5 != 0).alias("balance_checked"), (k % 2 == 0).alias("ruled"), F.lit(False).alias("office"), (k % 11).alias("grid_rows"), F.lit(0).alias("pairs"), F.when(k % 7 == 0, "text").otherwise("auto").alias("mode"))
+    return P.decide_shape(o).select("o_orderkey", "document_shape")
+
+
+def _readings(spark: SparkSession, sf: str) -> DataFrame:
+    """Two readings of every ledger: the first tried loses the balance of every fifth row, the second is whole."""
+    r = Y.ledger_rows(spark, sf)
+    lost = r.withColumn("balance", F.when(F.col("k") % 5 != 0, F.col("balance"))).withColumn("source", F.lit("B")).withColumn("priority", F.lit(1))
+    whole = r.withColumn("source", F.lit("A")).withColumn("priority", F.lit(2))
+    both = lost.unionByName(whole).withColumn("doc", F.col("doc_id")).withColumn("doc_id", F.concat_ws("|", "doc_id", "source"))
+    names = both.select("doc_id", "doc", "source", "priority").distinct()
+    s = summarize(_audit(both.drop("doc", "source", "priority")))
+    return s.join(names, "doc_id").select(F.col("doc").alias("doc_id"), "source", "priority", "rows", "verified", "parsed", F.lit(False).alias("all_text_layer"))
+
+
+@query(
+    Y.audit_sql(
+        f"SELECT doc_id || '|A' AS doc_id, row_no, false AS total, false AS opening, d, c, CAST(NULL AS DECIMAL(18,2)) AS a, b FROM ({Y.LEDGER}) q UNION ALL SELECT doc_id || '|B', row_no, false, false, d, c, NULL, CASE WHEN k % 5 <> 0 THEN b END FROM ({Y.LEDGER}) q"
+    )
+    + """, c2 AS (SELECT split_part(doc_id, '|', 1) AS doc_id, split_part(doc_id, '|', 2) AS source, CASE split_part(doc_id, '|', 2) WHEN 'B' THEN 1 ELSE 2 END AS priority, "rows", verified, parsed FROM sums),
+st AS (SELECT *, min(CASE WHEN verified = "rows" THEN priority END) OVER (PARTITION BY doc_id) AS stop FROM c2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY verified DESC, parsed DESC, priority) AS n FROM st WHERE stop IS NULL OR priority <= stop)
+SELECT doc_id, source, verified, parsed FROM rk WHERE n = 1"""
+)
+def engine_arbitration(spark, sf):
+    return P.arbitrate(_readings(spark, sf)).select("doc_id", "source", "verified", "parsed")
+
+
+@query(f"""WITH t AS (SELECT * FROM ({Y.LEDGER}) q), x AS (SELECT *, k % 13 = 0 AS gone, k % 11 = 0 AS wrong FROM t)
+SELECT CAST(sum(CASE WHEN gone OR wrong THEN 0 ELSE 3 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN NOT gone AND wrong THEN 3 ELSE 0 END) AS BIGINT) AS fp,
+ CAST(sum(CASE WHEN gone OR wrong THEN 3 ELSE 0 END) AS BIGINT) AS fn, count(*) FILTER (WHERE NOT gone AND NOT wrong) AS matched, count(*) AS truth_rows, count(*) FILTER (WHERE NOT gone) AS predicted_rows FROM x""")
+def score_micro_f1(spark, sf):
+    truth = complete(Y.ledger_rows(spark, sf)).withColumn("flag", F.lit(None).cast("string"))
+    said = truth.where("k % 13 <> 0").withColumn("balance", F.when(F.col("k") % 11 == 0, F.concat(F.lit("9"), F.regexp_replace("balance", "[-,]", ""), F.lit("7"))).otherwise(F.col("balance")))
+    return S.score(truth, said).select("tp", "fp", "fn", "matched", "truth_rows", "predicted_rows")
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, 'type,date,description,debit,credit,amount,balance,flag,llm_classification' AS columns FROM lineitem GROUP BY 1")
+def export_columns(spark, sf):
+    return P.used_columns(complete(_general_rows(spark, sf)))
+
+
+@query()
+def json_result(spark, sf):
+    s = summarize(_audit(Y.ledger_rows(spark, sf)))
+    return s.select("doc_id", F.to_json(F.struct(*s.columns)).alias("json"))
+
+
+@query(f"SELECT doc_id, 'ledger' AS document_shape, true AS ok FROM ({Y.LEDGER}) q GROUP BY doc_id")
+def process_words(spark, sf):
+    words, pages = Y.ledger_words(spark, sf)
+    none = F.lit(None).cast("array<struct<x:double,spans:array<struct<top:double,bottom:double>>>>")
+    out = P.process_words(words, pages.withColumns({"source": F.lit("pdf-text"), "vlines": none}))
+    return out["summary"].select("doc_id", "document_shape", "ok")
+
+
+# ---- files -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, row_no, strftime(dt, '%Y-%m-%d') AS date, 'Order ' || CAST(k AS VARCHAR) AS description, CAST(d AS DECIMAL(28,6)) AS debit, CAST(c AS DECIMAL(28,6)) AS credit, CAST(b AS DECIMAL(28,6)) AS balance FROM ({Y.LEDGER}) q")
+def xlsx_roundtrip(spark, sf):
+    return _roundtrip(spark, sf, "xlsx")
+
+
+@query(f"SELECT doc_id, row_no, strftime(dt, '%Y-%m-%d') AS date, 'Order ' || CAST(k AS VARCHAR) AS description, CAST(d AS DECIMAL(28,6)) AS debit, CAST(c AS DECIMAL(28,6)) AS credit, CAST(b AS DECIMAL(28,6)) AS balance FROM ({Y.LEDGER}) q")
+def docx_roundtrip(spark, sf):
+    return _roundtrip(spark, sf, "docx")
+
+
+def _roundtrip(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """Ledgers written as files and read back."""
+    files = ledger_files(_audit(Y.ledger_rows(spark, sf))).where(F.col("kind") == kind)
+    grids = parse_grids(files.select(F.concat_ws(".", "doc_id", "kind").alias("path"), "content"))
+    # a file's paragraphs come back as a grid of their own, without a header
+    r = G.records_from_grid(grids.withColumn("doc_id", F.substring_index("doc_id", ".", 1)))
+    return _numbers(r)
