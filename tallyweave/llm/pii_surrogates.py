@@ -208,7 +208,8 @@ def replace_pii(docs: DataFrame, text: str = "text") -> DataFrame:
         maps = []
         for b in range(blocks):
             part = spark.read.parquet(path).where(f"b = {b}").agg(F.map_from_entries(F.collect_list(F.struct("k", "number"))).alias("x"))
-            maps.append(part.scalar())
+            found = found.withColumn(f"_map{b}", part.scalar())
+            maps.append(F.col(f"_map{b}"))
         number = lambda x: F.coalesce(*(F.try_element_at(p, F.concat_ws("|", *entity_key(x))) for p in maps), F.lit(0))
     made = F.transform("_m", lambda x: surrogate(x, number(x)))
     gaps = F.split(F.col(text), _ANY, -1)

@@ -1,0 +1,366 @@
+"""Every operator against brute force, round trips or held-out accuracy, and on odd tables: nulls, empty and long texts, ties,
+repeated rows, empty tables, clashing column names."""
+
+import hashlib
+import io
+import random
+import re
+import struct
+import zlib
+from collections import Counter
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tallyweave.llm import chat_format, decontaminate, license_scan, media_sniff, mix_sources, near_dedup, pii_surrogates, shard_compaction, toxicity, url_rules
+from tallyweave.llm.common import components
+from tallyweave.llm.queries import ORACLE_SQL, QUERIES
+from tests.helpers import SF, oracle, rows_of
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def docs(spark, texts, sources=None):
+    return spark.createDataFrame([(i, t, "en", (sources or {}).get(i, "s"), len(t or "")) for i, t in enumerate(texts)], DOCS)
+
+
+def prose(rng, n, words=400):
+    return " ".join(f"w{rng.randrange(words)}" for _ in range(n))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_matches_its_sql(spark, name):
+    assert rows_of(QUERIES[name](spark, SF)) == oracle(ORACLE_SQL[name])
+
+
+# ---- 1 ----
+
+
+def leaks_by_hand(texts, items):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = {}
+    for k, t in items:
+        w = word.findall((t or "").translate(AZ))
+        for i in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(tuple(w[i : i + 10]), set()).add(k)
+    out = []
+    for t in texts:
+        w = word.findall((t or "").translate(AZ))
+        hit, found = set(), set()
+        for i in range(len(w)):
+            for n in {len(x) for x in windows}:
+                if tuple(w[i : i + n]) in windows and i + n <= len(w):
+                    hit |= set(range(i, i + n))
+                    found |= windows[tuple(w[i : i + n])]
+        out.append((len(w), len(hit), sorted(x for x in found if x is not None)))
+    return out
+
+
+def test_leaks_as_by_hand(spark, monkeypatch):
+    rng = random.Random(1)
+    items = [(i, prose(rng, n, 30)) for i, n in enumerate((25, 10, 40, 3, 1, 12))] + [(9, None), (10, ""), (11, "!!"), (None, prose(rng, 14, 30)), (0, "again w1 w2")]
+    texts = [None, "", "...", "w1", items[1][1].upper().replace(" ", "-"), prose(rng, 30, 30) + " " + items[2][1] + " x " + items[2][1][:60], items[0][1] * 3, prose(rng, 3000, 30), "é " + items[0][1], items[8 + 1 - 1][1] or ""]
+    texts += [t for t in texts[:3]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    d = docs(spark, texts).withColumns({"leak": F.lit("clash"), "n_words": F.lit(1), "items": F.lit(2)})
+    want = leaks_by_hand(texts, items)
+    for block in (decontaminate.BLOCK_BYTES, 200):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        got = {r.doc_id: r for r in decontaminate.find_leaks(d, bench, rewrite=True).collect()}
+        assert [(got[i].leak.n_words, got[i].leak.n_hit, got[i].leak["items"]) for i in range(len(texts))] == want
+        assert got[5].items == 2
+    assert decontaminate.find_leaks(d.limit(0), bench).count() == 0
+    assert decontaminate.find_leaks(d, bench.limit(0)).where("leak.n_hit > 0").count() == 0
+    pieces = decontaminate.leaks(texts, decontaminate.Phrases(items), most=37)
+    assert [(a, b, c) for a, b, c, _ in pieces] == want
+
+
+def test_cut_texts_hold_no_window(spark):
+    rng = random.Random(2)
+    item = prose(rng, 30, 1000)
+    w = item.split()
+    texts = ["Before. " + item.title() + " After!", " ".join(w[:5]) + " " + item + " " + " ".join(w[5:15]), "clean text"]
+    got = decontaminate.find_leaks(docs(spark, texts), spark.createDataFrame([(1, item)], "item_id long, text string"), rewrite=True).orderBy("doc_id").collect()
+    assert got[0].leak.clean_text == "Before. \n After!"
+    assert [n for _, n, _ in leaks_by_hand([r.leak.clean_text for r in got], [(1, item)])] == [0, 0, 0]
+    assert got[2].leak.clean_text == "clean text"
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=200))
+def test_suffixes_and_index(symbols):
+    import numpy as np
+
+    s = np.array([*symbols, 0])
+    boundary = iter(range(-len(s), 0))
+    unique = [x or next(boundary) for x in s.tolist()]
+    assert decontaminate.suffix_array(s, 2).tolist() == sorted(range(len(s)), key=lambda i: unique[i:])
+    index = decontaminate.FMIndex(s, 2, every=4)
+    w = np.array([[1, 2], [3, 3], [2, 1]])
+    q, lo, hi = index.search(w)
+    found = {int(k): sorted(index.locate(np.arange(a, b)).tolist()) for k, a, b in zip(q, lo, hi)}
+    assert found == {k: x for k in range(3) if (x := [i for i in range(len(s) - 1) if s[i : i + 2].tolist() == w[k].tolist()])}
+
+
+# ---- 2 ----
+
+
+def test_mix_reaches_targets_and_bounds(spark):
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randrange(1, 60)) for _ in range(4000)] + [None, "", "one"]
+    names = {i: ["a", "b", "c", "d", None, "e\u00e9"][min(5, int(rng.random() ** 2 * 6))] for i in range(len(texts))}
+    d = docs(spark, texts, names).withColumn("copies", F.lit("clash"))
+    rows = mix_sources.mix_plan(d).collect()
+    assert len(rows) == len(texts) and all(0 <= r.copies <= 3 for r in rows)
+    per = {}
+    for r in rows:
+        per.setdefault(r.source, [r.target, r.source_size, 0])[2] += r.copies * r.size
+    assert abs(sum(t for t, _, _ in per.values()) - sum(s for _, s, _ in per.values())) < 1e-6 * sum(s for _, s, _ in per.values())
+    assert all(t <= 3 * s + 1e-9 and abs(t - n) <= 0.05 * t + 60 for t, s, n in per.values())
+    again = mix_sources.mix_plan(d.repartition(7)).select("doc_id", "copies").collect()
+    assert sorted(again) == sorted((r.doc_id, r.copies) for r in rows)
+    mixed = mix_sources.mix_sources(d.drop("copies"))
+    assert mixed.count() == sum(r.copies for r in rows) and mixed.columns == d.drop("copies").columns
+    assert mix_sources.mix_plan(d.limit(0)).count() == 0
+    assert [r.copies for r in mix_sources.mix_plan(docs(spark, [None, ""])).collect()] == [0, 0]
+
+
+# ---- 3 ----
+
+
+def png():
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+
+
+def test_media_types_are_corrected_and_objects_carved(spark):
+    gif = b"GIF89a\x01\x00\x01\x00\x80\x00\x00\x00\x00\x00\xff\xff\xff,\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x02D\x01\x00;"
+    bad = bytearray(png())
+    bad[20] ^= 1
+    rows = [(1, png(), "image/jpeg"), (2, b"junk" + png() + b"xx" + gif, "image/png"), (3, bytes(bad), "image/png"), (4, None, None), (5, b"", "a"), (6, b"RIFF\x04\x00\x00\x00WAVE", "audio/wav"), (7, gif + b"tail", None), (8, b"BM not a bitmap WAVE", None)]
+    df = spark.createDataFrame(rows, "doc_id long, content binary, declared string").withColumns({"media": F.lit("clash"), "payload": F.lit(0)})
+    got = {r.doc_id: r.media for r in media_sniff.sniff_media(df).collect()}
+    assert (got[1].type, got[1].length, got[1].corrected) == ("image/png", len(png()), True)
+    assert [(e.offset, e.length, e.type) for e in got[2].embedded] == [(4, len(png()), "image/png"), (6 + len(png()), len(gif), "image/gif")]
+    assert [got[k].type for k in (3, 4, 5, 6, 8)] == [None] * 5 and got[7].type == "image/gif" and got[7].corrected
+    assert media_sniff.sniff_media(df.limit(0)).count() == 0
+
+
+def test_stored_samples_are_the_text(spark, tmp_path):
+    texts = [None, "", "x" * 64, "é" * 5000, "RIFF....WAVE data", "GIF89a", "x" * 64]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in media_sniff.op3_media_sniff(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        p = b + b"\0" * (max(64, -(-len(b) // 64) * 64) - len(b))
+        import wave
+
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        w = io.BytesIO()
+        with wave.open(w, "wb") as f:
+            f.setnchannels(1), f.setsampwidth(1), f.setframerate(media_sniff.RATE), f.writeframes(p)
+        assert (r.media_bytes, r.media_sha256) == (len(w.getvalue()), hashlib.sha256(w.getvalue()).hexdigest())
+    assert got[2].feature == got[6].feature
+
+
+# ---- 4 ----
+
+
+def test_licenses_in_other_clothes(spark):
+    texts = [t for _, t in license_scan.TEXTS]
+    worn = ["Copyright (c) 2020 Somebody\n\n" + texts[8].upper().replace(" ", "\n  * "), texts[12].replace("acknowledgment", "acknowledgement").replace("'", '"'), texts[8] + " extra", None, "", "a\n# Released under the  MIT licence!\nb", "Released under the MIT License.\n" * 3 + "Licensed under the Apache License, Version 2.0."]
+    d = docs(spark, worn).withColumns({"digest": F.lit("clash"), "_lines": F.lit(1)})
+    got = license_scan.scan_licenses(d.drop("_lines"), license_scan.known_digests(spark, license_scan.TEXTS)).orderBy("doc_id").collect()
+    assert [r.license for r in got] == ["MIT", "Zlib", None, None, None, None, None]
+    assert [r.notices for r in got][5:] == [["MIT"], ["Apache-2.0", "MIT"]]
+    whole = license_scan.scan_licenses(docs(spark, texts), license_scan.known_digests(spark, license_scan.TEXTS)).orderBy("doc_id").collect()
+    assert [r.license for r in whole] == [n for n, _ in license_scan.TEXTS]
+    assert license_scan.scan_licenses(d.limit(0).drop("_lines"), license_scan.known_digests(spark, license_scan.TEXTS).limit(0)).count() == 0
+
+
+# ---- 5 ----
+
+
+def test_url_rules_as_by_hand(spark, monkeypatch):
+    rng = random.Random(5)
+    label = lambda: rng.choice("ab ab-c com net x".split())
+    host = lambda: ".".join(label() for _ in range(rng.randrange(1, 5)))
+    path = lambda: "/" + "".join(rng.choice("a/b") for _ in range(rng.randrange(0, 5)))
+    rules = [(host(), path(), rng.choice(["allow", "block"])) for _ in range(60)] + [(None, "/", "block"), ("com", None, "block"), ("x", "", "block"), ("COM", "/", "block")]
+    urls = [f"http://{host().upper()}{path()}{rng.choice(['', '?q', '#a/b', '?u=http://x.net/a'])}" for _ in range(600)] + [None, "", "no scheme", "://", "ftp://", "http://a?x", "http://com", "a://b.com:80/x\U0010ffff"]
+    urls += urls[:5]
+    monkeypatch.setattr(url_rules, "SALT_ROWS", 40)
+    d = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumns({"rule": F.lit("clash"), "depth": F.lit(1)})
+    r = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = {x.page_id: x for x in url_rules.judge_urls(d, r).collect()}
+    best = {}
+    for h, p, v in rules:
+        if h and p is not None:
+            best[h.translate(AZ), p] = max(v, best.get((h.translate(AZ), p), ""))
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        h = re.match(r"[^/?#]*", rest)[0].translate(AZ)
+        p = re.match(r"[^?#]*", rest[len(h) :])[0]
+        fit = [(len(a.split(".")), len(b), a + b, v) for (a, b), v in best.items() if (h == a or h.endswith("." + a)) and p.startswith(b)]
+        want = max(fit)[2:] if fit else (None, "allow")
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (h, p, *want), u
+    assert len(got) == len(urls)
+    assert url_rules.judge_urls(d.limit(0), r).count() == 0
+    assert {x.verdict for x in url_rules.judge_urls(d, r.limit(0)).collect()} == {"allow"}
+
+
+# ---- 6 ----
+
+
+def test_toxicity_on_held_out_rows(spark):
+    got = QUERIES["op6_toxicity"](spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    hit = sum(r.predicted and r.toxic for r in held)
+    assert hit >= 0.8 * sum(r.toxic for r in held) and hit >= 0.9 * sum(r.predicted for r in held)
+
+
+def test_toxicity_of_odd_tables(spark):
+    rng = random.Random(6)
+    texts = [prose(rng, 30) + (" vile" * 3 if i % 3 == 0 else "") for i in range(900)] + [None, "", "!!! 12", "vile " * 20000, "\U0001f600 ﬁ ß"]
+    d = docs(spark, texts).withColumns({"score": F.lit("clash"), "words": F.lit(1), "_k": F.lit(2)})
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(900)] + [(3, 1, 0), (None, 1, 1), (5000, 1, 1), (7, 1, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(d, labels)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(d, model).collect()}
+    assert len(got) == len(texts) and got[903].predicted == 1 and got[900].predicted == got[901].predicted == 0 and got[900].score == got[901].score
+    assert sum(got[i].predicted == (i % 3 == 0) for i in range(900)) > 880
+    assert toxicity.score_toxicity(d.limit(0), model).count() == 0
+    assert {r.predicted for r in toxicity.score_toxicity(d, toxicity.fit(d, labels.limit(0))).collect()} == {0}
+
+
+# ---- 7 ----
+
+odd = st.text(alphabet=st.sampled_from("[]<>/\\slgbe INSTROYH\n"), max_size=25)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "] [/ROLE]", "\\s"]), st.one_of(odd, st.sampled_from(["</s>[INST] ok [/INST]", " [/INST]", "\\l", "[ROLE x] y [/ROLE]"]))), min_size=1, max_size=30))
+def test_chats_come_back(spark, turns):
+    rows = spark.createDataFrame([(i % 3, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    for x in chat_format.format_chats(rows).collect():
+        own = [(r, t) for i, (r, t) in enumerate(turns) if i % 3 == x.conv_id]
+        assert [(t.role, t.text) for t in x.turns] == own
+        assert len(x.loss_spans) == sum(r == "assistant" for r, _ in own)
+        assert "".join(t.raw for t in x.turns) == x.formatted
+
+
+def test_chats_of_odd_tables(spark):
+    rows = spark.createDataFrame([(1, 2, "user", "b"), (1, None, "user", None), (1, 2, "user", "b"), (None, 1, None, "x"), (2, 1, "assistant", "y" * 200000)], "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
+    got = {x.conv_id: x for x in chat_format.format_chats(rows).collect()}
+    assert [(t.role, t.text) for t in got[1].turns] == [("user", ""), ("user", "b"), ("user", "b")]
+    assert got[None].turns[0].role == "" and got[2].loss_spans[0].chars == 200000
+    assert chat_format.format_chats(rows.limit(0)).count() == 0
+
+
+# ---- 8 ----
+
+
+def test_surrogates_are_distinct_consistent_and_alike(spark):
+    texts = ["Mail Bob.Smith@Mail.example.com or +1 (988) 555-2485 / +19885552485, bob.smith@mail.example.com.", "Card 4111 1111 1111 1111 = 4111111111111111, 10.0.0.1", "Mr. John Smith met Mrs Smith; Иван Петров", None, "", "nothing 1.2.3", "nothing 1.2.3"]
+    texts += [f"Mr {''.join(random.Random(i).choices('abcdefghij', k=8)).title()} x" for i in range(6000)]
+    d = docs(spark, texts).withColumns({"n_entities": F.lit("clash"), "m": F.lit(1), "kind": F.lit(2)})
+    got = {r.doc_id: r for r in pii_surrogates.replace_pii(d).collect()}
+    a = got[0].text
+    m = re.findall(r"[\w.]+@[\w.]+\w", a)
+    assert len(m) == 2 and m[0].lower() == m[1] and "smith" not in a.lower() and m[0][3] == "."
+    p = re.findall(r"\+[\d() -]*\d", a)
+    assert re.sub(r"\D", "", p[0]) == re.sub(r"\D", "", p[1]) and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", p[0]) and "988" not in p[0]
+    c = re.findall(r"\d[\d ]{14,}\d", got[1].text)
+    n = [int(x) for x in c[0].replace(" ", "")]
+    assert c[0].replace(" ", "") == c[1] and sum(x if i % 2 else x * 2 - 9 * (x > 4) for i, x in enumerate(n)) % 10 == 0
+    title, given, last = re.match(r"(Mr\.) (\w+) (\w+) met", got[2].text).groups()
+    assert f"Mrs {last};" in got[2].text and given in pii_surrogates.NAMES["m", "latin"] and re.search(r"; [А-я]+ [А-я]+$", got[2].text)
+    assert (got[3].text, got[3].n_entities, got[4].text, got[5].text) == (None, 0, "", "nothing 1.2.3")
+    names = [got[i].text for i in range(7, len(texts))]
+    assert len(set(names)) == len(set(texts[7:]))
+    assert pii_surrogates.replace_pii(d.limit(0)).count() == 0
+
+
+# ---- 9 ----
+
+
+def groups_by_hand(texts, width, num, den):
+    sets = []
+    for t in texts:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(AZ)) if x]
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if n and den * n >= num * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [(len(s), find(i)) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize("width,num", [(3, 85), (5, 80)])
+def test_near_duplicates_as_by_hand(spark, width, num):
+    rng = random.Random(9)
+    texts = [None, "", " \t\n", "one", "ONE", "two words", "Two  words", "a b c", "é\u00a0x y"]
+    for _ in range(12):
+        base = prose(rng, rng.choice((12, 80, 400))).split()
+        texts.append(" ".join(base))
+        for _ in range(rng.choice((1, 3, 25))):
+            w = list(base)
+            for _ in range(rng.randrange(0, max(2, len(w) // 14))):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    texts += [texts[10], texts[10].upper(), prose(rng, 30000)]
+    d = docs(spark, texts).withColumns({"n": F.lit("clash"), "rep": F.lit(1), "component": F.lit(2)})
+    got = {r.doc_id: r for r in near_dedup.near_components(d, width=width, num=num).collect()}
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == groups_by_hand(texts, width, num, 100)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
+
+
+def test_near_duplicates_of_odd_tables(spark):
+    d = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (5, "x y z u v w"), (9, "x y z u v w"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
+    got = near_dedup.near_components(d, width=3, num=85).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == {(5, 5, True): 3, (9, 5, False): 1, (None, None, True): 2}
+    assert near_dedup.near_components(d.limit(0)).count() == 0
+
+
+def test_components_of_long_chains(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (50, 50)]
+    random.Random(4).shuffle(edges)
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100}
+
+
+# ---- 10 ----
+
+
+def test_shards_merge_and_versions_stay(spark, tmp_path):
+    rng = random.Random(10)
+    base = f"file://{tmp_path}/store"
+    d = docs(spark, [None, ""] + [prose(rng, 60, 10**6) for _ in range(3000)] + ["same"] * 5).repartition(3)
+    first = shard_compaction.append(d, base, rows=100)
+    assert first == 1 and shard_compaction.manifest(spark, base).count() > 30
+    kept = sorted(map(str, shard_compaction.shards(spark, base, d.schema).select(*d.columns).collect()))
+    out = shard_compaction.shard_documents(d, base, target=150_000, rows=100)
+    m = shard_compaction.manifest(spark, base).collect()
+    assert sorted(map(str, out.select(*d.columns).collect())) == sorted(kept * 2)
+    assert len(m) < 25 and sum(r.rows for r in m) == 2 * d.count() and max(r.bytes for r in m) < 400_000
+    assert {(r.shard_rows, r.n) for r in out.groupBy("shard", "shard_rows").agg(F.count("*").alias("n")).collect() if r.shard_rows != r.n} == set()
+    from py4j.protocol import Py4JJavaError
+
+    with pytest.raises(Py4JJavaError):
+        shard_compaction.commit(shard_compaction.manifest(spark, base), base, 1)
+    clash = d.withColumns({"shard": F.lit("x"), "version": F.lit("y"), "path": F.lit("z"), "run": F.lit(1)})
+    assert shard_compaction.shard_documents(clash).where("path = 'z'").count() == d.count()
+    assert shard_compaction.shard_documents(d.limit(0)).count() == 0
