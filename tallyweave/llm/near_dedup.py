@@ -26,6 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SIDE = 8
 #: Shares of equal minhashes, of 32, below which a pair cannot be a link at 0.8 or more but by odds of about 1 in 1000.
 LEAST_EQUAL = 18
+#: Neighbours in a bucket's order of signatures with which a document is compared.
+NEIGHBOURS = 5
 PAIRS_A_ROUND = (1, 1 << 30)
 PIECE_BYTES = 1 << 20
 
@@ -181,8 +183,10 @@ def candidates(reps: DataFrame) -> DataFrame:
     keyed = keyed.withColumn("order", F.concat(F.expr("substring(sig, turn % 32 + 1, 32)"), F.expr("substring(sig, 1, turn % 32)")))
     w = Window.partitionBy("key").orderBy("order", "doc_id")
     hub = F.min(F.struct("doc_id", "sig")).over(Window.partitionBy("key"))
-    met = keyed.withColumn("hub", hub).withColumn("near", F.lag(F.struct("doc_id", "sig")).over(w))
-    pairs = met.select("doc_id", "sig", F.explode(F.array("hub", "near")).alias("o")).where("o is not null and o.doc_id <> doc_id")
+    near = [F.lag(F.struct("doc_id", "sig"), n).over(w).alias(f"near{n}") for n in range(1, NEIGHBOURS + 1)]
+    met = keyed.select("doc_id", "sig", hub.alias("hub"), *near)
+    others = F.array_compact(F.array("hub", *(f"near{n}" for n in range(1, NEIGHBOURS + 1))))
+    pairs = met.select("doc_id", "sig", F.explode(F.filter(others, lambda o: o["doc_id"] != F.col("doc_id"))).alias("o"))
     pairs = pairs.select(F.greatest("doc_id", "o.doc_id").alias("x"), F.least("doc_id", "o.doc_id").alias("y"), F.when(F.col("doc_id") > F.col("o.doc_id"), F.col("sig")).otherwise(F.col("o.sig")).alias("s"), F.when(F.col("doc_id") > F.col("o.doc_id"), F.col("o.sig")).otherwise(F.col("sig")).alias("u"))
     return pairs.groupBy("x", "y").agg(F.first("s").alias("s"), F.first("u").alias("u")).select("x", "y", _equal("s", "u").alias("equal")).where(F.col("equal") >= LEAST_EQUAL)
 
