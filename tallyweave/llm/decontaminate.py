@@ -1,6 +1,6 @@
 """Benchmark decontamination over one FM-index per training shard.
 
-A shard is about a million words of consecutive documents of one partition. Words that no test phrase holds are
+A shard is about half a million words of consecutive documents of one partition. Words that no test phrase holds are
 boundaries: a phrase cannot cross them, so they are left out of the index and only their places are remembered.
 The rest is sorted by suffix (boundaries are distinct and order by place), its Burrows-Wheeler transform is kept in a
 wavelet matrix, all phrases are searched backwards together by ranks, and occurrences are found by walking to
@@ -25,7 +25,7 @@ from tallyweave.llm.common import table
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 10
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 SAMPLE_EVERY = 16
 #: Bytes of test text that one pass over the corpus takes; larger test sets go in blocks of this size.
 BLOCK_BYTES = 32 << 20
@@ -302,8 +302,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", window
         one = _pass(keyed.select("_row", text), part.where(f"_b = {b}").select("item_id", "t").collect(), text, window, False, False)
         out = one if out is None else out.unionByName(one)
     words = F.expr("array_distinct(flatten(collect_list(flatten(transform(leak.spans, s -> sequence(s[0], s[1] - 1))))))")
-    merged = out.groupBy("_row").agg(F.max("leak.n_words").alias("n"), words.alias("w"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("leak.items")))).alias("items"))
-    return keyed.join(merged, "_row").withColumn("leak", _struct_of(merged, text, rewrite)).drop("_row", "n", "w", "items", *([] if keep_text else [text]))
+    merged = out.groupBy("_row").agg(F.max("leak.n_words").alias("_n"), words.alias("_w"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("leak.items")))).alias("_items"))
+    return keyed.join(merged, "_row").withColumn("leak", _struct_of(merged, text, rewrite)).drop("_row", "_n", "_w", "_items", *([] if keep_text else [text]))
 
 
 def _struct_of(merged: DataFrame, text: str, rewrite: bool):
@@ -319,8 +319,8 @@ def _struct_of(merged: DataFrame, text: str, rewrite: bool):
 
         return pd.Series([cut(t, [tuple(x) for x in s]) if t and len(s) else t for t, s in zip(texts, found)])
 
-    s = spans(merged["w"])
-    return F.struct(merged["n"].alias("n_words"), F.size("w").cast("long").alias("n_hit"), merged["items"].alias("items"), s.alias("spans"), (without(F.col(text), s) if rewrite else F.lit(None).cast("string")).alias("clean_text"))
+    s = spans(merged["_w"])
+    return F.struct(merged["_n"].alias("n_words"), F.size("_w").cast("long").alias("n_hit"), merged["_items"].alias("items"), s.alias("spans"), (without(F.col(text), s) if rewrite else F.lit(None).cast("string")).alias("clean_text"))
 
 
 def _pass(docs: DataFrame, items: list, text: str, window: int, rewrite: bool, keep_text: bool) -> DataFrame:
