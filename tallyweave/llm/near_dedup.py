@@ -198,7 +198,7 @@ def _bits(array: str, mask: str):
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (x, y) whose full sets have den * intersection >= num * union."""
-    ids = stash(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "near-ids")
+    ids = stash(pairs.select(F.col("x").alias("doc_id")).distinct().unionByName(pairs.select(F.col("y").alias("doc_id")).distinct()).distinct(), "near-ids")
     needed = docs.join(maybe_broadcast(ids, ids.count()), "doc_id", "left_semi")
     sets = stash(full_sets(needed, width).dropDuplicates(["doc_id"]), "near-sets")
     out = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("sx")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("sy")), "y")
