@@ -41,7 +41,7 @@ BUCKETS = 4_194_301
 FOLD = 5
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.7
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 18
 
 
 def letter_codes() -> np.ndarray:
@@ -109,10 +109,10 @@ def count_grams(labelled: DataFrame) -> DataFrame:
                 zero = np.zeros(len(own), np.int64)
                 held.append((own, c if k == 1 else zero, c if k == 2 else zero))
                 size += len(own)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 held = [merged()]
                 size = len(held[0][0])
-                if size > 1_500_000:
+                if size > 700_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["g", "t", "o"])
                     held, size = [], 0
         if held:
