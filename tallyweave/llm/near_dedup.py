@@ -4,8 +4,10 @@ Two collections of SIDE tuples of two minhashes each are computed, 32 minhashes
 the first collection with one of the second, which gives SIDE * SIDE = 64 tables for the price of 2 * SIDE. Texts with
 equal shingle sets are one representative, and representatives that share no tuple of one collection with
 another are left out before the keys are paired. In each table's bucket a representative is compared with the smallest
-one and with its neighbour in the order of the signatures, never with all. Candidates are confirmed on full sets,
-the most likely partner of each first; later rounds take only those whose ends are still apart.
+one and with its neighbours in the order of the signatures, never with all. Candidates are confirmed on full sets,
+the most likely partner of each first; later rounds take only those whose ends are still apart. Members of buckets
+with more members than neighbours, and of more than one component by then, are joined exactly: by the rare end of
+their full sets.
 """
 
 from __future__ import annotations
@@ -171,14 +173,18 @@ def _equal(a, b):  # noqa: ANN001
     return F.expr(f"aggregate(sequence(1, {4 * SIDE}), 0, (n, i) -> n + if(substring({a}, i, 1) = substring({b}, i, 1), 1, 0))")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """(x, y, equal) with x > y: pairs that meet in a table's bucket as smallest and other, or as neighbours by signature."""
+def buckets(reps: DataFrame) -> DataFrame:
+    """(doc_id, sig, key, turn): the tables' keys of all representatives that may share one."""
     both = reps.select("doc_id", F.posexplode(F.concat("left", "right")).alias("p", "v"))
     shared = both.withColumn("k", F.count("*").over(Window.partitionBy("p", "v"))).where("k > 1")
     # a document can share a table only over a shared tuple of each collection
     live = shared.groupBy("doc_id").agg(F.expr("bit_or(shiftleft(1, p))").alias("m")).select("doc_id", F.expr(f"m & {(1 << SIDE) - 1}").alias("l"), F.expr(f"shiftright(m, {SIDE})").alias("r")).where("l <> 0 and r <> 0")
     rows = reps.join(live, "doc_id").select("doc_id", "sig", F.explode(_bits("left", "l")).alias("a"), "right", "r").select("doc_id", "sig", "a", F.explode(_bits("right", "r")).alias("b"))
-    keyed = rows.select("doc_id", "sig", F.xxhash64("a.i", "a.v", "b.i", "b.v").alias("key"), (F.col("a.i") * 4 % (4 * SIDE) + F.col("b.i")).alias("turn"))
+    return rows.select("doc_id", "sig", F.xxhash64("a.i", "a.v", "b.i", "b.v").alias("key"), (F.col("a.i") * 4 % (4 * SIDE) + F.col("b.i")).alias("turn"))
+
+
+def candidates(keyed: DataFrame) -> DataFrame:
+    """(x, y, equal) with x > y: pairs that meet in a table's bucket as smallest and other, or as neighbours by signature."""
     # neighbours by the signature, turned by another amount in each table
     keyed = keyed.withColumn("order", F.concat(F.expr("substring(sig, turn % 32 + 1, 32)"), F.expr("substring(sig, 1, turn % 32)")))
     w = Window.partitionBy("key").orderBy("order", "doc_id")
@@ -196,16 +202,50 @@ def _bits(array: str, mask: str):
     return F.expr(f"filter(transform({array}, (v, i) -> struct(i as i, v as v)), p -> shiftright({mask}, p.i) & 1 = 1)")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def crowded(keyed: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """(doc_id, c): members, with their component, of the buckets that have members which were not compared and are apart."""
+    full = keyed.groupBy("key").count().where(F.col("count") > NEIGHBOURS + 1).select("key")
+    own = keyed.select("key", "doc_id").join(full, "key", "left_semi")
+    if comp is None:
+        own = own.withColumn("c", F.col("doc_id"))
+    else:
+        own = own.join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    mixed = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    return own.join(mixed, "key", "left_semi").select("doc_id", "c").distinct()
+
+
+def crowded_pairs(ids: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y) with x > y: all pairs of ``ids(doc_id, c)`` of different components that can be links, none left out.
+
+    Shingles are put in one order: those of a single component first, then the rare before the frequent. The first
+    common shingle of a link has at least num / den of either set at or behind it, so only shingles as far from the end as that
+    are posted, and two postings meet only if what is at or behind them suffices. In a shingle's
+    postings those of the largest component meet the others, never one another.
+    """
+    rows = sets.join(ids, "doc_id").select("doc_id", "c", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("g"))
+    across = rows.groupBy("g").agg(F.count("*").alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g", "f")
+    from_end = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("f"), "g"))
+    posts = rows.join(across, "g").withColumn("r", from_end.cast("long")).where(F.col("r") * den >= F.col("n") * num).select("g", "doc_id", "c", "n", "r")
+    posts = stash(posts, "near-posts")
+    main = posts.groupBy("g", "c").count().groupBy("g").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+    few = posts.join(main, "g").where("c <> main").drop("main")
+    met = few.join(posts.select("g", *(F.col(k).alias(f"{k}2") for k in ("doc_id", "c", "n", "r"))), "g")
+    met = met.where((F.col("c") != F.col("c2")) & (F.least("r", "r2") * (den + num) >= (F.col("n") + F.col("n2")) * num))
+    out = stash(met.select(F.greatest("doc_id", "doc_id2").alias("x"), F.least("doc_id", "doc_id2").alias("y")).distinct(), "near-crowded")
+    unstash(posts)
+    return out
+
+
+def sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The full sets of the documents of ``ids``, written."""
+    return stash(full_sets(docs.join(maybe_broadcast(ids, ids.count()), "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "near-sets")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (x, y) whose full sets have den * intersection >= num * union."""
-    ids = stash(pairs.select(F.col("x").alias("doc_id")).distinct().unionByName(pairs.select(F.col("y").alias("doc_id")).distinct()).distinct(), "near-ids")
-    needed = docs.join(maybe_broadcast(ids, ids.count()), "doc_id", "left_semi")
-    sets = stash(full_sets(needed, width).dropDuplicates(["doc_id"]), "near-sets")
     out = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("sx")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("sy")), "y")
     inter = F.size(F.array_intersect("sx", "sy"))
-    out = stash(out.select("x", "y", inter.alias("i"), (F.size("sx") + F.size("sy") - inter).alias("u")).where(F.col("i") * den >= F.col("u") * num).select("x", "y"), "near-links")
-    unstash(ids, sets)
-    return out
+    return stash(out.select("x", "y", inter.alias("i"), (F.size("sx") + F.size("sy") - inter).alias("u")).where(F.col("i") * den >= F.col("u") * num).select("x", "y"), "near-links")
 
 
 def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -220,7 +260,8 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     sk = stash(sketch(slim, width), "near-sketch")
     classes = sk.where("n > 0 and doc_id is not null").groupBy("set_hi", "set_lo", "n").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("left", "right", "sig"), "doc_id").alias("s"))
     reps = classes.select(F.col("rep").alias("doc_id"), "s.left", "s.right", "s.sig").dropDuplicates(["doc_id"])
-    pairs = stash(candidates(reps), "near-pairs")
+    keyed = stash(buckets(reps), "near-keys")
+    pairs = stash(candidates(keyed), "near-pairs")
     links, comp, tried = None, None, None
     for most in PAIRS_A_ROUND:
         todo = pairs if comp is None else _apart(pairs, comp).join(tried, ["x", "y"], "left_anti")
@@ -228,10 +269,22 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
         todo = stash(todo.withColumn("nth", nth).where(F.col("nth") <= most).select("x", "y"), "near-round")
         if todo.isEmpty():
             break
-        found = confirm(todo, slim, width, num, den)
+        ids = stash(todo.select(F.col("x").alias("doc_id")).distinct().unionByName(todo.select(F.col("y").alias("doc_id")).distinct()).distinct(), "near-ids")
+        sets = sets_of(ids, slim, width)
+        found = confirm(todo, sets, num, den)
+        unstash(ids, sets)
         tried = todo
         links = found if links is None else links.unionByName(found)
         comp = components(links.toDF("a", "b"), "near-comp")
+    ids = stash(crowded(keyed, comp), "near-ids")
+    if not ids.isEmpty():
+        sets = sets_of(ids, slim, width)
+        found = confirm(crowded_pairs(ids, sets, num, den), sets, num, den)
+        unstash(sets)
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            comp = components(links.toDF("a", "b"), "near-comp")
+    unstash(ids, keyed)
     # members of a set's class hang under its representative, representatives under their component
     member = sk.where("n > 0 and doc_id is not null").join(classes.select("set_hi", "set_lo", "n", "rep"), ["set_hi", "set_lo", "n"]).select("doc_id", "rep")
     if comp is not None:

@@ -328,6 +328,25 @@ def test_near_duplicates_as_by_hand(spark, width, num):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize("neighbours", [0, near_dedup.NEIGHBOURS])
+def test_near_duplicates_in_crowded_buckets(spark, monkeypatch, neighbours):
+    """Buckets with more members than are compared, of linked chains and of texts that share much and are not linked."""
+    monkeypatch.setattr(near_dedup, "NEIGHBOURS", neighbours)
+    rng = random.Random(4)
+    base, texts = prose(rng, 120).split(), []
+    for k in range(90):
+        w = list(base)
+        for i in rng.sample(range(len(w)), rng.choice((1, 2, 3, 5, 7))):
+            w[i] = f"n{rng.randrange(10 ** 6)}"
+        texts.append(" ".join(w))
+    for _ in range(30):
+        w = rng.choice(texts).split()
+        w[rng.randrange(len(w))] = f"n{rng.randrange(10 ** 6)}"
+        texts.append(" ".join(w))
+    got = {r.doc_id: r for r in near_dedup.near_components(docs(spark, texts), width=3, num=85).collect()}
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == groups_by_hand(texts, 3, 85, 100)
+
+
 def test_near_duplicates_of_odd_tables(spark):
     d = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (5, "x y z u v w"), (9, "x y z u v w"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
     got = near_dedup.near_components(d, width=3, num=85).collect()
