@@ -68,6 +68,7 @@ class Phrases:
 def suffix_array(s: np.ndarray, bits: int) -> np.ndarray:
     """Suffixes of ``s`` in order; zeros are boundaries, all distinct and ordered by place."""
     n = len(s)
+    assert n < 1 << 21, "a group and two places must fit into 63 bits"
     place_bits = max(1, int(n).bit_length())
     depth = max(1, (63 - place_bits) // bits)
     place = np.arange(n, dtype=np.int64)
@@ -173,17 +174,29 @@ class FMIndex:
         return out
 
 
-def scan(texts: list[str | None], phrases: Phrases, window: int = WINDOW) -> tuple[np.ndarray, list[tuple[int, np.ndarray, list]]]:
-    """Words of each text, and for each text with an occurrence: its number, hit words (mask), items."""
-    get, parts, ends, total = phrases.ids.get, [], [], 0
+def scan(texts: list[str | None], phrases: Phrases, most: int = SHARD_WORDS) -> tuple[np.ndarray, list[tuple[int, np.ndarray, list]]]:
+    """Words of each text, and for each text with an occurrence: its number, hit words (mask), items.
+
+    Texts that follow each other share an index as long as they have no more than ``most`` words together.
+    """
+    get, n_words, out, held, size = phrases.ids.get, [], [], [], 0
     for t in texts:
         w = words_of(t)
-        parts.append(np.fromiter((get(x, 0) for x in w), np.int64, len(w)))
-        total += len(w)
-        ends.append(total)
-    n_words = np.diff(np.array([0, *ends], np.int64))
+        if held and size + len(w) > most:
+            out += _scan(held, len(n_words) - len(held), phrases)
+            held, size = [], 0
+        held.append(np.fromiter((get(x, 0) for x in w), np.int64, len(w)))
+        size += len(w)
+        n_words.append(len(w))
+    return np.array(n_words, np.int64), out + _scan(held, len(n_words) - len(held), phrases)
+
+
+def _scan(parts: list[np.ndarray], number: int, phrases: Phrases) -> list[tuple[int, np.ndarray, list]]:
+    """The occurrences in one index over the word codes of texts, numbered from ``number`` on."""
+    ends = np.cumsum([len(c) for c in parts]).tolist()
+    total = ends[-1] if ends else 0
     if not total or not len(phrases.lengths):
-        return n_words, []
+        return []
     code = np.concatenate(parts)
     starts = np.array([0, *ends[:-1]], np.int64)
     brk = code == 0
@@ -192,7 +205,7 @@ def scan(texts: list[str | None], phrases: Phrases, window: int = WINDOW) -> tup
     first = first[:total]
     keep = np.flatnonzero(~brk)
     if not len(keep):
-        return n_words, []
+        return []
     # a boundary before a kept word that begins a text or follows a word left out
     gap = np.ones(len(keep), bool)
     gap[1:] = keep[1:] != keep[:-1] + 1
@@ -213,7 +226,7 @@ def scan(texts: list[str | None], phrases: Phrases, window: int = WINDOW) -> tup
             where.append(word_at[index.locate(flat)])
             which.append(np.repeat(numbers[q], size))
     if not where:
-        return n_words, []
+        return []
     where, which = np.concatenate(where), np.concatenate(which)
     diff = np.bincount(where, minlength=total + 1) - np.bincount(where + phrases.lengths[which], minlength=total + 1)
     hit = np.cumsum(diff)[:total] > 0
@@ -224,8 +237,8 @@ def scan(texts: list[str | None], phrases: Phrases, window: int = WINDOW) -> tup
     for i, j in zip(cut, [*cut[1:], len(doc)]):
         d = int(doc[i])
         own = {int(k) for x in which[i:j] for k in phrases.flat[phrases.first[x] : phrases.first[x + 1]]}
-        out.append((d, hit[starts[d] : ends[d]], [phrases.names[k] for k in sorted(own)]))
-    return n_words, out
+        out.append((number + d, hit[starts[d] : ends[d]], [phrases.names[k] for k in sorted(own)]))
+    return out
 
 
 def runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -258,7 +271,7 @@ def _pieces(text: str | None, most: int, window: int) -> list[tuple[int, str | N
 def leaks(texts: list[str | None], phrases: Phrases, window: int = WINDOW, most: int = SHARD_WORDS) -> list[tuple[int, int, list, list]]:
     """(words, hit words, items, spans) of each text."""
     pieces = [(k, i, t) for k, text in enumerate(texts) for i, t in _pieces(text, most, window)]
-    n_words, found = scan([t for _, _, t in pieces], phrases, window)
+    n_words, found = scan([t for _, _, t in pieces], phrases, most)
     n, masks, items = [0] * len(texts), {}, {}
     for (k, i, _), w in zip(pieces, n_words.tolist()):
         n[k] = max(n[k], i + w)

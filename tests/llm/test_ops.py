@@ -78,6 +78,24 @@ def test_leaks_as_by_hand(spark, monkeypatch):
     assert [(a, b, c) for a, b, c, _ in pieces] == want
 
 
+def test_leaks_of_a_very_long_text():
+    """More than 2.1 million indexed words in one text, and in rows that come together."""
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(200)]
+    item = rng.sample(vocab, 200)
+    block = rng.choices(vocab, k=5000)
+    w = (block * 440)[:2_200_000]
+    for k in (1000, 900_000, decontaminate.SHARD_WORDS - 5, 2_150_000):
+        w[k : k + 11] = item[20:31]
+    windows = {tuple(item[i : i + decontaminate.WINDOW]) for i in range(191)}
+    hit = {i + j for i in range(len(w) - 9) if tuple(w[i : i + decontaminate.WINDOW]) in windows for j in range(decontaminate.WINDOW)}
+    phrases = decontaminate.Phrases([(1, " ".join(item))])
+    ((n, n_hit, items, spans),) = decontaminate.leaks([" ".join(w)], phrases)
+    assert (n, n_hit, items) == (len(w), len(hit), [1]) and {i for a, b in spans for i in range(a, b)} == hit and n_hit >= 44
+    rows = decontaminate.leaks([" ".join(w[i : i + 100_000]) for i in range(0, len(w), 100_000)], phrases)
+    assert [r[1] for r in rows] == [sum(i <= h < i + 100_000 for h in hit) for i in range(0, len(w), 100_000)]
+
+
 def test_cut_texts_hold_no_window(spark):
     rng = random.Random(2)
     item = prose(rng, 30, 1000)
