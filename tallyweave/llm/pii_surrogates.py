@@ -4,7 +4,8 @@ One expression finds entities; each is replaced by a value of its own kind that
 form: the same entity gets the same surrogate everywhere, in whatever format it is written. Letters stay letters of
 their case, digits digits, punctuation stays; names keep script and gender, card numbers their check digit. All
 entities of the corpus are then checked: where two share a surrogate, or a surrogate is an entity that is there,
-the later one is made anew with the next number, until all differ.
+the later one is made anew with the next number, until all differ. A person is checked by surname, and persons of one
+surname by given name: one that shares the given name's surrogate gets a made-up one, and the surname's stays.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import new_path, stash, table
+from tallyweave.llm.common import stash, table
 
 KEY = "surrogate-key-1"
-#: Entities that need another number, in one lookup map; more go in as many maps.
+#: Entities that need another number, up to which all rows look in one map; more are joined to the lists that hold them.
 MAP_ROWS = 10_000
 
 # Given names by gender and script, titles by gender, syllables of made-up surnames.
@@ -26,6 +27,8 @@ NAMES = {
     ("m", "cyrillic"): "Иван Пётр Павел Сергей Андрей Дмитрий Николай Виктор".split(),
 }
 TITLES = {"f": "Mrs Ms Miss Frau Mme Sra Señora".split(), "m": "Mr Herr Monsieur Sr Señor".split(), "x": "Dr Prof".split()}
+#: Ends of made-up given names.
+ENDS = {("f", "latin"): "a", ("m", "latin"): "n", ("f", "cyrillic"): "я", ("m", "cyrillic"): "н"}
 SYLLABLES = {"latin": "ba be bi bo da de di do fa fe ga go ka ke la le li lo ma me mi mo na ne no pa ra re ri ro sa se so ta te to va ve vi zo".split(), "cyrillic": "ба бе би бо ва ве ви га го да де до ка ко ла ле ли ло ма ме ми мо на не но па по ра ре ри ро са се со та те то ха хо".split()}
 
 _ALL_NAMES = "|".join(sorted({n for v in NAMES.values() for n in v}))
@@ -115,11 +118,14 @@ def _surname(word: Column, number: Column) -> Column:
 
 
 def _given(word: Column, gender: Column, number: Column) -> Column:
+    """One of the names for number 0, a made-up one for any other."""
     d = _digest(F.lit("given"), word, number)
     out = word
     for (g, script), names in NAMES.items():
-        made = F.get(F.array(*map(F.lit, names)), F.pmod(_byte(d, F.lit(0)), F.lit(len(names))))
-        out = F.when((gender == g) & (_script(word) == script), made).otherwise(out)
+        known = F.get(F.array(*map(F.lit, names)), F.pmod(_byte(d, F.lit(0)), F.lit(len(names))))
+        parts = F.array(*map(F.lit, SYLLABLES[script]))
+        made = F.initcap(F.concat(*(F.get(parts, F.pmod(_byte(d, F.lit(i)), F.lit(len(SYLLABLES[script])))) for i in range(4)), F.lit(ENDS[g, script])))
+        out = F.when((gender == g) & (_script(word) == script), F.when(number == 0, known).otherwise(made)).otherwise(out)
     return out
 
 
@@ -147,8 +153,14 @@ def entity_key(m: Column) -> tuple[Column, Column]:
     return F.when(kind == "person", "surname").otherwise(kind), F.when(kind == "person", F.lower(_parts(m)[2])).otherwise(_canon(kind, m))
 
 
-def surrogate(m: Column, number: Column) -> Column:
-    """The replacement of a found entity; ``number`` is 0 unless a check has made it larger."""
+def _person(m: Column) -> tuple[Column, Column, Column]:
+    """Surname in lower case, given name or '', gender: what tells persons apart."""
+    title, given, last = _parts(m)
+    return F.lower(last), given, _gender(F.regexp_replace(title, r"\.? $", ""), given)
+
+
+def surrogate(m: Column, number: Column, given_number: Column | None = None) -> Column:
+    """The replacement of a found entity; the numbers, of a person's surname and given name, are 0 unless a check has made them larger."""
     kind = _kind(m)
     d = _digest(kind, _canon(kind, m), number)
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
@@ -160,8 +172,8 @@ def surrogate(m: Column, number: Column) -> Column:
     akia = F.startswith(m, F.lit("AKIA"))
     secret = F.when(akia, F.concat(F.lit("AKIA"), F.substring(_like(m, d), F.lit(5), F.length(m)))).otherwise(_like(m, d, m.rlike("^[0-9a-f]+$")))
     title, given, last = _parts(m)
-    gender = _gender(F.regexp_replace(title, r"\.? $", ""), given)
-    person = F.concat(title, F.when(given == "", "").otherwise(F.concat(_given(given, gender, F.lit(0)), F.lit(" "))), _surname(last, number))
+    first = _given(given, _person(m)[2], F.lit(0) if given_number is None else given_number)
+    person = F.concat(title, F.when(given == "", "").otherwise(F.concat(first, F.lit(" "))), _surname(last, number))
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "card", _card(m, d)).when(kind == "ssn", _like(m, d)).when(kind == "person", person).otherwise(secret)
 
 
@@ -185,33 +197,57 @@ def _renumbered(found: DataFrame, rounds: int = 50) -> DataFrame:
             raise RuntimeError("surrogates do not come apart")
 
 
+def _renumbered_given(found: DataFrame, rounds: int = 50) -> DataFrame:
+    """(kind, canon, number) of the persons of ``found(kind, m)`` whose given name's surrogate another of the surname has."""
+    last, given, gender = _person(F.col("m"))
+    people = found.where("kind = 'surname'").select(last.alias("last"), given.alias("given"), gender.alias("gender")).where("given <> ''").distinct()
+    own = stash(people.withColumn("number", F.lit(0)), "pii-persons")
+    while True:
+        made = own.withColumn("s", _given(F.col("given"), F.col("gender"), F.col("number")))
+        nth = F.row_number().over(Window.partitionBy("last", "s").orderBy(F.desc(F.col("number") == 0), "given", "gender"))
+        again = made.withColumn("again", nth > 1)
+        nxt = stash(again.select("last", "given", "gender", (F.col("number") + F.col("again").cast("int")).alias("number"), "again"), "pii-persons")
+        if not nxt.where("again").limit(1).count():
+            return nxt.where("number > 0").select(F.lit("given").alias("kind"), F.concat_ws("|", "last", "given", "gender").alias("canon"), "number")
+        own = nxt.drop("again")
+        rounds -= 1
+        if not rounds:
+            raise RuntimeError("given names do not come apart")
+
+
 def replace_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the entities of ``text`` replaced, and ``n_entities``; a column of this name is replaced.
 
     A null text stays null with no entities; a text without entities stays as it is; rows that repeat are alike; an empty
-    table gives an empty one. Texts are read twice, whole, and never shuffled: only the entities are.
+    table gives an empty one. Texts are read twice, whole, and only the entities are shuffled, unless more than MAP_ROWS
+    of them need another number: then texts meet theirs in one join.
     """
-    spark = docs.sparkSession
     own = [c for c in docs.columns if c != "n_entities"]
     match = F.regexp_extract_all(F.col(text), F.lit(_ANY), F.lit(0))
-    m = docs.select(F.explode(match).alias("m")).groupBy("m").agg(F.lit(1).alias("one"))
+    lists = stash(docs.select(match.alias("_m")).where("size(_m) > 0"), "pii-lists")
+    m = lists.select(F.explode("_m").alias("m")).groupBy("m").agg(F.lit(1).alias("one"))
     kind, canon = entity_key(F.col("m"))
-    other = _renumbered(m.select(kind.alias("kind"), canon.alias("canon"), "m"))
+    entities = stash(m.select(kind.alias("kind"), canon.alias("canon"), "m"), "pii-found")
+    other = _renumbered(entities).unionByName(_renumbered_given(entities))
     many = other.count()
     found = docs.select(*own, F.coalesce(match, F.array().cast("array<string>")).alias("_m"))
-    number = lambda x: F.lit(0)
+    key = lambda x: F.concat_ws("|", *entity_key(x))
+    given_key = lambda x: F.concat_ws("|", F.lit("given"), *_person(x))
+    number = lambda k: F.lit(0)
     if many:
-        blocks = -(-many // MAP_ROWS)
-        keyed = other.select(F.concat_ws("|", "kind", "canon").alias("k"), "number").withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)))
-        path = new_path(spark, "pii-other")
-        keyed.write.partitionBy("b").parquet(path)
-        maps = []
-        for b in range(blocks):
-            part = spark.read.parquet(path).where(f"b = {b}").agg(F.map_from_entries(F.collect_list(F.struct("k", "number"))).alias("x"))
-            found = found.withColumn(f"_map{b}", part.scalar())
-            maps.append(F.col(f"_map{b}"))
-        number = lambda x: F.coalesce(*(F.try_element_at(p, F.concat_ws("|", *entity_key(x))) for p in maps), F.lit(0))
-    made = F.transform("_m", lambda x: surrogate(x, number(x)))
+        number = lambda k: F.coalesce(F.try_element_at("_map", k), F.lit(0))
+        keyed = other.select(F.concat_ws("|", "kind", "canon").alias("k"), "number")
+        numbers = F.map_from_entries(F.collect_list(F.struct("k", "number"))).alias("_map")
+        if many <= MAP_ROWS:
+            found = found.withColumn("_map", stash(keyed.agg(numbers), "pii-other").scalar())
+        else:
+            of = F.sha2(F.array_join("_m", "\n"), 256)
+            once = lists.select(of.alias("_of"), "_m").dropDuplicates(["_of"])
+            keys = F.array_distinct(F.concat(F.transform("_m", key), F.transform(F.filter("_m", lambda x: _kind(x) == "person"), given_key)))
+            per = once.select("_of", F.explode(keys).alias("k")).join(keyed, "k").groupBy("_of").agg(numbers)
+            # a text without entities goes by itself
+            found = found.withColumn("_of", F.when(F.size("_m") > 0, of).otherwise(F.sha2(F.concat(F.lit("text"), F.col(text)), 256))).join(per, "_of", "left")
+    made = F.transform("_m", lambda x: surrogate(x, number(key(x)), number(given_key(x))))
     gaps = F.split(F.col(text), _ANY, -1)
     whole = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), made.alias("s")), lambda z: F.concat(z["g"], F.coalesce(z["s"], F.lit("")))), "")
     out = found.withColumn("_text", F.when(F.size("_m") > 0, whole).otherwise(F.col(text)))

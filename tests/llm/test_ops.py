@@ -303,6 +303,28 @@ def test_surrogates_are_distinct_consistent_and_alike(spark):
     assert pii_surrogates.replace_pii(d.limit(0)).count() == 0
 
 
+def test_persons_of_one_surname_stay_apart(spark, monkeypatch):
+    """By given name, in one map and in a join; a surname keeps its surrogate, a person hers in any title."""
+    names = pii_surrogates.NAMES
+    people = [(g, f"{n} {last}") for last in ("Smith", "Keller") for g in "fm" for n in names[g, "latin"]] + [(g, f"{n} Иванова") for g in "fm" for n in names[g, "cyrillic"]]
+    people += [("m", f"Mr {''.join(random.Random(i).choices('abcdefghij', k=6)).title()} Smith") for i in range(400)]
+    d = docs(spark, [f"By {p}." for _, p in people] + ["By Mrs Anna Smith.", "By Mr Smith.", None, "nothing"])
+    seen = []
+    for rows in (pii_surrogates.MAP_ROWS, 10):
+        monkeypatch.setattr(pii_surrogates, "MAP_ROWS", rows)
+        got = [r.text for r in pii_surrogates.replace_pii(d).orderBy("doc_id").collect()]
+        assert len(set(got[: len(people)])) == len(people) and got[-2:] == [None, "nothing"]
+        last = {(p.split()[-1], t.split()[-1]) for (_, p), t in zip(people, got)}
+        assert len(last) == 3 and got[-3].split()[-1] == dict(last)["Smith"]
+        assert got[-4] == got[0].replace("By ", "By Mrs ") and people[0][1] == "Anna Smith"
+        for (g, p), t in zip(people, got):
+            first = t.split()[-2]
+            script = "cyrillic" if p[-1] == "а" else "latin"
+            assert first in names[g, script] or first.endswith(pii_surrogates.ENDS[g, script])
+        seen.append(got)
+    assert seen[0] == seen[1]
+
+
 # ---- 9 ----
 
 
