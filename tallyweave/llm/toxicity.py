@@ -8,8 +8,9 @@ compares its log-likelihoods by length: the mean log ratio of a letter, and how
 by the word and in all (the mix of languages moves the mean of all letters, the few words that are said in one class
 only do not move with it). Three weights bring these to a probability, on labelled rows that no count has seen.
 
-Counts and models are DataFrames of any size. What goes to the executors is a table of BUCKETS log ratios,
-whatever the corpus: grams that share a bucket share their mean, weighted by count.
+Counts and models are DataFrames of any size. What goes to the executors is a sorted table of all counted grams and
+contexts with their log ratios, 12 bytes each: it grows with the distinct grams, and none shares another's ratio. An unseen
+gram has its context's ratio of backing off (the shared model is the same in both classes), 0 after an unseen context.
 """
 
 from __future__ import annotations
@@ -35,8 +36,6 @@ DISCOUNT = 0.75
 LEAN = 8.0
 #: Log ratio from which a word speaks for the toxic model by itself.
 CLEAR = 2.5
-#: Entries of the table of log ratios.
-BUCKETS = 4_194_301
 #: Labelled rows kept from counting, as one of so many; and how many of them fit the weights and the bias.
 FOLD = 5
 CALIBRATION_ROWS = 20_000
@@ -77,11 +76,6 @@ def grams(texts: list[str | None], codes: np.ndarray) -> tuple[np.ndarray, np.nd
     return g, np.diff(np.searchsorted(at, np.cumsum(lengths), side="left"), prepend=0)
 
 
-def bucket(g):  # noqa: ANN001, ANN201
-    """A packed gram's entry in the table; the same for a Column and an array, without overflow."""
-    return g % 2147483629 * 1103515245 % 2147483647 % BUCKETS
-
-
 def _pieces(batches):  # noqa: ANN001
     for batch in batches:
         step = max(1, batch.num_rows * PIECE_CHARS // max(1, batch.nbytes))
@@ -122,7 +116,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
 
 
 def log_ratios(counts: DataFrame) -> DataFrame:
-    """(g, c, llr): each gram's pooled count and log P(toxic) - log P(ordinary) of its last letter."""
+    """(g, llr): log P(toxic) - log P(ordinary) of each gram's last letter; with 0 as last letter, of one not seen there."""
     top = counts.withColumn("v", F.col("t") + F.col("o"))
     # levels from the highest order down: how many letters precede a gram, or, at a word's start, how often it stands
     levels = [top.select("g", "v")]
@@ -147,7 +141,24 @@ def log_ratios(counts: DataFrame) -> DataFrame:
         lean = DISCOUNT * F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).over(ctx) + LEAN
         return (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + lean * F.col("pp")) / (F.sum(c).over(ctx) + LEAN)
 
-    return d.select("g", F.col("v").alias("c"), (F.log(own("t")) - F.log(own("o"))).alias("llr"))
+    def back(c: str) -> Column:
+        return (DISCOUNT * F.sum(F.when(F.col(c) > 0, 1).otherwise(0)) + LEAN) / (F.sum(c) + LEAN)
+
+    seen = d.select("g", (F.log(own("t")) - F.log(own("o"))).alias("llr"))
+    other = top.groupBy(F.expr(f"shiftleft(shiftright(g, {BITS}), {BITS})").alias("g")).agg((F.log(back("t")) - F.log(back("o"))).alias("llr"))
+    return seen.unionByName(other)
+
+
+def look_up(g: np.ndarray, keys: np.ndarray, llr: np.ndarray) -> np.ndarray:
+    """The log ratio of each of ``g`` in the table of sorted ``keys``."""
+    own, back = np.unique(g, return_inverse=True)
+    out = np.zeros(len(own))
+    if len(keys):
+        for k in (own >> BITS << BITS, own):
+            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+            hit = keys[at] == k
+            out[hit] = llr[at[hit]]
+    return out[back]
 
 
 _OWN = ("n_grams", "llr_sum", "words", "excess")
@@ -166,10 +177,10 @@ def score_features(docs: DataFrame, ratios, text: str = "text") -> DataFrame:  #
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t, _ in added)])
 
     def run(batches):  # noqa: ANN001
-        codes, lut = letter_codes(), ratios.value
+        codes, (keys, own) = letter_codes(), ratios.value
         for batch in _pieces(batches):
             g, n = grams(batch.column(text).to_pylist(), codes)
-            llr, ends = lut[bucket(g)].astype(np.float64), np.cumsum(n)
+            llr, ends = look_up(g, keys, own), np.cumsum(n)
             last = g & ((1 << BITS) - 1) == 1
             nth = np.concatenate([[0], np.cumsum(last)])
             total = np.concatenate([[0.0], np.cumsum(llr)])
@@ -219,11 +230,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     slim = docs.select(F.col(key).alias("_k"), F.col(text).alias("text"))
     labelled = slim.join(maybe_broadcast(own, size[0]), "_k")
     counts = stash(count_grams(labelled.where("not _calibrates").select("text", F.col("toxic").cast("long").alias("toxic"))), "toxic-grams")
-    per = log_ratios(counts).groupBy(bucket(F.col("g")).cast("int").alias("b")).agg((F.sum(F.col("llr") * F.col("c")) / F.sum("c")).cast("float").alias("llr"))
-    got = per.toArrow()
-    lut = np.zeros(BUCKETS, np.float32)
-    lut[got.column("b").to_numpy()] = got.column("llr").to_numpy()
-    ratios = spark.sparkContext.broadcast(lut)
+    got = log_ratios(counts).select("g", F.col("llr").cast("float")).toArrow()
+    keys, llr = got.column("g").to_numpy(), got.column("llr").to_numpy()
+    order = np.argsort(keys)
+    ratios = spark.sparkContext.broadcast((keys[order], llr[order]))
     sample = score_features(labelled.where("_calibrates").select("_k", "text", "toxic"), ratios)
     fs = [f.alias(f"f{i}") for i, f in enumerate(features())]
     got = sample.select(F.xxhash64("_k").alias("h"), *fs, F.col("toxic").cast("long").alias("toxic")).orderBy("h").limit(CALIBRATION_ROWS).toArrow()

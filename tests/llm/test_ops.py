@@ -3,6 +3,7 @@ repeated rows, empty tables, clashing column names."""
 
 import hashlib
 import io
+import math
 import random
 import re
 import struct
@@ -242,6 +243,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert hit >= 0.8 * sum(r.toxic for r in held) and hit >= 0.9 * sum(r.predicted for r in held)
 
 
+def test_toxicity_of_unseen_grams(spark):
+    """A letter not seen after a context has the context's backoff, after an unseen context nothing."""
+    d = docs(spark, ["abc " * (1 + i % 5) if i % 3 == 0 else "abd abd" for i in range(900)])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(900)], "doc_id long, toxic int")
+    counted = labels.where(~toxicity.held_out(F.col("doc_id")) & (F.pmod(F.xxhash64("doc_id"), F.lit(toxicity.FOLD)) != 0)).join(d, "doc_id").collect()
+    t, o = (sum(len(r.text.split()) for r in counted if r.toxic == k) for k in (1, 0))
+    back = lambda n: math.log((toxicity.DISCOUNT + toxicity.LEAN) / (n + toxicity.LEAN))
+    got = toxicity.score_features(docs(spark, ["zzz", "zqx"]), toxicity.fit(d, labels).table).collect()
+    assert abs(back(t) - back(o)) > 0.01
+    assert [r.llr_sum for r in got] == pytest.approx([back(t) - back(o)] * 2, abs=1e-5)
+
+
 def test_toxicity_of_odd_tables(spark):
     rng = random.Random(6)
     texts = [prose(rng, 30) + (" vile" * 3 if i % 3 == 0 else "") for i in range(900)] + [None, "", "!!! 12", "vile " * 20000, "\U0001f600 ﬁ ß"]
