@@ -1,16 +1,13 @@
 """Chat formatting with a grammar round trip, in built-in functions only.
 
-A turn is an opening mark, a text and a closing mark. The parser is one regular expression of all turn forms, and it
-always undoes escapes. Each turn is rendered as it is, parsed and compared; only if it comes back otherwise (its text
-holds a closing mark, or something that reads as an escape) are backslashes and brackets escaped. The whole
-conversation is then parsed and compared; should turns that are sound alone read differently together, all are escaped,
-and such texts hold no bracket and no lone backslash, so that nothing but the marks can be read as marks.
+A turn is an opening mark, a text and a closing mark. No control string is ever written inside a text: each one gets a
+backslash behind its bracket (one more, if it has some there), which the parser takes away again. So nothing but the marks
+can be read as marks, by this parser or any other. The formatted conversation is then reparsed with one regular expression
+of all turn forms and compared with the source; ``exact`` says that it came back as it was.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,22 +16,33 @@ from tallyweave.llm.common import table
 #: Marks of roles; other roles are named in their opening mark.
 MARKS = {"system": ("<<SYS>>\n", "\n<</SYS>>\n"), "user": ("[INST] ", " [/INST]"), "assistant": ("<s> ", " </s>")}
 OTHER = ("[ROLE ", "] ", " [/ROLE]")
-_ESCAPES = (("\\", "\\s"), ("<", "\\l"), (">", "\\g"), ("[", "\\b"), ("]", "\\e"))
 TURN = r"(?s)<<SYS>>\n.*?\n<</SYS>>\n|\[INST\] .*? \[/INST\]|<s> .*? </s>|\[ROLE .*?\] .*? \[/ROLE\]"
+#: A control string behind its bracket; none overlaps another.
+_CONTROL = r"(<SYS>>|</SYS>>|s>|/s>|INST\]|/INST\]|ROLE|/ROLE\])"
 
 
 def escape(c: Column) -> Column:
-    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), _ESCAPES, c)
+    """One backslash more behind the bracket of each control string; it can always be taken away again."""
+    return F.regexp_replace(c, rf"([<\[])(\\*){_CONTROL}", r"$1\\$2$3")
 
 
 def unescape(c: Column) -> Column:
-    return reduce(lambda x, e: F.replace(x, F.lit(e[1]), F.lit(e[0])), reversed(_ESCAPES), c)
+    return F.regexp_replace(c, rf"([<\[])\\(\\*){_CONTROL}", "$1$2$3")
+
+
+def escape_role(c: Column) -> Column:
+    """As ``escape``, and so that what ends a role's name in its mark does not stand in it."""
+    return F.regexp_replace(escape(c), r"\](\\*) ", r"]\\$1 ")
+
+
+def unescape_role(c: Column) -> Column:
+    return unescape(F.regexp_replace(c, r"\]\\(\\*) ", "]$1 "))
 
 
 def render(role: Column, text: Column) -> Column:
-    out = F.concat(F.lit(OTHER[0]), role, F.lit(OTHER[1]), text, F.lit(OTHER[2]))
+    out = F.concat(F.lit(OTHER[0]), escape_role(role), F.lit(OTHER[1]), escape(text), F.lit(OTHER[2]))
     for name, (a, b) in MARKS.items():
-        out = F.when(role == name, F.concat(F.lit(a), text, F.lit(b))).otherwise(out)
+        out = F.when(role == name, F.concat(F.lit(a), escape(text), F.lit(b))).otherwise(out)
     return out
 
 
@@ -51,43 +59,34 @@ def _inner(turn: Column) -> Column:
 def parse(formatted: Column) -> Column:
     """Array of (role, text, start, chars, raw): turns as they were, and where each written text stands, from 0."""
     turns = F.regexp_extract_all(formatted, F.lit(TURN), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<role:string,text:string,start:int,chars:int,raw:string>>").alias("out"))
+    # where each turn begins: only these numbers are carried along
+    begins = F.aggregate(turns, F.array(F.lit(0)), lambda s, t: F.concat(s, F.array(F.element_at(s, -1) + F.length(t))))
 
-    def step(s: Column, t: Column) -> Column:
+    def one(t: Column, at: Column) -> Column:
         x = _inner(t)
-        one = F.struct(unescape(x["role"]).alias("role"), unescape(x["text"]).alias("text"), (s["at"] + x["skip"]).cast("int").alias("start"), F.length(x["text"]).cast("int").alias("chars"), t.alias("raw"))
-        return F.struct((s["at"] + F.length(t)).cast("int").alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
-
-    return F.aggregate(turns, zero, step)["out"]
-
+        return F.struct(unescape_role(x["role"]).alias("role"), unescape(x["text"]).alias("text"), (at + x["skip"]).cast("int").alias("start"), F.length(x["text"]).cast("int").alias("chars"), t.alias("raw"))
 
-def _sound(raw: Column, role: Column, text: Column) -> Column:
-    """Whether a turn comes back from the parser as it went in, alone and whole."""
-    got = F.regexp_extract_all(raw, F.lit(TURN), F.lit(0))
-    x = _inner(raw)
-    return (F.size(got) == 1) & (F.get(got, F.lit(0)) == raw) & (unescape(x["role"]) == role) & (unescape(x["text"]) == text)
+    return F.transform(F.filter(F.arrays_zip(turns.alias("t"), begins.alias("at")), lambda z: z["t"].isNotNull()), lambda z: one(z["t"], z["at"]))
 
 
 def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, formatted, turns, loss_spans), a row a conversation.
+    """(conv, formatted, turns, loss_spans, exact), a row a conversation.
 
-    turns are read back from ``formatted``; loss_spans are (start, chars) of the assistant texts in it, from 0. Null roles
-    and texts are empty; turns are ordered by number (null first), then role and text; rows that repeat are turns
-    each; a null conversation id is a conversation. Other columns are not used; an empty table gives an empty one. A conversation is one
-    row, as the training example that it becomes.
+    turns are read back from ``formatted``, and ``exact`` if they are the source's; loss_spans are (start, chars) of the assistant texts
+    in it, from 0. Null roles and texts are empty; turns are ordered by number (null first), then role and text; rows that repeat are
+    turns each; a row without a conversation id is a conversation of its own. Other columns are not used, whatever their
+    names; an empty table gives an empty one. A conversation is one row, as the training example that it becomes.
     """
-    r = rows.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    plain, safe = render(F.col("role"), F.col("text")), render(escape(F.col("role")), escape(F.col("text")))
-    r = r.withColumn("plain", plain).withColumn("written", F.when(_sound(F.col("plain"), F.col("role"), F.col("text")), F.col("plain")).otherwise(safe)).withColumn("safe", safe)
-    c = r.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "written"))).alias("t"))
-    once = F.array_join(F.transform("t", lambda x: x["written"]), "")
-    again = F.array_join(F.transform("t", lambda x: render(escape(x["role"]), escape(x["text"]))), "")
-    c = c.withColumn("formatted", once).withColumn("turns", parse(F.col("formatted")))
-    same = F.transform("turns", lambda x: F.struct(x["role"], x["text"])).cast("array<struct<role:string,text:string>>") == F.transform("t", lambda x: F.struct(x["role"], x["text"])).cast("array<struct<role:string,text:string>>")
+    r = rows.select(F.col(conv).alias("conv"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("x"))
+    r = r.select("conv", F.struct("x.*", render(F.col("x.role"), F.col("x.text")).alias("written")).alias("x"))
+    c = r.where("conv IS NOT NULL").groupBy("conv").agg(F.array_sort(F.collect_list("x")).alias("t"))
+    c = c.unionByName(r.where("conv IS NULL").select("conv", F.array("x").alias("t")))
+    c = c.withColumn("formatted", F.array_join(F.transform("t", lambda x: x["written"]), "")).withColumn("turns", parse(F.col("formatted")))
+    pair = "array<struct<role:string,text:string>>"
+    same = F.transform("turns", lambda x: F.struct(x["role"], x["text"])).cast(pair) == F.transform("t", lambda x: F.struct(x["role"], x["text"])).cast(pair)
     whole = F.array_join(F.transform("turns", lambda x: x["raw"]), "") == F.col("formatted")
-    c = c.withColumn("formatted", F.when(same & whole, F.col("formatted")).otherwise(again)).withColumn("turns", F.when(same & whole, F.col("turns")).otherwise(parse(again)))
     spans = F.transform(F.filter("turns", lambda x: x["role"] == "assistant"), lambda x: F.struct(x["start"].alias("start"), x["chars"].alias("chars")))
-    return c.select(F.col("conv").alias(conv), "formatted", "turns", spans.alias("loss_spans"))
+    return c.select(F.col("conv").alias(conv), "formatted", "turns", spans.alias("loss_spans"), (same & whole).alias("exact"))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,18 +96,21 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = format_chats(rows.unionByName(extra))
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["chars"]))), "")
-    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "exact")
 
 
+# the expected length counts escapes on the plain texts, by strings and not by this module's rule
 SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-m AS (SELECT *, CASE role WHEN 'system' THEN chr(10) || '<</SYS>>' || chr(10) WHEN 'user' THEN ' [/INST]' WHEN 'assistant' THEN ' </s>' ELSE ' [/ROLE]' END AS closing,
- CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE 16 + length(role) END AS marks FROM c),
-e AS (SELECT *, strpos(t || closing, closing) <> length(t) + 1 OR regexp_matches(t, '\\[slgbe]') OR (closing = ' [/ROLE]' AND regexp_matches(role, '\\[slgbe]|\] ')) AS bad FROM m),
-f AS (SELECT *, length(t) + marks + CASE WHEN bad THEN length(t) - length(regexp_replace(t, '[\\<>\[\]]', '', 'g')) + CASE WHEN closing = ' [/ROLE]' THEN length(role) - length(regexp_replace(role, '[\\<>\[\]]', '', 'g')) ELSE 0 END ELSE 0 END AS n FROM e)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+k AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own,
+ CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE 16 + length(role) + length(role) - length(regexp_replace(role, '\](\\*) ', ']\1', 'g')) END AS marks FROM c),
+e AS (SELECT *, CAST(list_sum(list_transform(['<<SYS>>', '<</SYS>>', '<s>', '</s>', '[INST]', '[/INST]', '[ROLE', '[/ROLE]'],
+  lambda w: (length(x) - length(replace(x, w, ''))) // length(w))) AS BIGINT) AS escapes
+ FROM (SELECT *, regexp_replace(t || CASE WHEN role IN ('system', 'user', 'assistant') THEN '' ELSE chr(10) || role END, '([<\[])\\+', '\1', 'g') AS x FROM k))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role, t)) AS turns_sha256,
  CAST(coalesce(sum(length(t)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
- sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
-FROM f GROUP BY conv_id
+ sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role, t) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(length(t) + marks + escapes) AS BIGINT) AS formatted_chars, true AS exact
+FROM e GROUP BY conv_id, own
 """

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +34,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Stashed tables of this process that are still there.
+_LIVE: set[str] = set()
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at replicated files, so a lost
     executor costs a re-read and not a re-computation."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    _LIVE.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
@@ -47,6 +54,27 @@ def unstash(*dfs: DataFrame) -> None:
     """Delete stashed tables that no later plan reads."""
     for df in dfs:
         remove(df.sparkSession, df._stash_path)
+        _LIVE.discard(df._stash_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete at the end all that was stashed within, but for the tables in the list that is given."""
+    before, kept = set(_LIVE), []
+    try:
+        yield kept
+    finally:
+        own = {df._stash_path for df in kept}
+        for path in _LIVE - before - own:
+            remove(spark, path)
+        _LIVE.intersection_update(before | own)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this process has stashed, once the results that read it are done with."""
+    for path in list(_LIVE):
+        remove(spark, path)
+    _LIVE.clear()
 
 
 def hadoop(spark: SparkSession, path: str):

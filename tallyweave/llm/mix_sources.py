@@ -55,48 +55,49 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_
 
 
 def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: str = SEED) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``; columns of these names are replaced.
+    """(doc, size, source_size, target, copies): ``docs``' rows as structs ``doc``, so that no name of theirs can clash.
 
     A null text has size 0; null is a source like others; rows that repeat count each; a source without words gets no
-    copies; an empty table gives an empty one. Within a block rows are ordered by size, so that what is taken
-    keeps near the target for short and long documents alike, then by key and text. The same rows give the same
-    copies, whatever their partitions.
+    copies; an empty table gives an empty one; rows without a key are dealt to blocks by their text. Within a block rows are ordered by
+    size, so that what is taken keeps near the target for short and long documents alike, then by key and text. The same rows give the
+    same copies, whatever their partitions. What one task orders at once is a block of a source, or the sources themselves.
     """
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "_skey", "_block")]
     blocks = max(1, -(-docs.count() // BLOCK_ROWS))
-    d = docs.select(*own, word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("_tie"), _name(F.col(source)).alias("_skey"), (_hash(F.concat(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))) % blocks).alias("_block"))
-    counts = d.groupBy("_skey", "_block").agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
-    ahead = Window.partitionBy("_skey").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).select("_skey", "_block", "_ahead")
-    sizes = counts.groupBy(F.col("_skey").alias("skey")).agg(F.sum("_size").alias("source_size"))
-    info = offsets.join(source_targets(sizes), F.col("_skey") == F.col("skey")).drop("skey")
-    rank = F.row_number().over(Window.partitionBy("_skey", "_block").orderBy("size", key, "_tie"))
-    x = d.withColumn("_nth", rank).join(info, ["_skey", "_block"])
+    tie = F.xxhash64(text)
+    name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    d = docs.select(F.struct("*").alias("doc"), word_count(F.col(text)).alias("size"), F.col(key).alias("key"), tie.alias("tie"), _name(F.col(source)).alias("skey"), (_hash(F.concat(F.lit(seed), name)) % blocks).alias("block"))
+    counts = d.groupBy("skey", "block").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    ahead = Window.partitionBy("skey").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).select("skey", "block", "ahead")
+    sizes = counts.groupBy("skey").agg(F.sum("words").alias("source_size"))
+    info = offsets.join(source_targets(sizes), "skey")
+    rank = F.row_number().over(Window.partitionBy("skey", "block").orderBy("size", "key", "tie"))
+    x = d.withColumn("nth", rank).join(info, ["skey", "block"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    shift = _hash(F.concat(F.lit(seed), F.col("_skey"))) / float(1 << 28)
+    shift = _hash(F.concat(F.lit(seed), F.col("skey"))) / float(1 << 28)
     upto = lambda k: F.floor(rate * k + shift)
-    last = F.col("_ahead") + F.col("_nth")
+    last = F.col("ahead") + F.col("nth")
     x = x.withColumn("copies", F.least(upto(last) - upto(last - 1), F.lit(MOST_COPIES)).cast("long"))
-    return x.select(*own, "size", "source_size", "target", "copies")
+    return x.select("doc", "size", "source_size", "target", "copies")
 
 
 def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", seed: str = SEED) -> DataFrame:
-    """The mix itself: each row as often as the plan takes it, with the columns of ``docs``. Nulls, ties, repeated rows
-    and empty tables as in ``mix_plan``."""
+    """The mix itself: each row as often as the plan takes it, with all columns of ``docs`` whatever their names. Nulls, ties,
+    repeated rows and empty tables as in ``mix_plan``."""
     planned = mix_plan(docs, text, source, key, seed).where("copies > 0")
-    return planned.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return planned.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return plan.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 SQL = rf"""
 WITH n AS (SELECT greatest(1, CAST(ceil(count(*) / {BLOCK_ROWS}.0) AS BIGINT)) AS blocks FROM documents),
 d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
- CAST('0x' || substr(md5('{SEED}' || CAST(doc_id AS VARCHAR)), 1, 7) AS BIGINT) % (SELECT blocks FROM n) AS block FROM documents),
+ CAST('0x' || substr(md5('{SEED}' || coalesce(CAST(doc_id AS VARCHAR), 't' || md5(coalesce(text, '')))), 1, 7) AS BIGINT) % (SELECT blocks FROM n) AS block FROM documents),
 s AS (SELECT skey, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY skey) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),
 c AS (SELECT *, source_size * 3 AS cap, CAST(source_size * 3 AS DOUBLE) / w AS full_at FROM w),

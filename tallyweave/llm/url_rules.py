@@ -20,8 +20,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 DEFAULT = "allow"
 #: URLs that one salt of a top-level label holds on average at least.
 SALT_ROWS = 2_000
-#: Sorts after every key that a rule's prefix covers.
-_END = "\U0010ffff"
+#: A byte that no UTF-8 text has: after a rule's prefix it sorts behind every key that the prefix covers. Keys are compared as bytes.
+_END = b"\xff"
 
 
 def host_of(url: Column) -> Column:
@@ -55,10 +55,10 @@ def rule_events(rules: DataFrame) -> DataFrame:
     around = shorter.join(r.select("host", F.col("path").alias("outer"), F.col("rule").alias("out")), ["host", "outer"]).groupBy("host", "path").agg(F.max_by("out", F.length("outer")).alias("around"))
     r = r.join(around, ["host", "path"], "left")
     none = F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
-    start = F.struct(F.lit(0).alias("kind"), F.lit("").alias("tail"), F.col("rule").alias("active"))
+    start = F.struct(F.lit(0).alias("kind"), F.lit(b"").alias("tail"), F.col("rule").alias("active"))
     end = F.struct(F.lit(2).alias("kind"), F.lit(_END).alias("tail"), F.coalesce("around", none).alias("active"))
     e = r.select(F.substring_index("host", ".", -1).alias("top"), F.size(F.split("host", r"\.")).alias("depth"), F.concat(_reversed(F.col("host")), "path").alias("prefix"), F.explode(F.array(start, end)).alias("e"))
-    return e.select("top", "depth", F.concat("prefix", "e.tail").alias("key"), "e.kind", "e.active")
+    return e.select("top", "depth", F.concat(F.col("prefix").cast("binary"), "e.tail").alias("key"), "e.kind", "e.active")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = DEFAULT) -> DataFrame:
@@ -78,7 +78,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     u = pages.select(F.struct(*own).alias("_row"), host_of(F.col(url)).alias("_host"), path_of(F.col(url)).alias("_path"))
     u = u.withColumn("_top", F.substring_index("_host", ".", -1)).withColumn("_salt", (F.monotonically_increasing_id() % salts).cast("int")).withColumn("_kind", F.lit(1))
     for d in depths:
-        u = u.withColumn(f"_key{d}", F.concat(_reversed(F.substring_index("_host", ".", -d)), "_path"))
+        u = u.withColumn(f"_key{d}", F.concat(_reversed(F.substring_index("_host", ".", -d)), "_path").cast("binary"))
     salted = events.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     e = salted.select(F.col("top").alias("_top"), "_salt", F.col("kind").alias("_kind"), *[x for d in depths for x in (F.when(F.col("depth") == d, F.col("key")).alias(f"_key{d}"), F.when(F.col("depth") == d, F.col("active")).alias(f"_active{d}"))])
     x = u.unionByName(e, allowMissingColumns=True)

@@ -127,26 +127,40 @@ def test_suffixes_and_index(symbols):
 # ---- 2 ----
 
 
+CLASHES = ("doc", "size", "source_size", "target", "copies", "key", "tie", "skey", "block", "nth", "ahead", "n", "rate", "w", "words")
+
+
 def test_mix_reaches_targets_and_bounds(spark):
     rng = random.Random(3)
     texts = [prose(rng, rng.randrange(1, 60)) for _ in range(4000)] + [None, "", "one"]
     names = {i: ["a", "b", "c", "d", None, "e\u00e9"][min(5, int(rng.random() ** 2 * 6))] for i in range(len(texts))}
-    d = docs(spark, texts, names).withColumn("copies", F.lit("clash"))
-    rows = mix_sources.mix_plan(d).collect()
-    assert len(rows) == len(texts) and all(0 <= r.copies <= 3 for r in rows)
+    plain = docs(spark, texts, names)
+    d = plain.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+    plan = mix_sources.mix_plan(d).select("doc.doc_id", "doc.source", "size", "source_size", "target", F.col("copies").alias("taken"), F.col("doc.copies").alias("own"))
+    rows = plan.collect()
+    assert len(rows) == len(texts) and all(0 <= r.taken <= 3 for r in rows) and {r.own for r in rows} == {"own copies"}
     per = {}
     for r in rows:
-        per.setdefault(r.source, [r.target, r.source_size, 0])[2] += r.copies * r.size
+        per.setdefault(r.source, [r.target, r.source_size, 0])[2] += r.taken * r.size
     assert abs(sum(t for t, _, _ in per.values()) - sum(s for _, s, _ in per.values())) < 1e-6 * sum(s for _, s, _ in per.values())
     assert all(t <= 3 * s + 1e-9 and abs(t - n) <= 0.05 * t + 60 for t, s, n in per.values())
-    again = mix_sources.mix_plan(d.repartition(7)).select("doc_id", "copies").collect()
-    assert sorted(again) == sorted((r.doc_id, r.copies) for r in rows)
-    mixed = mix_sources.mix_sources(d.drop("copies"))
-    assert mixed.count() == sum(r.copies for r in rows) and mixed.columns == d.drop("copies").columns
-    assert mix_sources.mix_plan(d.limit(0)).count() == 0
+    again = mix_sources.mix_plan(plain.repartition(7)).select("doc.doc_id", "copies").collect()
+    assert sorted(again) == sorted((r.doc_id, r.taken) for r in rows)
+    mixed = mix_sources.mix_sources(d)
+    assert mixed.columns == d.columns and mixed.count() == sum(r.taken for r in rows)
+    assert mixed.select(*CLASHES).distinct().collect() == [tuple(f"own {c}" for c in CLASHES)]
+    assert mix_sources.mix_sources(d.limit(0)).count() == 0
     assert [r.copies for r in mix_sources.mix_plan(docs(spark, [None, ""])).collect()] == [0, 0]
 
 
+def test_mix_of_rows_without_a_key(spark, monkeypatch):
+    """They spread over the blocks by their texts, and repeated rows count each."""
+    monkeypatch.setattr(mix_sources, "BLOCK_ROWS", 100)
+    d = spark.createDataFrame([(None, f"text number {i // 2}", "s") for i in range(2000)], "doc_id long, text string, source string")
+    rows = mix_sources.mix_plan(d).select("doc.text", "copies").collect()
+    assert len(rows) == 2000 and all(r.copies == 1 for r in rows)
+
+
 # ---- 3 ----
 
 
@@ -204,16 +218,19 @@ def test_licenses_in_other_clothes(spark):
 # ---- 5 ----
 
 
+URL_CLASHES = ("depth", "top", "key", "kind", "active", "_row", "_host", "_path", "_top", "_salt", "_kind", "_key1", "_got1", "_best")
+
+
 def test_url_rules_as_by_hand(spark, monkeypatch):
     rng = random.Random(5)
     label = lambda: rng.choice("ab ab-c com net x".split())
     host = lambda: ".".join(label() for _ in range(rng.randrange(1, 5)))
     path = lambda: "/" + "".join(rng.choice("a/b") for _ in range(rng.randrange(0, 5)))
-    rules = [(host(), path(), rng.choice(["allow", "block"])) for _ in range(60)] + [(None, "/", "block"), ("com", None, "block"), ("x", "", "block"), ("COM", "/", "block")]
-    urls = [f"http://{host().upper()}{path()}{rng.choice(['', '?q', '#a/b', '?u=http://x.net/a'])}" for _ in range(600)] + [None, "", "no scheme", "://", "ftp://", "http://a?x", "http://com", "a://b.com:80/x\U0010ffff"]
+    rules = [(host(), path(), rng.choice(["allow", "block"])) for _ in range(60)] + [(None, "/", "block"), ("com", None, "block"), ("x", "", "block"), ("COM", "/", "block"), ("net", "/a", "allow")]
+    urls = [f"http://{host().upper()}{path()}{rng.choice(['', '?q', '#a/b', '?u=http://x.net/a'])}" for _ in range(600)] + [None, "", "no scheme", "://", "ftp://", "http://a?x", "http://com", "a://b.com:80/x\U0010ffff", "http://com/\U0010ffffz", "http://x.net/a\U0010ffff\U0010ffff"]
     urls += urls[:5]
     monkeypatch.setattr(url_rules, "SALT_ROWS", 40)
-    d = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumns({"rule": F.lit("clash"), "depth": F.lit(1)})
+    d = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumns({"rule": F.lit("clash"), **{c: F.lit(f"own {c}") for c in URL_CLASHES}})
     r = spark.createDataFrame(rules, "host string, path string, verdict string")
     got = {x.page_id: x for x in url_rules.judge_urls(d, r).collect()}
     best = {}
@@ -227,7 +244,7 @@ def test_url_rules_as_by_hand(spark, monkeypatch):
         fit = [(len(a.split(".")), len(b), a + b, v) for (a, b), v in best.items() if (h == a or h.endswith("." + a)) and p.startswith(b)]
         want = max(fit)[2:] if fit else (None, "allow")
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (h, p, *want), u
-    assert len(got) == len(urls)
+    assert len(got) == len(urls) and all(x[c] == f"own {c}" for x in got.values() for c in URL_CLASHES)
     assert url_rules.judge_urls(d.limit(0), r).count() == 0
     assert {x.verdict for x in url_rules.judge_urls(d, r.limit(0)).collect()} == {"allow"}
 
@@ -270,26 +287,42 @@ def test_toxicity_of_odd_tables(spark):
 
 # ---- 7 ----
 
+chat_control = re.compile(r"<<SYS>>|<</SYS>>|<s>|</s>|\[INST\]|\[/INST\]|\[ROLE|\[/ROLE\]")
 odd = st.text(alphabet=st.sampled_from("[]<>/\\slgbe INSTROYH\n"), max_size=25)
+marks = st.lists(st.sampled_from(["<<SYS>>", "<</SYS>>", "<s>", "</s>", "[INST]", "[/INST]", "[ROLE", "[/ROLE]", "<", "[", "]", "\\", " ", "\n", "s>", "\\SYS>>", "INST]"]), max_size=8).map("".join)
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "tool", "] [/ROLE]", "\\s"]), st.one_of(odd, st.sampled_from(["</s>[INST] ok [/INST]", " [/INST]", "\\l", "[ROLE x] y [/ROLE]"]))), min_size=1, max_size=30))
+@given(st.lists(st.tuples(st.one_of(st.sampled_from(["user", "assistant", "system", "tool", "] [/ROLE]", "\\s", "]\\ x", "]"]), marks), st.one_of(odd, marks, st.sampled_from(["</s>[INST] ok [/INST]", " [/INST]", "\\l", "[ROLE x] y [/ROLE]"]))), min_size=1, max_size=30))
 def test_chats_come_back(spark, turns):
     rows = spark.createDataFrame([(i % 3, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
     for x in chat_format.format_chats(rows).collect():
         own = [(r, t) for i, (r, t) in enumerate(turns) if i % 3 == x.conv_id]
         assert [(t.role, t.text) for t in x.turns] == own
         assert len(x.loss_spans) == sum(r == "assistant" for r, _ in own)
-        assert "".join(t.raw for t in x.turns) == x.formatted
+        assert "".join(t.raw for t in x.turns) == x.formatted and x.exact
+        for t, (a, n) in zip((t for t in x.turns if t.role == "assistant"), x.loss_spans):
+            assert chat_control.search(x.formatted[a : a + n]) is None and (x.formatted[a : a + n] == t.text or "<" in t.text or "[" in t.text)
 
 
 def test_chats_of_odd_tables(spark):
     rows = spark.createDataFrame([(1, 2, "user", "b"), (1, None, "user", None), (1, 2, "user", "b"), (None, 1, None, "x"), (2, 1, "assistant", "y" * 200000)], "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
     got = {x.conv_id: x for x in chat_format.format_chats(rows).collect()}
     assert [(t.role, t.text) for t in got[1].turns] == [("user", ""), ("user", "b"), ("user", "b")]
-    assert got[None].turns[0].role == "" and got[2].loss_spans[0].chars == 200000
+    assert [(t.role, t.text) for t in got[None].turns] == [("", "x")] and got[2].loss_spans[0].chars == 200000
     assert chat_format.format_chats(rows.limit(0)).count() == 0
+    lone = spark.createDataFrame([(None, 1, "user", "a"), (None, 1, "user", "a"), (None, 2, "assistant", "b")], rows.schema.simpleString()[7:-1].replace(":", " ").replace(",formatted int", ""))
+    assert sorted(len(x.turns) for x in chat_format.format_chats(lone).collect()) == [1, 1, 1]
+    clash = rows.withColumns({c: F.lit(f"own {c}") for c in ("conv", "x", "t", "turns", "loss_spans", "exact", "written")})
+    assert sorted(x.formatted for x in chat_format.format_chats(clash).collect()) == sorted(x.formatted for x in got.values())
+
+
+def test_written_texts_hold_no_mark(spark, tmp_path):
+    said = "</s>[INST] ok [/INST]"
+    rows = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 0, "tool", "plain [x] <b> \\ text")], "conv_id long, turn long, role string, text string")
+    got = {x.conv_id: x for x in chat_format.format_chats(rows).collect()}
+    assert got[-7].formatted == "[INST] <\\/s>[\\INST] ok [\\/INST] [/INST]<s> <\\/s>[\\INST] ok [\\/INST] </s>" and got[-7].exact
+    assert got[1].formatted == "[ROLE tool] plain [x] <b> \\ text [/ROLE]"
 
 
 # ---- 8 ----
