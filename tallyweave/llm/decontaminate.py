@@ -4,14 +4,15 @@ A shard is about half a million words of consecutive documents of one partition.
 boundaries: a phrase cannot cross them, so they are left out of the index and only their places are remembered.
 The rest is sorted by suffix (boundaries are distinct and order by place), its Burrows-Wheeler transform is kept in a
 wavelet matrix, all phrases are searched backwards together by ranks, and occurrences are found by walking to
-sampled suffix positions. Shards are built where their rows are: the corpus is read once and never shuffled.
+sampled suffix positions. Shards are built where their rows are: the corpus is read once and never shuffled. The test set
+goes out in blocks of bounded size, each a broadcast of plain arrays; a task holds one block at a time.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import sys
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +21,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweave.llm.common import table
+from tallyweave.llm.common import ascii_lower, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 10
 SHARD_WORDS = 1 << 19
 SAMPLE_EVERY = 16
-#: Bytes of test text that one pass over the corpus takes; larger test sets go in blocks of this size.
-BLOCK_BYTES = 32 << 20
+#: Bytes of test text in one block of phrases, about; at most some 60 MB of arrays.
+BLOCK_BYTES = 4 << 20
+#: Words of a piece of a long item.
+PIECE_WORDS = 1 << 15
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -45,24 +48,37 @@ class Phrases:
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW):
         self.ids: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set] = {}
+        self.names = sorted({x for x, _ in items if x is not None})
+        nth = {x: k for k, x in enumerate(self.names)} | {None: -1}
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for item, text in items:
-            w = [self.ids.setdefault(x, len(self.ids) + 1) for x in words_of(text)]
-            for i in range(max(1, len(w) - window + 1)) if w else ():
-                found.setdefault(tuple(w[i : i + window]), set()).add(item)
-        self.bits = max(1, len(self.ids).bit_length())
-        self.names = sorted({x for s in found.values() for x in s if x is not None})
-        at = {x: k for k, x in enumerate(self.names)}
+            w = np.array([self.ids.setdefault(x, len(self.ids) + 1) for x in words_of(text)], np.int32)
+            if len(w):
+                rows = np.lib.stride_tricks.sliding_window_view(w, min(window, len(w)))
+                found.setdefault(rows.shape[1], []).append((rows, np.full(len(rows), nth[item], np.int64)))
         self.by_length: list[tuple[int, np.ndarray, np.ndarray]] = []
-        lengths, first, flat = [], [0], []
-        for n in sorted({len(w) for w in found}):
-            own = [w for w in found if len(w) == n]
-            self.by_length.append((n, np.array(own, np.int64), np.arange(len(lengths), len(lengths) + len(own))))
-            for w in own:
-                lengths.append(n)
-                flat += sorted(at[x] for x in found[w] if x is not None)
-                first.append(len(flat))
-        self.lengths, self.first, self.flat = np.array(lengths, np.int64), np.array(first, np.int64), np.array(flat, np.int64)
+        lengths, first, flat, n = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], 0
+        for size, parts in sorted(found.items()):
+            rows, item = np.ascontiguousarray(np.concatenate([r for r, _ in parts])), np.concatenate([i for _, i in parts])
+            _, at, back = np.unique(rows.view(np.dtype((np.void, rows.itemsize * size))).ravel(), return_index=True, return_inverse=True)
+            pairs = np.unique(back[item >= 0] * (len(self.names) + 1) + item[item >= 0])
+            first.append(np.cumsum(np.bincount(pairs // (len(self.names) + 1), minlength=len(at))) + first[-1][-1])
+            flat.append(pairs % (len(self.names) + 1))
+            lengths.append(np.full(len(at), size, np.int64))
+            self.by_length.append((size, rows[at], np.arange(n, n + len(at))))
+            n += len(at)
+        self.lengths, self.first, self.flat = np.concatenate(lengths), np.concatenate(first), np.concatenate(flat)
+        self.bits = max(1, len(self.ids).bit_length())
+
+    def packed(self) -> dict:
+        """Plain data, which an executor can read without this package."""
+        return {**{k: v for k, v in vars(self).items() if k != "ids"}, "ids": b" ".join(self.ids)}
+
+    @classmethod
+    def unpack(cls, packed: dict) -> Phrases:
+        out = cls.__new__(cls)
+        vars(out).update(packed, ids={w: k + 1 for k, w in enumerate(packed["ids"].split())})
+        return out
 
 
 def suffix_array(s: np.ndarray, bits: int) -> np.ndarray:
@@ -268,27 +284,73 @@ def _pieces(text: str | None, most: int, window: int) -> list[tuple[int, str | N
     return [(i, " ".join(w[i : i + most])) for i in range(0, max(1, len(w) - window + 1), most - window + 1)]
 
 
-def leaks(texts: list[str | None], phrases: Phrases, window: int = WINDOW, most: int = SHARD_WORDS) -> list[tuple[int, int, list, list]]:
-    """(words, hit words, items, spans) of each text."""
+def leaks(texts: list[str | None], blocks: Iterable[Phrases], window: int = WINDOW, most: int = SHARD_WORDS) -> list[tuple[int, int, list, list]]:
+    """(words, hit words, items, spans) of each text, over all blocks of phrases."""
     pieces = [(k, i, t) for k, text in enumerate(texts) for i, t in _pieces(text, most, window)]
-    n_words, found = scan([t for _, _, t in pieces], phrases, most)
     n, masks, items = [0] * len(texts), {}, {}
-    for (k, i, _), w in zip(pieces, n_words.tolist()):
-        n[k] = max(n[k], i + w)
-    for p, mask, own in found:
-        k, i, _ = pieces[p]
-        m = masks.setdefault(k, np.zeros(n[k], bool))
-        m[i : i + len(mask)] |= mask
-        items.setdefault(k, set()).update(own)
+    for phrases in blocks:
+        n_words, found = scan([t for _, _, t in pieces], phrases, most)
+        for (k, i, _), w in zip(pieces, n_words.tolist()):
+            n[k] = max(n[k], i + w)
+        for p, mask, own in found:
+            k, i, _ = pieces[p]
+            m = masks.setdefault(k, np.zeros(n[k], bool))
+            m[i : i + len(mask)] |= mask
+            items.setdefault(k, set()).update(own)
     return [(n[k], int(masks[k].sum()), sorted(items[k]), runs(masks[k])) if k in masks else (n[k], 0, [], []) for k in range(len(texts))]
 
 
-def _rewrite(text: str, spans: list, phrases: Phrases, window: int) -> str:
-    """Cut until nothing is found: words that a cut brings together may form a phrase anew."""
-    while spans:
-        text = cut(text, spans)
-        ((_, _, _, spans),) = leaks([text], phrases, window)
-    return text
+def rewritten(texts: list[str | None], spans: list[list], blocks: Iterable[Phrases], window: int = WINDOW, most: int = SHARD_WORDS) -> list[str | None]:
+    """The texts without their spans, cut until no block finds anything: words that a cut brings together may form a phrase
+    anew. Texts that are clean leave the rounds."""
+    out, todo = list(texts), [(k, s) for k, s in enumerate(spans) if s]
+    while todo:
+        for k, s in todo:
+            out[k] = cut(out[k], s)
+        again = leaks([out[k] for k, _ in todo], blocks, window, most)
+        todo = [(k, s) for (k, _), (_, _, _, s) in zip(todo, again) if s]
+    return out
+
+
+def item_pieces(benchmark: DataFrame, window: int, words: int = PIECE_WORDS) -> DataFrame:
+    """(item_id, text) with long items cut into pieces that overlap by all but one word of a window: the same windows."""
+    w = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(_WORD.pattern), F.lit(0))
+    b = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), w.alias("w"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(words))
+    piece = F.transform(starts, lambda i: F.array_join(F.slice("w", i + 1, F.lit(words + window - 1)), " "))
+    return b.select("item_id", F.explode(piece).alias("text"))
+
+
+def phrase_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int | None = None) -> list:
+    """Broadcasts of all windows of ``benchmark(item_id, text)``, in blocks: the driver holds one at a time."""
+    context = benchmark.sparkSession.sparkContext
+    out, held, size = [], [], 0
+    for r in item_pieces(benchmark, window).toLocalIterator():
+        held.append((r[0], r[1]))
+        size += len(r[1].encode())
+        if size >= (block_bytes or BLOCK_BYTES):
+            out.append(context.broadcast(Phrases(held, window).packed()))
+            held, size = [], 0
+    return [*out, context.broadcast(Phrases(held, window).packed())] if held or not out else out
+
+
+class Blocks:
+    """The broadcast blocks, each read anew from the executor's copy where there are several, so that one is held at a time."""
+
+    def __init__(self, sent: list):
+        self.sent = sent
+
+    def __iter__(self):  # noqa: ANN204
+        if len(self.sent) == 1 and hasattr(self, "only"):
+            yield self.only
+            return
+        for b in self.sent:
+            p = Phrases.unpack(b.value)
+            if len(self.sent) == 1:
+                self.only = p
+            else:
+                b.__dict__.pop("_value", None)
+            yield p
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, rewrite: bool = False, keep_text: bool = True) -> DataFrame:
@@ -296,63 +358,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", window
     spans ([first word, one past the last], merged) and, with ``rewrite``, clean_text (the text without the spans).
 
     A null or wordless text has no words and no hit; a null item text no windows; an item without an id marks words
-    but is not listed; rows that repeat are judged each; a column called ``leak`` is replaced; an empty table
-    gives an empty table. The test set is sent to the executors in blocks of BLOCK_BYTES, one pass over the corpus
-    for each; only further blocks cost a shuffle, of the spans.
+    but is not listed; rows that repeat are judged each; a column called ``leak`` is replaced, all others stay as they are; an empty
+    table gives an empty table. Texts and test sets of any size are taken whole: long texts in overlapping pieces, test sets in blocks,
+    all in one pass over the corpus without a shuffle.
     """
-    spark = docs.sparkSession
     docs = docs.drop("leak")
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("t")).where("t is not null")
-    total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = -(-total // BLOCK_BYTES) or 1
-    if blocks == 1:
-        return _pass(docs, bench.collect(), text, window, rewrite, keep_text)
-    # several blocks: hits of a document meet by a key of its own, then the words are counted over merged spans
-    keyed = docs.withColumn("_row", F.struct(F.monotonically_increasing_id(), F.xxhash64(text)))
-    part = bench.withColumn("_b", F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        one = _pass(keyed.select("_row", text), part.where(f"_b = {b}").select("item_id", "t").collect(), text, window, False, False)
-        out = one if out is None else out.unionByName(one)
-    words = F.expr("array_distinct(flatten(collect_list(flatten(transform(leak.spans, s -> sequence(s[0], s[1] - 1))))))")
-    merged = out.groupBy("_row").agg(F.max("leak.n_words").alias("_n"), words.alias("_w"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("leak.items")))).alias("_items"))
-    return keyed.join(merged, "_row").withColumn("leak", _struct_of(merged, text, rewrite)).drop("_row", "_n", "_w", "_items", *([] if keep_text else [text]))
-
-
-def _struct_of(merged: DataFrame, text: str, rewrite: bool):
-    """The leak struct from the hit words that several passes found."""
-
-    @F.pandas_udf("array<array<bigint>>")
-    def spans(words):  # noqa: ANN001
-        return words.map(lambda w: [[int(r[0]), int(r[-1]) + 1] for r in np.split(np.sort(w), np.flatnonzero(np.diff(np.sort(w)) > 1) + 1) if len(r)])
-
-    @F.pandas_udf("string")
-    def without(texts, found):  # noqa: ANN001
-        import pandas as pd
-
-        return pd.Series([cut(t, [tuple(x) for x in s]) if t and len(s) else t for t, s in zip(texts, found)])
-
-    s = spans(merged["_w"])
-    return F.struct(merged["_n"].alias("n_words"), F.size("_w").cast("long").alias("n_hit"), merged["_items"].alias("items"), s.alias("spans"), (without(F.col(text), s) if rewrite else F.lit(None).cast("string")).alias("clean_text"))
-
-
-def _pass(docs: DataFrame, items: list, text: str, window: int, rewrite: bool, keep_text: bool) -> DataFrame:
-    phrases = docs.sparkSession.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in items], window))
+    sent = phrase_blocks(benchmark.select("item_id", "text"), window)
     kept = [c for c in docs.columns if keep_text or c != text]
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("leak", RESULT)])
     leak_type = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.list_(pa.int64()))), ("clean_text", pa.string())])
 
     def run(batches):  # noqa: ANN001
-        p, held, size = phrases.value, [], 0
+        blocks, held, size = Blocks(sent), [], 0
 
         def flush():
             t = pa.Table.from_batches(held).combine_chunks()
             texts = t.column(text).to_pylist()
-            rows = []
-            for (n, h, items, spans), x in zip(leaks(texts, p, window), texts):
-                rows.append({"n_words": n, "n_hit": h, "items": items, "spans": spans, "clean_text": _rewrite(x, spans, p, window) if rewrite and x is not None else None})
-            out = t.select(kept).append_column("leak", pa.array(rows, leak_type))
-            yield from out.to_batches()
+            found = leaks(texts, blocks, window)
+            clean = rewritten(texts, [s for *_, s in found], blocks, window) if rewrite else [None] * len(texts)
+            rows = [{"n_words": n, "n_hit": h, "items": items, "spans": spans, "clean_text": c} for (n, h, items, spans), c in zip(found, clean)]
+            yield from t.select(kept).append_column("leak", pa.array(rows, leak_type)).to_batches()
 
         for batch in batches:
             step = max(1, batch.num_rows * (SHARD_WORDS * 5) // max(1, batch.nbytes))

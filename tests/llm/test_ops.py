@@ -61,24 +61,40 @@ def leaks_by_hand(texts, items):
 
 
 def test_leaks_as_by_hand(spark, monkeypatch):
+    """With one block of phrases and with many; long items in pieces; no window is left in a rewritten text."""
     rng = random.Random(1)
-    items = [(i, prose(rng, n, 30)) for i, n in enumerate((25, 10, 40, 3, 1, 12))] + [(9, None), (10, ""), (11, "!!"), (None, prose(rng, 14, 30)), (0, "again w1 w2")]
-    texts = [None, "", "...", "w1", items[1][1].upper().replace(" ", "-"), prose(rng, 30, 30) + " " + items[2][1] + " x " + items[2][1][:60], items[0][1] * 3, prose(rng, 3000, 30), "é " + items[0][1], items[8 + 1 - 1][1] or ""]
+    items = [(i, prose(rng, n, 30)) for i, n in enumerate((25, 10, 40, 3, 1, 12))] + [(9, None), (10, ""), (11, "!!"), (None, prose(rng, 14, 30)), (0, "AGAIN W1-w2 É")]
+    texts = [None, "", "...", "w1", items[1][1].upper().replace(" ", "-"), prose(rng, 30, 30) + " " + items[2][1] + " x " + items[2][1][:60], items[0][1] * 3, prose(rng, 3000, 30), "é " + items[0][1]]
+    texts += [" ".join(items[0][1].split()[:6]) + " " + items[2][1] + " " + " ".join(items[0][1].split()[6:])]
     texts += [t for t in texts[:3]]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    d = docs(spark, texts).withColumns({"leak": F.lit("clash"), "n_words": F.lit(1), "items": F.lit(2)})
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("w", F.lit("clash"))
+    clashes = ("n_words", "items", "_n", "_w", "_items", "_row", "item_id", "w")
+    d = docs(spark, texts).withColumns({"leak": F.lit("clash"), **{c: F.lit(f"own {c}") for c in clashes}})
     want = leaks_by_hand(texts, items)
-    for block in (decontaminate.BLOCK_BYTES, 200):
+    for block, piece in ((decontaminate.BLOCK_BYTES, decontaminate.PIECE_WORDS), (200, 7), (40, 1)):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        monkeypatch.setattr(decontaminate.item_pieces, "__defaults__", (piece,))
+        assert (len(decontaminate.phrase_blocks(bench)) > 2) == (block <= 200)
         got = {r.doc_id: r for r in decontaminate.find_leaks(d, bench, rewrite=True).collect()}
         assert [(got[i].leak.n_words, got[i].leak.n_hit, got[i].leak["items"]) for i in range(len(texts))] == want
-        assert got[5].items == 2
+        assert all(r[c] == f"own {c}" for r in got.values() for c in clashes)
+        assert not any(n for _, n, _ in leaks_by_hand([got[i].leak.clean_text for i in range(len(texts))], items))
     assert decontaminate.find_leaks(d.limit(0), bench).count() == 0
     assert decontaminate.find_leaks(d, bench.limit(0)).where("leak.n_hit > 0").count() == 0
-    pieces = decontaminate.leaks(texts, decontaminate.Phrases(items), most=37)
+    pieces = decontaminate.leaks(texts, [decontaminate.Phrases(items)], most=37)
     assert [(a, b, c) for a, b, c, _ in pieces] == want
 
 
+def test_phrases_need_no_package():
+    import pickle
+    import pickletools
+
+    data = pickle.dumps(decontaminate.Phrases([(1, "a b c"), (None, "a"), (2, " ".join(map(str, range(30))))]).packed())
+    assert not any("tallyweave" in str(x) for _, x, _ in pickletools.genops(data))
+    again = decontaminate.Phrases.unpack(pickle.loads(data))
+    assert again.ids[b"29"] == len(again.ids) and len(again.lengths) == 23
+
+
 def test_leaks_of_a_very_long_text():
     """More than 2.1 million indexed words in one text, and in rows that come together."""
     rng = random.Random(5)
@@ -91,9 +107,9 @@ def test_leaks_of_a_very_long_text():
     windows = {tuple(item[i : i + decontaminate.WINDOW]) for i in range(191)}
     hit = {i + j for i in range(len(w) - 9) if tuple(w[i : i + decontaminate.WINDOW]) in windows for j in range(decontaminate.WINDOW)}
     phrases = decontaminate.Phrases([(1, " ".join(item))])
-    ((n, n_hit, items, spans),) = decontaminate.leaks([" ".join(w)], phrases)
+    ((n, n_hit, items, spans),) = decontaminate.leaks([" ".join(w)], [phrases])
     assert (n, n_hit, items) == (len(w), len(hit), [1]) and {i for a, b in spans for i in range(a, b)} == hit and n_hit >= 44
-    rows = decontaminate.leaks([" ".join(w[i : i + 100_000]) for i in range(0, len(w), 100_000)], phrases)
+    rows = decontaminate.leaks([" ".join(w[i : i + 100_000]) for i in range(0, len(w), 100_000)], [phrases])
     assert [r[1] for r in rows] == [sum(i <= h < i + 100_000 for h in hit) for i in range(0, len(w), 100_000)]
 
 
