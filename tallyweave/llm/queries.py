@@ -23,4 +23,5 @@ ORACLE_SQL = {
     "op5_url_rules": url_rules.SQL,
     "op7_chat_format": chat_format.SQL,
     "op9_near_dedup": near_dedup.SQL,
+    "op10_shard_compaction": shard_compaction.SQL,
 }
