@@ -93,6 +93,16 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
+def skew_join(left: DataFrame, right: DataFrame, key: str, most: int = 50_000) -> DataFrame:
+    """Left join of ``left`` with the one row that ``right`` has for a key, whatever a key's share of ``left``: keys with more than one of
+    ``most`` rows, of which there are less than ``most``, are broadcast, the others shuffled."""
+    counts = left.groupBy(key).count()
+    total = left.count()
+    hot = stash(counts.where(F.col("count") * most > total).select(key), "hot-keys")
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    return left.join(F.broadcast(hot), key, "left_semi").join(few, key, "left").unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, "left"))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -8,14 +8,16 @@ compares its log-likelihoods by length: the mean log ratio of a letter, and how
 by the word and in all (the mix of languages moves the mean of all letters, the few words that are said in one class
 only do not move with it). Three weights bring these to a probability, on labelled rows that no count has seen.
 
-Counts and models are DataFrames of any size. What goes to the executors is a sorted table of all counted grams and
-contexts with their log ratios, 12 bytes each: it grows with the distinct grams, and none shares another's ratio. An unseen
-gram has its context's ratio of backing off (the shared model is the same in both classes), 0 after an unseen context.
+Counts and models are DataFrames of any size. While its counted rows are within TABLE_ROWS, the executors get the table of all
+counted grams and contexts with their log ratios, sorted, 12 bytes each; beyond that, the corpus's distinct words meet the
+table in a join, and the texts their words. Both give the same scores. An unseen gram has its context's ratio of backing
+off (the shared model is the same in both classes), 0 after an unseen context: just what the models give.
 """
 
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweave.llm.common import maybe_broadcast, stash, table
+from tallyweave.llm.common import maybe_broadcast, skew_join, stash, table, unstash
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -36,9 +38,11 @@ DISCOUNT = 0.75
 LEAN = 8.0
 #: Log ratio from which a word speaks for the toxic model by itself.
 CLEAR = 2.5
-#: Labelled rows kept from counting, as one of so many; and how many of them fit the weights and the bias.
+#: Labelled rows kept from counting, that fit the weights and the bias: at most one of so many, and about this number.
 FOLD = 5
 CALIBRATION_ROWS = 20_000
+#: Rows of the table of log ratios up to which it is sent to the executors, 96 MB.
+TABLE_ROWS = 8_000_000
 THRESHOLD = 0.7
 PIECE_CHARS = 1 << 18
 
@@ -161,25 +165,28 @@ def look_up(g: np.ndarray, keys: np.ndarray, llr: np.ndarray) -> np.ndarray:
     return out[back]
 
 
-_OWN = ("n_grams", "llr_sum", "words", "excess")
-
-
 @dataclass
 class Model:
+    #: The broadcast table (keys, log ratios), or a DataFrame (g, llr).
     table: object
     weights: tuple[float, ...] | None
     share: float
 
 
+FEATURES = ("n_grams", "llr_sum", "words", "excess")
+
+
 def score_features(docs: DataFrame, ratios, text: str = "text") -> DataFrame:  # noqa: ANN001
-    """``docs`` with n_grams, llr_sum, words and excess (the words' log ratios beyond CLEAR)."""
-    added = [("n_grams", T.LongType(), pa.int64()), ("llr_sum", T.DoubleType(), pa.float64()), ("words", T.LongType(), pa.int64()), ("excess", T.DoubleType(), pa.float64())]
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t, _ in added)])
+    """(doc, n_grams, llr_sum, words, excess): ``docs``' rows as structs, and the words' log ratios, in all and beyond CLEAR."""
+    whole = docs.select(F.struct("*").alias("doc"))
+    if isinstance(ratios, DataFrame):
+        return _features_by_join(whole, ratios, text)
+    schema = T.StructType([*whole.schema.fields, T.StructField("n_grams", T.LongType()), T.StructField("llr_sum", T.DoubleType()), T.StructField("words", T.LongType()), T.StructField("excess", T.DoubleType())])
 
     def run(batches):  # noqa: ANN001
         codes, (keys, own) = letter_codes(), ratios.value
         for batch in _pieces(batches):
-            g, n = grams(batch.column(text).to_pylist(), codes)
+            g, n = grams(batch.column("doc").field(text).to_pylist(), codes)
             llr, ends = look_up(g, keys, own), np.cumsum(n)
             last = g & ((1 << BITS) - 1) == 1
             nth = np.concatenate([[0], np.cumsum(last)])
@@ -188,9 +195,34 @@ def score_features(docs: DataFrame, ratios, text: str = "text") -> DataFrame:  #
             over = np.concatenate([[0.0], np.cumsum(np.maximum(np.diff(total[at]) - CLEAR, 0))])
             first, end = nth[ends - n], nth[ends]
             new = [n.astype(np.int64), total[ends] - total[ends - n], (end - first).astype(np.int64), over[end] - over[first]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, new)], schema=pa.schema([*batch.schema, *(pa.field(x, t) for x, _, t in added)]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *map(pa.array, new)], names=["doc", *FEATURES])
+
+    return whole.mapInArrow(run, schema)
 
-    return docs.mapInArrow(run, schema)
+
+def _features_by_join(whole: DataFrame, ratios: DataFrame, text: str) -> DataFrame:
+    """The same by joins: a text's distinct words with their counts, the words' grams once for the whole corpus."""
+    kept = stash(whole.withColumn("row", F.monotonically_increasing_id()), "toxic-rows")
+
+    def run(batches):  # noqa: ANN001
+        codes = letter_codes()
+        for batch in _pieces(batches):
+            for row, t in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
+                g, _ = grams([t], codes)
+                ends = np.flatnonzero(g & ((1 << BITS) - 1) == 1) + 1
+                counted = Counter(tuple(g[i:j].tolist()) for i, j in zip(np.concatenate([[0], ends[:-1]]), ends))
+                if counted:
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(counted), pa.int64()), pa.array(list(map(list, counted)), pa.list_(pa.int64())), pa.array(list(counted.values()), pa.int64())], names=["row", "w", "c"])
+
+    said = stash(kept.select("row", F.col("doc")[text].alias("text")).mapInArrow(run, "row long, w array<bigint>, c long"), "toxic-words")
+    flat = said.select("w").distinct().select("w", F.explode("w").alias("g"))
+    flat = skew_join(flat, ratios, "g").withColumn("g", F.expr(f"shiftleft(shiftright(g, {BITS}), {BITS})"))
+    flat = skew_join(flat, ratios.withColumnRenamed("llr", "back"), "g")
+    per_word = stash(flat.groupBy("w").agg(F.sum(F.coalesce("llr", "back", F.lit(0.0)).cast("double")).alias("llr")), "toxic-vocabulary")
+    met = skew_join(said, per_word, "w")
+    per = met.groupBy("row").agg(F.sum(F.col("c") * F.size("w")).alias("n_grams"), F.sum(F.col("c") * F.col("llr")).alias("llr_sum"), F.sum("c").alias("words"), F.sum(F.col("c") * F.greatest(F.col("llr") - CLEAR, F.lit(0.0))).alias("excess"))
+    zero = {"n_grams": 0, "llr_sum": 0.0, "words": 0, "excess": 0.0}
+    return kept.join(per, "row", "left").select("doc", *(F.coalesce(f, F.lit(zero[f])).alias(f) for f in FEATURES))
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, ...]:
@@ -212,6 +244,7 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float
 
 
 def features() -> list[Column]:
+    """What the classes' log-likelihoods say for a letter, for a word, and, as a few toxic words make a long text toxic, beyond CLEAR in all."""
     most = lambda c: F.greatest(F.col(c), F.lit(1)).cast("double")
     return [F.col("llr_sum") / most("n_grams") * 10, F.log1p(F.col("excess") / most("words") * 100), F.log1p("excess")]
 
@@ -225,37 +258,44 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     several labels counts as toxic if one says so."""
     spark = docs.sparkSession
     own = labels.where("toxic is not null").groupBy(F.col(key).alias("_k")).agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("_k")))
-    own = own.withColumn("_calibrates", F.pmod(F.xxhash64("_k"), F.lit(FOLD)) == 0)
     size = own.agg(F.count("*"), F.avg("toxic")).first()
+    share = min(1 / FOLD, CALIBRATION_ROWS / max(1, size[0]))
+    own = own.withColumn("_calibrates", F.pmod(F.xxhash64("_k"), F.lit(1 << 30)) < int(share * (1 << 30)))
     slim = docs.select(F.col(key).alias("_k"), F.col(text).alias("text"))
     labelled = slim.join(maybe_broadcast(own, size[0]), "_k")
     counts = stash(count_grams(labelled.where("not _calibrates").select("text", F.col("toxic").cast("long").alias("toxic"))), "toxic-grams")
-    got = log_ratios(counts).select("g", F.col("llr").cast("float")).toArrow()
-    keys, llr = got.column("g").to_numpy(), got.column("llr").to_numpy()
-    order = np.argsort(keys)
-    ratios = spark.sparkContext.broadcast((keys[order], llr[order]))
+    ratios = stash(log_ratios(counts).select("g", F.col("llr").cast("float").alias("llr")), "toxic-ratios")
+    unstash(counts)
+    if ratios.count() <= TABLE_ROWS:
+        got = ratios.toArrow()
+        unstash(ratios)
+        keys, llr = got.column("g").to_numpy(), got.column("llr").to_numpy()
+        order = np.argsort(keys)
+        ratios = spark.sparkContext.broadcast((keys[order], llr[order]))
     sample = score_features(labelled.where("_calibrates").select("_k", "text", "toxic"), ratios)
     fs = [f.alias(f"f{i}") for i, f in enumerate(features())]
-    got = sample.select(F.xxhash64("_k").alias("h"), *fs, F.col("toxic").cast("long").alias("toxic")).orderBy("h").limit(CALIBRATION_ROWS).toArrow()
+    # a hash's share is near the number, the limit keeps what the driver takes at it
+    got = sample.select(F.xxhash64("doc._k").alias("h"), *fs, F.col("doc.toxic").cast("long").alias("toxic")).orderBy("h").limit(CALIBRATION_ROWS).toArrow()
     y = got.column("toxic").to_numpy().astype(float)
     weights = fit_weights(np.column_stack([got.column(f"f{i}").to_numpy() for i in range(len(fs))]), y) if len(set(y)) == 2 else None
     return Model(ratios, weights, float(size[1] or 0.0))
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``; columns of these names are replaced.
+    """``docs`` with ``score`` and ``predicted``; columns of these names are replaced, all others stay.
 
     Whole texts of any length are scored; a null, empty or letterless text has the score of a mean of zero. Equal texts have equal
     scores. If the labels hold only one class, the score is their share of toxic rows.
     """
-    scored = score_features(docs.drop("score", "predicted", *_OWN), model.table, text)
+    own = [c for c in docs.columns if c not in ("score", "predicted")]
+    scored = score_features(docs.select(*(F.col(f"`{c}`") for c in own)), model.table, text)
     if model.weights is None:
         score = F.lit(model.share)
     else:
         *weights, bias = model.weights
         score = 1 / (1 + F.exp(-sum((f * w for f, w in zip(features(), weights)), F.lit(bias))))
-    out = scored.withColumn("score", score)
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).drop(*_OWN)
+    out = scored.select(F.col("doc"), score.alias("score"))
+    return out.select(*(F.col("doc")[c].alias(c) for c in own), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

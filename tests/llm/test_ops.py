@@ -276,27 +276,96 @@ def test_toxicity_on_held_out_rows(spark):
     assert hit >= 0.8 * sum(r.toxic for r in held) and hit >= 0.9 * sum(r.predicted for r in held)
 
 
-def test_toxicity_of_unseen_grams(spark):
-    """A letter not seen after a context has the context's backoff, after an unseen context nothing."""
-    d = docs(spark, ["abc " * (1 + i % 5) if i % 3 == 0 else "abd abd" for i in range(900)])
-    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(900)], "doc_id long, toxic int")
-    counted = labels.where(~toxicity.held_out(F.col("doc_id")) & (F.pmod(F.xxhash64("doc_id"), F.lit(toxicity.FOLD)) != 0)).join(d, "doc_id").collect()
-    t, o = (sum(len(r.text.split()) for r in counted if r.toxic == k) for k in (1, 0))
-    back = lambda n: math.log((toxicity.DISCOUNT + toxicity.LEAN) / (n + toxicity.LEAN))
-    got = toxicity.score_features(docs(spark, ["zzz", "zqx"]), toxicity.fit(d, labels).table).collect()
-    assert abs(back(t) - back(o)) > 0.01
-    assert [r.llr_sum for r in got] == pytest.approx([back(t) - back(o)] * 2, abs=1e-5)
-
-
-def test_toxicity_of_odd_tables(spark):
+class KneserNey:
+    """The two class models by their definitions, over tuples of letters; a word ends in '$'."""
+
+    def __init__(self, texts):
+        n, self.top = toxicity.ORDER, (Counter(), Counter())
+        for text, toxic in texts:
+            for g in self.grams(text):
+                self.top[not toxic][g] += 1
+        self.v = {n: Counter()}
+        for c in self.top:
+            self.v[n].update(c)
+        for k in range(n - 1, 0, -1):
+            self.v[k] = Counter()
+            for g, c in self.v[k + 1].items():
+                self.v[k][g[-k:]] += c if len(g) <= k else 1
+
+    @staticmethod
+    def grams(text):
+        for w in re.findall(r"[a-z]+", (text or "").lower()):
+            w += "$"
+            for i in range(len(w)):
+                yield w[max(0, i - toxicity.ORDER + 1) : i + 1]
+
+    def shared(self, g, k=toxicity.ORDER):
+        if k == 0:
+            return 1 / len(self.v[1])
+        own = {h: c for h, c in self.v[k].items() if h[:-1] == g[-k:][:-1] and len(h) == len(g[-k:])}
+        lower = self.shared(g, k - 1)
+        if not own:
+            return lower
+        return (max(own.get(g[-k:], 0) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(own) * lower) / sum(own.values())
+
+    def of_class(self, g, k):
+        own = {h: c for h, c in self.top[k].items() if h[:-1] == g[:-1]}
+        total = sum(own.values()) + toxicity.LEAN
+        return (max(own.get(g, 0) - toxicity.DISCOUNT, 0) + (toxicity.DISCOUNT * len(own) + toxicity.LEAN) * self.shared(g)) / total
+
+    def llr(self, g):
+        if not any(h[:-1] == g[:-1] for c in self.top for h in c):
+            return 0.0
+        return math.log(self.of_class(g, 0)) - math.log(self.of_class(g, 1))
+
+
+def test_toxicity_models_as_defined(spark, monkeypatch):
+    """Log ratios of seen and unseen grams, and texts' sums, against the definitions; the same by broadcast and by join."""
+    rng = random.Random(12)
+    word = lambda a: "".join(rng.choices(a, k=rng.randrange(1, 9)))
+    texts = [" ".join(word("abcd" if i % 2 else "abce") for _ in range(rng.randrange(1, 8))) for i in range(60)]
+    model = KneserNey([(t, i % 2) for i, t in enumerate(texts)])
+    counts = toxicity.count_grams(spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "text string, toxic long"))
+    ratios = toxicity.log_ratios(counts).select("g", F.col("llr").cast("float").alias("llr"))
+    name = lambda g: "".join({1: "$"}.get(c, chr(c)) for k in range(toxicity.ORDER - 1, -1, -1) if (c := g >> toxicity.BITS * k & 1023))
+    got = {name(r.g): r.llr for r in ratios.collect() if r.g & 1023}
+    seen = set(model.top[0]) | set(model.top[1])
+    assert set(got) == seen and all(got[g] == pytest.approx(model.llr(g), abs=1e-5) for g in seen)
+    new = ["abcde zzz abcdabcdabcd", None, "", "a", "qa ab abq dcba", *texts[:20]] + ["ab"] * 3
+    d = docs(spark, new).withColumns({c: F.lit(f"own {c}") for c in ("doc", "row", "w", "c", "g", "llr", "back", "n_grams", "words", "excess")})
+    import numpy as np
+
+    rows = sorted((r.g, r.llr) for r in ratios.collect())
+    sent = spark.sparkContext.broadcast((np.array([g for g, _ in rows]), np.array([x for _, x in rows], np.float32)))
+    for table in (sent, ratios):
+        out = {r.doc.doc_id: r for r in toxicity.score_features(d, table).collect()}
+        for i, t in enumerate(new):
+            per = [sum(model.llr(g) for g in KneserNey.grams(w)) for w in (t or "").split()]
+            want = [len(list(KneserNey.grams(t))), sum(per), len(per), sum(max(x - toxicity.CLEAR, 0) for x in per)]
+            assert [out[i][f] for f in toxicity.FEATURES] == pytest.approx(want, abs=1e-3) and out[i].doc.words == "own words"
+        assert len(out) == len(new) and toxicity.score_features(d.limit(0), table).count() == 0
+
+
+def test_toxicity_of_odd_tables(spark, monkeypatch):
     rng = random.Random(6)
     texts = [prose(rng, 30) + (" vile" * 3 if i % 3 == 0 else "") for i in range(900)] + [None, "", "!!! 12", "vile " * 20000, "\U0001f600 ﬁ ß"]
-    d = docs(spark, texts).withColumns({"score": F.lit("clash"), "words": F.lit(1), "_k": F.lit(2)})
+    clashes = ("words", "_k", "n_grams", "llr_sum", "excess", "doc", "text2", "toxic", "row")
+    d = docs(spark, texts).withColumns({"score": F.lit("clash"), **{c: F.lit(f"own {c}") for c in clashes}})
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(900)] + [(3, 1, 0), (None, 1, 1), (5000, 1, 1), (7, 1, None)], "doc_id long, quality int, toxic int")
+    seen = []
+    for rows in (toxicity.TABLE_ROWS, 0):
+        monkeypatch.setattr(toxicity, "TABLE_ROWS", rows)
+        model = toxicity.fit(d, labels)
+        out = toxicity.score_toxicity(d, model)
+        assert out.columns == [*[c for c in d.columns if c != "score"], "score", "predicted"]
+        got = {r.doc_id: r for r in out.collect()}
+        assert len(got) == len(texts) and got[903].predicted == 1 and got[900].predicted == got[901].predicted == 0 and got[900].score == got[901].score
+        assert all(r[c] == f"own {c}" for r in got.values() for c in clashes)
+        assert sum(got[i].predicted == (i % 3 == 0) for i in range(900)) > 880
+        seen.append([got[i].score for i in range(len(texts))])
+    assert seen[0] == pytest.approx(seen[1], abs=1e-4)
+    monkeypatch.undo()
     model = toxicity.fit(d, labels)
-    got = {r.doc_id: r for r in toxicity.score_toxicity(d, model).collect()}
-    assert len(got) == len(texts) and got[903].predicted == 1 and got[900].predicted == got[901].predicted == 0 and got[900].score == got[901].score
-    assert sum(got[i].predicted == (i % 3 == 0) for i in range(900)) > 880
     assert toxicity.score_toxicity(d.limit(0), model).count() == 0
     assert {r.predicted for r in toxicity.score_toxicity(d, toxicity.fit(d, labels.limit(0))).collect()} == {0}
 
