@@ -7,11 +7,12 @@ another are left out before the keys are paired. In each table's bucket a repres
 one and with its neighbours in the order of the signatures, never with all. Candidates are confirmed on full sets,
 the most likely partner of each first; later rounds take only those whose ends are still apart. Members of buckets
 with more members than neighbours, and of more than one component by then, are joined exactly: by the rare end of
-their full sets.
+their full sets. Keys with more than HOT rows are dealt over tasks by salt, in neighbours' order and in that join.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 
 import numpy as np
@@ -21,13 +22,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweave.llm.common import components, maybe_broadcast, stash, table, unstash
+from tallyweave.llm.common import BROADCAST_ROWS, components, maybe_broadcast, scratch, stash, table, unstash
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SIDE = 8
-#: Shares of equal minhashes, of 32, below which a pair cannot be a link at 0.8 or more but by odds of about 1 in 1000.
-LEAST_EQUAL = 18
+#: The lowest threshold that the number of tables is made for: there, one link in 400 shares none.
+LEAST_SIMILARITY = 0.75
+#: Odds with which a link has fewer equal minhashes than a candidate needs to be confirmed.
+LOST = 5e-5
+#: Rows of one key that one task takes.
+HOT = 2_000
 #: Neighbours in a bucket's order of signatures with which a document is compared.
 NEIGHBOURS = 5
 PAIRS_A_ROUND = (1, 1 << 30)
@@ -173,28 +178,52 @@ def _equal(a, b):  # noqa: ANN001
     return F.expr(f"aggregate(sequence(1, {4 * SIDE}), 0, (n, i) -> n + if(substring({a}, i, 1) = substring({b}, i, 1), 1, 0))")
 
 
+def least_equal(num: int, den: int) -> int:
+    """The most equal minhashes, of all, that a pair at the threshold falls below with odds of LOST at most."""
+    n, p, below = 4 * SIDE, num / den, 0.0
+    for k in range(n):
+        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if below > LOST:
+            return k
+    return n
+
+
+def _shared(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``rows`` whose keys another row has. Only shared keys are kept; a frequent one needs no task of its own."""
+    counts = stash(rows.groupBy(*keys).count().where("count > 1"), "near-shared")
+    n = counts.count()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(counts.select(*keys)), keys, "left_semi")
+    hot = counts.where(F.col("count") > HOT).select(*keys)
+    hot = maybe_broadcast(hot, hot.count())
+    return rows.join(hot, keys, "left_semi").unionByName(rows.join(hot, keys, "left_anti").join(counts.select(*keys), keys, "left_semi"))
+
+
 def buckets(reps: DataFrame) -> DataFrame:
     """(doc_id, sig, key, turn): the tables' keys of all representatives that may share one."""
     both = reps.select("doc_id", F.posexplode(F.concat("left", "right")).alias("p", "v"))
-    shared = both.withColumn("k", F.count("*").over(Window.partitionBy("p", "v"))).where("k > 1")
+    shared = _shared(both, ["p", "v"])
     # a document can share a table only over a shared tuple of each collection
     live = shared.groupBy("doc_id").agg(F.expr("bit_or(shiftleft(1, p))").alias("m")).select("doc_id", F.expr(f"m & {(1 << SIDE) - 1}").alias("l"), F.expr(f"shiftright(m, {SIDE})").alias("r")).where("l <> 0 and r <> 0")
     rows = reps.join(live, "doc_id").select("doc_id", "sig", F.explode(_bits("left", "l")).alias("a"), "right", "r").select("doc_id", "sig", "a", F.explode(_bits("right", "r")).alias("b"))
     return rows.select("doc_id", "sig", F.xxhash64("a.i", "a.v", "b.i", "b.v").alias("key"), (F.col("a.i") * 4 % (4 * SIDE) + F.col("b.i")).alias("turn"))
 
 
-def candidates(keyed: DataFrame) -> DataFrame:
-    """(x, y, equal) with x > y: pairs that meet in a table's bucket as smallest and other, or as neighbours by signature."""
+def candidates(keyed: DataFrame, least: int) -> DataFrame:
+    """(x, y, equal) with x > y: pairs that meet in a table's bucket as smallest and other, or as neighbours by signature. A bucket of more
+    than HOT members is ordered in parts; all of its members meet the bucket's smallest one."""
+    hot = stash(keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("doc_id", "sig")).alias("smallest")).where(F.col("members") > HOT), "near-hot")
+    keyed = keyed.join(maybe_broadcast(hot, hot.count()), "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / HOT)), F.lit(0)))
     # neighbours by the signature, turned by another amount in each table
     keyed = keyed.withColumn("order", F.concat(F.expr("substring(sig, turn % 32 + 1, 32)"), F.expr("substring(sig, 1, turn % 32)")))
-    w = Window.partitionBy("key").orderBy("order", "doc_id")
-    hub = F.min(F.struct("doc_id", "sig")).over(Window.partitionBy("key"))
+    w = Window.partitionBy("key", "salt").orderBy("order", "doc_id")
+    hub = F.coalesce("smallest", F.min(F.struct("doc_id", "sig")).over(Window.partitionBy("key", "salt")))
     near = [F.lag(F.struct("doc_id", "sig"), n).over(w).alias(f"near{n}") for n in range(1, NEIGHBOURS + 1)]
     met = keyed.select("doc_id", "sig", hub.alias("hub"), *near)
     others = F.array_compact(F.array("hub", *(f"near{n}" for n in range(1, NEIGHBOURS + 1))))
     pairs = met.select("doc_id", "sig", F.explode(F.filter(others, lambda o: o["doc_id"] != F.col("doc_id"))).alias("o"))
     pairs = pairs.select(F.greatest("doc_id", "o.doc_id").alias("x"), F.least("doc_id", "o.doc_id").alias("y"), F.when(F.col("doc_id") > F.col("o.doc_id"), F.col("sig")).otherwise(F.col("o.sig")).alias("s"), F.when(F.col("doc_id") > F.col("o.doc_id"), F.col("o.sig")).otherwise(F.col("sig")).alias("u"))
-    return pairs.groupBy("x", "y").agg(F.first("s").alias("s"), F.first("u").alias("u")).select("x", "y", _equal("s", "u").alias("equal")).where(F.col("equal") >= LEAST_EQUAL)
+    return pairs.groupBy("x", "y").agg(F.first("s").alias("s"), F.first("u").alias("u")).select("x", "y", _equal("s", "u").alias("equal")).where(F.col("equal") >= least)
 
 
 def _bits(array: str, mask: str):
@@ -204,14 +233,15 @@ def _bits(array: str, mask: str):
 
 def crowded(keyed: DataFrame, comp: DataFrame | None) -> DataFrame:
     """(doc_id, c): members, with their component, of the buckets that have members which were not compared and are apart."""
-    full = keyed.groupBy("key").count().where(F.col("count") > NEIGHBOURS + 1).select("key")
-    own = keyed.select("key", "doc_id").join(full, "key", "left_semi")
+    full = stash(keyed.groupBy("key").count().where(F.col("count") > NEIGHBOURS + 1).select("key"), "near-full")
+    own = keyed.select("key", "doc_id").join(maybe_broadcast(full, full.count()), "key", "left_semi")
     if comp is None:
         own = own.withColumn("c", F.col("doc_id"))
     else:
         own = own.join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    mixed = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    return own.join(mixed, "key", "left_semi").select("doc_id", "c").distinct()
+    own = stash(own, "near-members")
+    mixed = stash(own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "near-mixed")
+    return own.join(maybe_broadcast(mixed, mixed.count()), "key", "left_semi").select("doc_id", "c").distinct()
 
 
 def crowded_pairs(ids: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -220,19 +250,34 @@ def crowded_pairs(ids: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     Shingles are put in one order: those of a single component first, then the rare before the frequent. The first
     common shingle of a link has at least num / den of either set at or behind it, so only shingles as far from the end as that
     are posted, and two postings meet only if what is at or behind them suffices. In a shingle's
-    postings those of the largest component meet the others, never one another.
+    postings those of the largest component meet the others, never one another. Both sides of a shingle with more than HOT
+    postings are dealt over a grid of tasks, and meet only where their sets are of like size, as a link's are.
     """
     rows = sets.join(ids, "doc_id").select("doc_id", "c", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("g"))
-    across = rows.groupBy("g").agg(F.count("*").alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g", "f")
+    across = stash(rows.groupBy("g").agg(F.count("*").alias("f"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g", "f"), "near-across")
     from_end = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("f"), "g"))
-    posts = rows.join(across, "g").withColumn("r", from_end.cast("long")).where(F.col("r") * den >= F.col("n") * num).select("g", "doc_id", "c", "n", "r")
+    posts = rows.join(maybe_broadcast(across, across.count()), "g").withColumn("r", from_end.cast("long")).where(F.col("r") * den >= F.col("n") * num).select("g", "doc_id", "c", "n", "r")
     posts = stash(posts, "near-posts")
-    main = posts.groupBy("g", "c").count().groupBy("g").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-    few = posts.join(main, "g").where("c <> main").drop("main")
-    met = few.join(posts.select("g", *(F.col(k).alias(f"{k}2") for k in ("doc_id", "c", "n", "r"))), "g")
+    main = posts.groupBy("g", "c").count().groupBy("g").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.sum("count").alias("f"), F.max("count").alias("most"))
+    main = stash(main.where("f > most"), "near-main")
+    hot = main.where(F.col("f") > HOT).select("g", "main", F.ceil((F.col("f") - F.col("most")) / HOT).cast("int").alias("across"), F.ceil(F.col("f") / HOT).cast("int").alias("down"))
+    n_hot = hot.count()
+    hot = maybe_broadcast(hot, n_hot)
+    other = ("doc_id", "c", "n", "r")
+    renamed = lambda df: df.withColumnsRenamed({k: f"{k}2" for k in other})
+    cold = posts.join(hot, "g", "left_anti").join(main.select("g", "main"), "g") if n_hot else posts.join(main.select("g", "main"), "g")
+    met = cold.where("c <> main").select("g", *other).join(renamed(cold.select("g", *other)), "g")
+    if n_hot:
+        h = posts.join(hot, "g").withColumn("like", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)) if num < den else F.col("n"))
+        at = lambda c: F.pmod(F.xxhash64("doc_id"), F.col(c)).cast("int")
+        all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        few = h.where("c <> main").withColumn("a", at("across")).withColumn("b", all_of("down")).withColumn("like", F.explode(F.sequence(F.col("like") - 1, F.col("like") + 1)))
+        every = h.withColumn("b", at("down")).withColumn("a", all_of("across"))
+        grid = ["g", "a", "b", "like"]
+        met = met.unionByName(few.select(*grid, *other).join(renamed(every.select(*grid, *other)), grid).select(*met.columns))
     met = met.where((F.col("c") != F.col("c2")) & (F.least("r", "r2") * (den + num) >= (F.col("n") + F.col("n2")) * num))
     out = stash(met.select(F.greatest("doc_id", "doc_id2").alias("x"), F.least("doc_id", "doc_id2").alias("y")).distinct(), "near-crowded")
-    unstash(posts)
+    unstash(posts, main, across)
     return out
 
 
@@ -255,13 +300,24 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     smallest id reachable. A text without words, or null, has an empty set and no link; one with fewer words than
     ``width`` has its whole sequence as shingle. Equal sets are linked without comparison. Ids that repeat are one
     document with several rows: each row gets the smallest component of the id's rows. A null id is a component of its own (null, kept).
+    Of the other columns none is used, whatever their names; an empty table gives an empty one. Thresholds below LEAST_SIMILARITY are
+    refused. What is written for the result is all that stays in the shared folder.
     """
+    if num < LEAST_SIMILARITY * den:
+        raise ValueError(f"the tables are made for similarities of {LEAST_SIMILARITY} and more")
+    with scratch(docs.sparkSession) as kept:
+        out = stash(_near_components(docs, text, key, width, num, den), "near-result")
+        kept.append(out)
+    return out
+
+
+def _near_components(docs: DataFrame, text: str, key: str, width: int, num: int, den: int) -> DataFrame:
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sk = stash(sketch(slim, width), "near-sketch")
     classes = sk.where("n > 0 and doc_id is not null").groupBy("set_hi", "set_lo", "n").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("left", "right", "sig"), "doc_id").alias("s"))
     reps = classes.select(F.col("rep").alias("doc_id"), "s.left", "s.right", "s.sig").dropDuplicates(["doc_id"])
     keyed = stash(buckets(reps), "near-keys")
-    pairs = stash(candidates(keyed), "near-pairs")
+    pairs = stash(candidates(keyed, least_equal(num, den)), "near-pairs")
     links, comp, tried = None, None, None
     for most in PAIRS_A_ROUND:
         todo = pairs if comp is None else _apart(pairs, comp).join(tried, ["x", "y"], "left_anti")

@@ -535,10 +535,13 @@ def test_near_duplicates_as_by_hand(spark, width, num):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
-@pytest.mark.parametrize("neighbours", [0, near_dedup.NEIGHBOURS])
-def test_near_duplicates_in_crowded_buckets(spark, monkeypatch, neighbours):
-    """Buckets with more members than are compared, of linked chains and of texts that share much and are not linked."""
+@pytest.mark.parametrize("neighbours,hot", [(0, near_dedup.HOT), (0, 5), (near_dedup.NEIGHBOURS, 5)])
+def test_near_duplicates_in_crowded_buckets(spark, monkeypatch, neighbours, hot):
+    """Buckets with more members than are compared, and than one task takes, of linked chains and of texts that share much and are not
+    linked."""
     monkeypatch.setattr(near_dedup, "NEIGHBOURS", neighbours)
+    monkeypatch.setattr(near_dedup, "HOT", hot)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 1 if hot == 5 else near_dedup.BROADCAST_ROWS)
     rng = random.Random(4)
     base, texts = prose(rng, 120).split(), []
     for k in range(90):
@@ -559,6 +562,12 @@ def test_near_duplicates_of_odd_tables(spark):
     got = near_dedup.near_components(d, width=3, num=85).collect()
     assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == {(5, 5, True): 3, (9, 5, False): 1, (None, None, True): 2}
     assert near_dedup.near_components(d.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        near_dedup.near_components(d, num=60)
+    for num in (80, 85):
+        k = near_dedup.least_equal(num, 100)
+        below = lambda k: sum(math.comb(32, i) * (num / 100) ** i * (1 - num / 100) ** (32 - i) for i in range(k))  # noqa: B023, E731
+        assert below(k) <= near_dedup.LOST < below(k + 1)
 
 
 def test_components_of_long_chains(spark):

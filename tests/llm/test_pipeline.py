@@ -1,4 +1,7 @@
+import hashlib
 import random
+import re
+from collections import Counter
 
 import corpus_pipeline as C
 from pyspark.sql import functions as F
@@ -53,6 +56,78 @@ def test_run_from_end_to_end(spark, tmp_path):
     assert out.groupBy("shard", "shard_rows").agg(F.count("*").alias("n")).where("n <> shard_rows").count() == 0
 
 
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    texts, _ = make(spark, tmp_path)
+    names = ("score", "predicted", "leak", "words", "n_grams", "size", "source_size", "target", "copies", "doc", "kept", "component_id", "n", "path", "run", "_k", "row")
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumns({c: F.lit(f"own {c}") for c in names})
+    for name, stage in C.STAGES:
+        out = stage(spark, d, str(tmp_path))
+        assert [c for c in out.columns if c in d.columns] == d.columns, name
+        assert out.select(*names).distinct().collect() == [tuple(f"own {c}" for c in names)], name
+        if name != "shards":
+            assert out.columns == d.columns, name
+
+
+def mixed_by_hand(rows):
+    """Copies of each row by the text's rule: weights by source, targets under three times the size, copies by prefix sums."""
+    import math
+
+    from tallyweave.llm import mix_sources as m
+
+    h = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:7], 16)
+    size = {i: len([w for w in re.split(r"[\x20\x09-\x0D]+", r.text or "") if w]) for i, r in enumerate(rows)}
+    name = lambda r: "1" if r.source is None else "0" + r.source
+    total = Counter()
+    for i, r in enumerate(rows):
+        total[name(r)] += size[i]
+    weight = {s: m.WEIGHTS[k % 3] for k, s in enumerate(sorted(total))}
+    target, open_, left = {}, set(total), sum(total.values())
+    while open_:
+        share = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if 3 * total[s] < weight[s] * share}
+        if not full:
+            target |= {s: weight[s] * share for s in open_}
+            break
+        target |= {s: 3 * total[s] for s in full}
+        left -= sum(3 * total[s] for s in full)
+        open_ -= full
+    copies, blocks = Counter(), max(1, -(-len(rows) // m.BLOCK_ROWS))
+    for s in total:
+        own = [i for i, r in enumerate(rows) if name(r) == s]
+        own.sort(key=lambda i: (h(m.SEED + str(rows[i].doc_id)) % blocks, size[i], rows[i].doc_id))
+        rate, shift = (target[s] / total[s] if total[s] else 0.0), h(m.SEED + s) / (1 << 28)
+        for k, i in enumerate(own):
+            copies[rows[i].doc_id] += min(3, math.floor(rate * (k + 1) + shift) - math.floor(rate * k + shift))
+    return copies
+
+
+def test_mix_as_by_hand(spark, tmp_path, monkeypatch):
+    from tallyweave.llm import mix_sources
+
+    make(spark, tmp_path)
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rows = d.collect()
+    for n in (mix_sources.BLOCK_ROWS, 100):
+        monkeypatch.setattr(mix_sources, "BLOCK_ROWS", n)
+        got = Counter(r.doc_id for r in C.mix(spark, d, str(tmp_path)).collect())
+        assert got == +mixed_by_hand(rows)
+
+
+def test_run_leaves_its_result_only(spark, tmp_path):
+    from pathlib import Path
+
+    from tallyweave.llm import common
+
+    make(spark, tmp_path)
+    common.clean_up(spark)
+    folder = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    C.run(spark, str(tmp_path))
+    assert sorted(p.name.split("-")[0] for p in set(folder.iterdir()) - before) == ["pipeline", "shards"]
+    common.clean_up(spark)
+    assert [p.name.split("-")[0] for p in set(folder.iterdir()) - before] == ["shards"]
+
+
 def test_run_on_empty_tables(spark, tmp_path):
     make(spark, tmp_path / "full")
     for t in ("documents", "benchmark", "labels"):
