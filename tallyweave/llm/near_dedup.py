@@ -314,7 +314,7 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
 def _near_components(docs: DataFrame, text: str, key: str, width: int, num: int, den: int) -> DataFrame:
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sk = stash(sketch(slim, width), "near-sketch")
-    classes = sk.where("n > 0 and doc_id is not null").groupBy("set_hi", "set_lo", "n").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("left", "right", "sig"), "doc_id").alias("s"))
+    classes = sk.where("n > 0 and doc_id is not null").groupBy("set_hi", "set_lo", "n").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.min_by(F.struct("left", "right", "sig"), "doc_id").alias("s"))
     reps = classes.select(F.col("rep").alias("doc_id"), "s.left", "s.right", "s.sig").dropDuplicates(["doc_id"])
     keyed = stash(buckets(reps), "near-keys")
     pairs = stash(candidates(keyed, least_equal(num, den)), "near-pairs")
@@ -341,12 +341,16 @@ def _near_components(docs: DataFrame, text: str, key: str, width: int, num: int,
             links = found if links is None else links.unionByName(found)
             comp = components(links.toDF("a", "b"), "near-comp")
     unstash(ids, keyed)
-    # members of a set's class hang under its representative, representatives under their component
-    member = sk.where("n > 0 and doc_id is not null").join(classes.select("set_hi", "set_lo", "n", "rep"), ["set_hi", "set_lo", "n"]).select("doc_id", "rep")
+    # members of a set's class hang under its representative, representatives under their component; large classes are broadcast
+    own = ["set_hi", "set_lo", "n"]
+    label = classes.select(*own, "copies", F.col("rep").alias("component"))
     if comp is not None:
-        member = member.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    else:
-        member = member.select("doc_id", F.col("rep").alias("component"))
+        label = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select(*own, "copies", F.coalesce("component", "rep").alias("component"))
+    label = stash(label, "near-labels")
+    hot = label.where(F.col("copies") > HOT).drop("copies")
+    hot = maybe_broadcast(hot, hot.count())
+    rows = sk.where("n > 0 and doc_id is not null").select("doc_id", *own)
+    member = rows.join(hot, own).unionByName(rows.join(hot.select(*own), own, "left_anti").join(label.where(F.col("copies") <= HOT).drop("copies"), own)).select("doc_id", "component")
     member = member.groupBy("doc_id").agg(F.min("component").alias("component"))
     out = sk.select("doc_id", F.col("n").alias("n_shingles")).join(member, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
