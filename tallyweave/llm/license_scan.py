@@ -1,8 +1,9 @@
 """Licence scan by canonical digests, in built-in functions only.
 
-A text is lower-cased, copyright lines go, punctuation becomes a space and equivalent spellings become one; the digest of
-the whole canonical text is looked up among the digests of known texts. The same lookup runs over the single lines that
-speak of a licence, for notices inside other text.
+A text is lower-cased, copyright lines go, punctuation becomes a space and equivalent spellings, of one word or two, become
+one; the digest of the whole canonical text is looked up among the digests of known texts by a hash join. The same lookup runs
+over the lines and sentences that speak of a licence, for notices inside other text: distinct sets of their digests
+meet the known notices in a join of their own.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import ascii_lower, maybe_broadcast, table
+from tallyweave.llm.common import ascii_lower, maybe_broadcast, stash, table
 
 # Spellings that licence matching guidelines treat as equal, after punctuation has gone.
 EQUIVALENT = (
@@ -55,9 +56,20 @@ EQUIVALENT = (
     ("whilst", "while"),
     ("wilful", "willful"),
 )
+# The same of two words, as they are once punctuation has gone.
+EQUIVALENT_PAIRS = (
+    ("copyright owner", "copyright holder"),
+    ("copyright owners", "copyright holders"),
+    ("non commercial", "noncommercial"),
+    ("per cent", "percent"),
+    ("sub license", "sublicense"),
+    ("sub licence", "sublicense"),
+)
 _COPYRIGHT = r"(?m)^[ \t*#/;>-]*(?:copyright(?:[ \t]*(?:\(c\)|©|:|,)|[ \t]+\d)|\(c\)[ \t]*\d|©|all rights reserved)[^\n]*$"
-_ANY = r"\b(?:" + "|".join(a for a, _ in EQUIVALENT) + r")\b"
+_ANY = r"\b(?:" + "|".join(a for a, _ in (*EQUIVALENT_PAIRS, *EQUIVALENT)) + r")\b"
 _LINE = r"[^\n]*licen[cs][^\n]*"
+#: Where a sentence ends; a line end is none.
+_SENTENCE = r"(?<=[.!?;:])\s+|\n\s*\n"
 
 # Published licence texts and notices.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -114,47 +126,85 @@ NOTICES = (
     ("MIT", "SPDX-License-Identifier: MIT"),
 )
 
+# Digests of the canonical forms of published texts that are too long to stand here.
+DIGESTS = (
+    ("Apache-2.0", "6074c3536c43b739207170b87d1681477d0f07374ed3d862ba461334cce848e3"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+)
+
 
 def canonical(text: Column) -> Column:
     """The text whose digest is looked up; null gives the empty text."""
     bare = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), _COPYRIGHT, "")
     words = F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
-    same = reduce(lambda c, e: F.regexp_replace(c, rf"\b{e[0]}\b", e[1]), EQUIVALENT, words)
-    return F.when(words.rlike(_ANY), same).otherwise(words)
 
+    def same(w: Column) -> Column:
+        spelt = reduce(lambda c, e: F.regexp_replace(c, rf"\b{e[0]}\b", e[1]), (*EQUIVALENT_PAIRS, *EQUIVALENT), w)
+        # a word of a set is found faster than an alternative of a pattern; two words are looked for as they are
+        some = F.arrays_overlap(F.split(w, " "), F.array(*(F.lit(a) for a, _ in EQUIVALENT)))
+        return F.when(some | reduce(lambda a, b: a | b, (F.contains(w, F.lit(a)) for a, _ in EQUIVALENT_PAIRS)), spelt).otherwise(w)
+
+    return F.get(F.transform(F.array(words), same), F.lit(0))
 
-def known_digests(spark: SparkSession, texts: tuple) -> DataFrame:
-    """(digest, license) of known texts; of several names for one digest, the first in order."""
-    rows = F.array(*(F.struct(F.lit(n).alias("license"), F.lit(t).alias("t")) for n, t in texts))
+
+def known_digests(spark: SparkSession, texts: tuple, digests: tuple = ()) -> DataFrame:
+    """(digest, license) of known texts, and of known canonical digests; of several names for one digest, the first in order."""
+    rows = F.array(*(F.struct(F.lit(n).alias("license"), F.lit(t).alias("t"), F.lit(None).cast("string").alias("d")) for n, t in texts), *(F.struct(F.lit(n).alias("license"), F.lit(None).cast("string").alias("t"), F.lit(d).alias("d")) for n, d in digests))
     t = spark.range(1).select(F.inline(rows))
-    return t.groupBy(F.sha2(canonical(F.col("t")), 256).alias("digest")).agg(F.min("license").alias("license"))
+    return t.groupBy(F.coalesce("d", F.sha2(canonical(F.col("t")), 256)).alias("digest")).agg(F.min("license").alias("license"))
+
+
+def candidates(text: Column) -> Column:
+    """The distinct digests, sorted, of the lines and sentences that speak of a licence; null where there is none."""
+    low = ascii_lower(F.coalesce(text, F.lit("")))
+    lines = F.regexp_extract_all(low, F.lit(_LINE), F.lit(0))
+    sentences = F.filter(F.split(low, _SENTENCE), lambda x: x.rlike("licen[cs]"))
+    found = F.array_sort(F.array_distinct(F.transform(F.array_distinct(F.concat(lines, sentences)), lambda x: F.sha2(canonical(x), 256))))
+    return F.when(F.contains(low, F.lit("licen")), F.when(F.size(found) > 0, found))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, notices: tuple = NOTICES, text: str = "text") -> DataFrame:
     """``docs`` with ``digest`` (of the whole canonical text), ``license`` (of ``known(digest, license)``, or null) and
-    ``notices`` (sorted names of the known notices among its lines that speak of a licence).
+    ``notices`` (sorted names of the known notices among its lines and sentences that speak of a licence).
 
     A null or empty text has the digest of the empty text; rows that repeat are judged each; an empty table of either
-    kind is fine; columns of the three names are replaced. The known side is broadcast if its counted rows are few,
-    and else the digests are shuffled.
+    kind is fine; columns of the three names are replaced, all others stay. Whole texts are read, of any length. A known side, or one of
+    distinct sets of notices, is broadcast if its counted rows are few, and else the digests are shuffled.
     """
     own = [c for c in docs.columns if c not in ("digest", "license", "notices")]
     spark = docs.sparkSession
-    # a name and the digest of its notice, evaluated once: as many literals as there are notices
-    named = [(r["license"], r["digest"]) for r in known_digests(spark, notices).orderBy("digest").collect()] if notices else []
-    listed = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(d).alias("d")) for n, d in named)) if named else F.array().cast("array<struct<n:string,d:string>>")
-    low = ascii_lower(F.coalesce(F.col(text), F.lit("")))
-    lines = F.when(F.contains(low, F.lit("licen")), F.transform(F.regexp_extract_all(low, F.lit(_LINE), F.lit(0)), lambda x: F.sha2(canonical(x), 256))).otherwise(F.array().cast("array<string>"))
-    out = docs.select(*own, F.sha2(canonical(F.col(text)), 256).alias("digest"), lines.alias("_lines"))
+    found = candidates(F.col(f"`{text}`"))
+    group = F.sha2(F.array_join(F.col("lines"), ""), 256)
+    sets = docs.select(found.alias("lines")).where("lines IS NOT NULL").select(group.alias("group"), "lines").dropDuplicates(["group"])
+    named = sets.select("group", F.explode("lines").alias("digest")).join(F.broadcast(known_digests(spark, notices)), "digest") if notices else None
     k = known.groupBy("digest").agg(F.min("license").alias("license"))
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("doc"), F.sha2(canonical(F.col(f"`{text}`")), 256).alias("digest"), found.alias("lines"))
     out = out.join(maybe_broadcast(k, k.count()), "digest", "left")
-    found = F.array_sort(F.array_distinct(F.transform(F.filter(listed, lambda x: F.array_contains(F.col("_lines"), x["d"])), lambda x: x["n"])))
-    return out.select(*own, "digest", "license", found.alias("notices"))
+    none = F.array().cast("array<string>")
+    if named is None:
+        out = out.withColumn("notices", none)
+    else:
+        per = stash(named.groupBy("group").agg(F.array_sort(F.collect_set("license")).alias("notices")), "license-notices")
+        # a text without such lines has a group of its own, so that none gathers them
+        own_group = F.when(F.col("lines").isNotNull(), group).otherwise(F.concat(F.lit("-"), F.col("digest")))
+        out = out.withColumn("group", own_group).join(maybe_broadcast(per, per.count(), 100_000), "group", "left").withColumn("notices", F.coalesce("notices", none))
+    return out.select(*(F.col("doc")[c].alias(c) for c in own), "digest", "license", "notices")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan_licenses(docs, known_digests(spark, TEXTS))
+    found = scan_licenses(docs, known_digests(spark, TEXTS, DIGESTS))
     return found.select("doc_id", "digest", "license", F.array_join("notices", ",").alias("notices"))
 
 
@@ -164,16 +214,17 @@ def _sql() -> str:
 
     def canon(x: str) -> str:
         c = f"trim(regexp_replace(regexp_replace(translate({x}, {az}), {lit(_COPYRIGHT)}, '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-        for a, b in EQUIVALENT:
+        for a, b in (*EQUIVALENT_PAIRS, *EQUIVALENT):
             c = f"regexp_replace({c}, '\\b{a}\\b', '{b}', 'g')"
         return c
 
     values = lambda rows: ", ".join(f"({lit(n)}, {lit(t)})" for n, t in rows)
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-k AS (SELECT sha256({canon("t")}) AS digest, min(n) AS license FROM (VALUES {values(TEXTS)}) v(n, t) GROUP BY 1),
+k AS (SELECT digest, min(n) AS license FROM (SELECT sha256({canon("t")}) AS digest, n FROM (VALUES {values(TEXTS)}) v(n, t) UNION ALL SELECT d, n FROM (VALUES {values(DIGESTS)}) w(n, d)) GROUP BY 1),
 q AS (SELECT sha256({canon("t")}) AS digest, min(n) AS n FROM (VALUES {values(NOTICES)}) v(n, t) GROUP BY 1),
-l AS (SELECT doc_id, sha256({canon("x")}) AS digest FROM (SELECT doc_id, unnest(regexp_extract_all(translate(t, {az}), '{_LINE}')) AS x FROM d)),
+l AS (SELECT doc_id, sha256({canon("x")}) AS digest FROM (SELECT doc_id, unnest(regexp_extract_all(translate(t, {az}), '{_LINE}')) AS x FROM d
+ UNION ALL SELECT doc_id, x FROM (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(translate(t, {az}), '\\n\\s*\\n', chr(1), 'g'), '([.!?;:])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS x FROM d) WHERE regexp_matches(x, 'licen[cs]'))),
 f AS (SELECT doc_id, string_agg(n, ',' ORDER BY n) AS notices FROM (SELECT DISTINCT doc_id, n FROM l JOIN q USING (digest)) GROUP BY 1),
 w AS (SELECT doc_id, sha256({canon("t")}) AS digest FROM d)
 SELECT doc_id, digest, license, coalesce(notices, '') AS notices FROM w LEFT JOIN k USING (digest) LEFT JOIN f USING (doc_id)

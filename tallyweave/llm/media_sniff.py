@@ -7,6 +7,7 @@ scanned whole, as Latin-1 characters, which stand for one byte each.
 
 from __future__ import annotations
 
+import re
 import struct
 import sys
 import zlib
@@ -110,39 +111,103 @@ def _riff(form: bytes):  # noqa: ANN202
     return walk
 
 
+def _crc_table(poly: int, bits: int) -> list[int]:
+    top, out = 1 << (bits - 1), []
+    for i in range(256):
+        c = i << (bits - 8)
+        for _ in range(8):
+            c = (c << 1) ^ (poly if c & top else 0)
+        out.append(c & ((1 << bits) - 1))
+    return out
+
+
+_CRC8, _CRC16, _CRC32 = _crc_table(0x07, 8), _crc_table(0x8005, 16), _crc_table(0x04C11DB7, 32)
+
+
+def _flac_frame(b: bytes, i: int) -> tuple[int, int] | None:
+    """(bytes of the header, samples) of a frame whose header's checksum holds."""
+    if i + 6 > len(b) or b[i] != 0xFF or b[i + 1] & 0xFE != 0xF8 or b[i + 3] & 1:
+        return None
+    size, rate, n = b[i + 2] >> 4, b[i + 2] & 15, i + 4
+    if not size or rate == 15:
+        return None
+    lead = b[n]
+    n += 1 if lead < 0x80 else next((k for k in range(2, 8) if not lead & (0x80 >> k)), 8) if lead >= 0xC0 else 99
+    extra = {6: 1, 7: 2}.get(size, 0)
+    samples = 192 if size == 1 else 576 << (size - 2) if size <= 5 else int.from_bytes(b[n : n + extra], "big") + 1 if extra else 256 << (size - 8)
+    n += extra + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if n >= len(b):
+        return None
+    c = 0
+    for x in b[i:n]:
+        c = _CRC8[c ^ x]
+    return (n + 1 - i, samples) if c == b[n] else None
+
+
 def _flac(b: bytes, at: int) -> int | None:
-    i, first = at + 4, True
+    """Metadata blocks by their lengths, then frames by both checksums, until all samples are there (or no frame follows, if the
+    header does not say how many there are)."""
+    i, first, total = at + 4, True, 0
     while i + 4 <= len(b):
-        kind, n = b[i] & 127, int.from_bytes(b[i + 1 : i + 4], "big")
+        kind, n, last = b[i] & 127, int.from_bytes(b[i + 1 : i + 4], "big"), b[i] & 128
         if i + 4 + n > len(b) or (first and (kind != 0 or n != 34)):
             return None
-        last, i, first = b[i] & 128, i + 4 + n, False
+        if first:
+            total = int.from_bytes(b[i + 4 + 13 : i + 4 + 18], "big") & ((1 << 36) - 1)
+        i, first = i + 4 + n, False
         if last:
-            return len(b) - at if b[i : i + 1] == b"\xff" else None
-    return None
+            break
+    else:
+        return None
+    got = 0
+    while not total or got < total:
+        head = _flac_frame(b, i)
+        if not head:
+            break
+        c, end = 0, None
+        for j in range(i, len(b)):
+            c = ((c << 8) ^ _CRC16[(c >> 8) ^ b[j]]) & 0xFFFF
+            # the checksum over a frame and its own checksum is zero
+            if not c and j + 1 - i > head[0] + 2 and (got + head[1] == total or j + 1 == len(b) or _flac_frame(b, j + 1)):
+                end = j + 1
+                break
+        if end is None:
+            return None
+        got, i = got + head[1], end
+    return i - at if got and got >= total else None
 
 
 def _ogg(b: bytes, at: int) -> int | None:
+    """Pages by their lengths and checksums, from one that begins a stream up to the one that ends it."""
     i, pages = at, 0
+    if b[at + 5 : at + 6] < b"\2" or not b[at + 5] & 2:
+        return None
     while b[i : i + 4] == b"OggS" and i + 27 <= len(b) and b[i + 4] == 0:
         n = b[i + 26]
-        if i + 27 + n > len(b):
+        end = i + 27 + n + sum(b[i + 27 : i + 27 + n])
+        if i + 27 + n > len(b) or end > len(b):
             return None
-        last = b[i + 5] & 4
-        i += 27 + n + sum(b[i + 27 : i + 27 + n])
-        if i > len(b):
+        c = 0
+        for x in b[i : i + 22] + b"\0\0\0\0" + b[i + 26 : end]:
+            c = ((c << 8) & 0xFFFFFFFF) ^ _CRC32[(c >> 24) ^ x]
+        if c != struct.unpack_from("<I", b, i + 22)[0]:
             return None
-        pages += 1
+        last, i, pages = b[i + 5] & 4, end, pages + 1
         if last:
             break
     return i - at if pages else None
 
 
 def _mp4(b: bytes, at: int) -> int | None:
+    """Boxes by their lengths, of 32 or 64 bits; one of length 0 runs to the end."""
     i, kinds = at, set()
     while i + 8 <= len(b):
-        n, kind = struct.unpack_from(">I", b, i)[0], b[i + 4 : i + 8]
-        if n < 8 or i + n > len(b) or not kind.isalnum():
+        n, kind, head = struct.unpack_from(">I", b, i)[0], b[i + 4 : i + 8], 8
+        if n == 1 and i + 16 <= len(b):
+            n, head = struct.unpack_from(">Q", b, i + 8)[0], 16
+        elif n == 0:
+            n = len(b) - i
+        if n < head or i + n > len(b) or not kind.isalnum():
             break
         kinds.add(kind)
         i += n
@@ -150,8 +215,16 @@ def _mp4(b: bytes, at: int) -> int | None:
 
 
 def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b.find(b"startxref", at, end) > 0 else None
+    """Up to the last end mark before another file's start, whose startxref names the place of a cross-reference."""
+    limit = b.find(b"%PDF-", at + 5)
+    limit = len(b) if limit < 0 else limit
+    while (end := b.rfind(b"%%EOF", at, limit)) > 0:
+        named = re.search(rb"startxref\s+(\d+)\s*$", b[max(at, end - 64) : end])
+        to = at + int(named[1]) if named else end
+        if to < end and re.match(rb"xref|\d+ \d+ obj", b[to : to + 32]):
+            return end + 5 - at
+        limit = end
+    return None
 
 
 # Magic bytes, where the object begins before them, type, validator.
@@ -187,9 +260,7 @@ def objects(b: bytes, a) -> list[tuple[int, int, str]]:  # noqa: ANN001
     for end, k in a.iter(b.decode("latin-1")):
         magic, before, kind, walk = SIGNATURES[k]
         at = end + 1 - len(magic) - before
-        if before and kind[0] != "v" and b[max(at, 0) : at + 4] != b"RIFF" and at >= 0 and magic != b"ftyp":
-            continue
-        if at < 0 or at < last:
+        if at < 0 or at < last or (before == 8 and b[at : at + 4] != b"RIFF"):
             continue
         n = walk(b, at)
         if n:

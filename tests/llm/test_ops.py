@@ -198,6 +198,58 @@ def test_media_types_are_corrected_and_objects_carved(spark):
     assert media_sniff.sniff_media(df.limit(0)).count() == 0
 
 
+def ogg_page(body, flags):
+    table = [0] * 256
+    for i in range(256):
+        c = i << 24
+        for _ in range(8):
+            c = ((c << 1) ^ 0x04C11DB7) & 0xFFFFFFFF if c & 0x80000000 else (c << 1) & 0xFFFFFFFF
+        table[i] = c
+    raw = b"OggS" + bytes([0, flags]) + bytes(16) + b"%s" + bytes([1, len(body)]) + body
+    c = 0
+    for x in raw.replace(b"%s", bytes(4)):
+        c = ((c << 8) & 0xFFFFFFFF) ^ table[(c >> 24) ^ x]
+    return raw.replace(b"%s", struct.pack("<I", c))
+
+
+def flac():
+    def crc(data, poly, bits):
+        c = 0
+        for x in data:
+            c ^= x << (bits - 8)
+            for _ in range(8):
+                c = (c << 1) ^ (poly if c >> (bits - 1) else 0)
+                c &= (1 << bits) - 1
+        return c
+
+    info = struct.pack(">HH", 192, 192) + bytes(6) + (8000 << 44 | 7 << 36 | 384).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC" + bytes([0x80]) + (34).to_bytes(3, "big") + info
+    for k in range(2):
+        head = bytes([0xFF, 0xF8, 0x14, 0x02, k])
+        frame = head + bytes([crc(head, 7, 8), 0, 77])
+        out += frame + crc(frame, 0x8005, 16).to_bytes(2, "big")
+    return out
+
+
+def test_media_lengths_and_checksums():
+    """Each format at its place with junk behind: its own length; nothing once a byte of what it confirms is changed."""
+    riff = lambda form: b"RIFF" + struct.pack("<I", 16) + form + b"abcd" + struct.pack("<I", 4) + b"1234"
+    box = lambda kind, body: struct.pack(">I", 8 + len(body)) + kind + body
+    wide = struct.pack(">I", 1) + b"mdat" + struct.pack(">Q", 20) + b"wide"
+    body = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\n"
+    pdf = body + b"xref\n0 1\ntrailer <<>>\nstartxref\n%d\n%%%%EOF" % len(body)
+    more = pdf + b"\n2 0 obj\nendobj\n"
+    more += b"xref\n0 1\nstartxref\n%d\n%%%%EOF" % len(more)
+    good = [(riff(b"AVI "), "video/avi", 0), (riff(b"WEBP"), "image/webp", 0), (riff(b"WAVE"), "audio/wav", 3), (box(b"ftyp", b"isom") + wide, "video/mp4", 27), (ogg_page(b"hello", 2) + ogg_page(b"bye", 4), "audio/ogg", 30), (flac(), "audio/flac", 45), (flac(), "audio/flac", len(flac()) - 9), (pdf, "application/pdf", pdf.index(b"xref")), (more, "application/pdf", more.rindex(b"xref\n")), (png(), "image/png", 20)]
+    a = media_sniff.automaton()
+    for data, kind, at in good:
+        assert media_sniff.objects(data + b"junk " * 3, a) == [(0, len(data), kind)] and media_sniff.objects(b"ab" + data, a) == [(2, len(data), kind)]
+        bad = bytearray(data)
+        bad[at] ^= 0x55
+        assert (0, len(data), kind) not in media_sniff.objects(bytes(bad), a), kind
+    assert media_sniff.objects(b"XXXX" + riff(b"AVI ")[4:], a) == []
+
+
 def test_stored_samples_are_the_text(spark, tmp_path):
     texts = [None, "", "x" * 64, "é" * 5000, "RIFF....WAVE data", "GIF89a", "x" * 64]
     docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
@@ -213,22 +265,40 @@ def test_stored_samples_are_the_text(spark, tmp_path):
         with wave.open(w, "wb") as f:
             f.setnchannels(1), f.setsampwidth(1), f.setframerate(media_sniff.RATE), f.writeframes(p)
         assert (r.media_bytes, r.media_sha256) == (len(w.getvalue()), hashlib.sha256(w.getvalue()).hexdigest())
-    assert got[2].feature == got[6].feature
+        assert r.feature == f"audio/wav pcm8 n={len(p)} mean={sum(p) / len(p):.4f} min={min(p)} max={max(p)} embedded=" + r.feature.split("=")[-1]
+    assert got[2].feature == got[6].feature and got[2].feature.endswith("embedded=0")
 
 
 # ---- 4 ----
 
 
-def test_licenses_in_other_clothes(spark):
+def test_licenses_in_other_clothes(spark, monkeypatch):
     texts = [t for _, t in license_scan.TEXTS]
     worn = ["Copyright (c) 2020 Somebody\n\n" + texts[8].upper().replace(" ", "\n  * "), texts[12].replace("acknowledgment", "acknowledgement").replace("'", '"'), texts[8] + " extra", None, "", "a\n# Released under the  MIT licence!\nb", "Released under the MIT License.\n" * 3 + "Licensed under the Apache License, Version 2.0."]
-    d = docs(spark, worn).withColumns({"digest": F.lit("clash"), "_lines": F.lit(1)})
-    got = license_scan.scan_licenses(d.drop("_lines"), license_scan.known_digests(spark, license_scan.TEXTS)).orderBy("doc_id").collect()
-    assert [r.license for r in got] == ["MIT", "Zlib", None, None, None, None, None]
-    assert [r.notices for r in got][5:] == [["MIT"], ["Apache-2.0", "MIT"]]
-    whole = license_scan.scan_licenses(docs(spark, texts), license_scan.known_digests(spark, license_scan.TEXTS)).orderBy("doc_id").collect()
+    worn += [texts[8].replace("sublicense", "sub-licence"), texts[2].replace("COPYRIGHT HOLDER ", "COPYRIGHT OWNER "), "Some words. This work is licensed\nunder the GNU General Public License, version 3. More words.", "Not licensed at all"]
+    clashes = ("_lines", "lines", "doc", "group", "t", "d", "license_", "words")
+    d = docs(spark, worn).withColumns({"digest": F.lit("clash"), **{c: F.lit(f"own {c}") for c in clashes}})
+    known = license_scan.known_digests(spark, license_scan.TEXTS, license_scan.DIGESTS)
+    got = license_scan.scan_licenses(d, known).orderBy("doc_id").collect()
+    assert [r.license for r in got] == ["MIT", "Zlib", None, None, None, None, None, "MIT", "BSD-2-Clause", None, None]
+    assert [r.notices for r in got][5:] == [["MIT"], ["Apache-2.0", "MIT"], [], [], ["GPL-3.0"], []]
+    assert all(r[c] == f"own {c}" for r in got for c in clashes)
+    whole = license_scan.scan_licenses(docs(spark, texts), known).orderBy("doc_id").collect()
     assert [r.license for r in whole] == [n for n, _ in license_scan.TEXTS]
-    assert license_scan.scan_licenses(d.limit(0).drop("_lines"), license_scan.known_digests(spark, license_scan.TEXTS).limit(0)).count() == 0
+    assert license_scan.scan_licenses(d.limit(0), known.limit(0)).count() == 0
+    assert license_scan.scan_licenses(d, known, ()).where("size(notices) > 0").count() == 0
+
+
+def test_known_digests_are_of_the_published_texts(spark):
+    """Where the system has the texts, they are found by their digests, re-wrapped and in capitals too."""
+    from pathlib import Path
+
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    have = [(n, p.read_text()) for n, f in files.items() if (p := Path("/usr/share/common-licenses", f)).exists()]
+    known = license_scan.known_digests(spark, license_scan.TEXTS, license_scan.DIGESTS)
+    for form in (lambda t: t, lambda t: re.sub("(?m)^(?!.*(?i:copyright)).*$", lambda m: m[0].upper(), t)):
+        got = license_scan.scan_licenses(docs(spark, [form(t) for _, t in have]), known).orderBy("doc_id").collect()
+        assert [r.license for r in got] == [n for n, _ in have]
 
 
 # ---- 5 ----
