@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tallyweave.functions import vocabulary as V
 from tallyweave.functions.money import fix_ocr_digits
 from tallyweave.functions.predicates import header_canon
-from tallyweave.operators.layout import char_widths, computed, upper_median, visual_rows
+from tallyweave.operators.layout import char_widths, computed, shared_rows, upper_median, visual_rows
 
 
-def grid_from_ruled(words: DataFrame, rulings: DataFrame) -> DataFrame:
+def grid_from_ruled(words: DataFrame, rulings: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(doc_id, page_no, row_no, cells): a word is in the cell between the rulings around its centre; text that runs over a
     ruling that is not drawn on its row stays in the cell where it began."""
-    r = visual_rows(words).join(rulings, ["doc_id", "page_no"])
+    r = (visual_rows(words) if rows is None else rows).join(rulings, ["doc_id", "page_no"])
     r = computed(r, y=F.expr("aggregate(ws, 0D, (a, w) -> a + (w.top + w.bottom) / 2) / size(ws)"))
     r = computed(r, drawn=F.expr("transform(vlines, v -> exists(v.spans, s -> s.top <= y AND y <= s.bottom))"))
     at = "size(filter(vlines, v -> v.x <= (w.x0 + w.x1) / 2))"
@@ -40,9 +40,9 @@ def white_gap_separators(rows: DataFrame, pages: DataFrame) -> DataFrame:
     return runs.join(gap, ["doc_id", "page_no"]).where("b - a >= gap").select("doc_id", "page_no", ((F.col("a") + F.col("b")) / 2).alias("sep"))
 
 
-def grid_from_words(words: DataFrame, pages: DataFrame, min_rows: int = 3) -> DataFrame:
+def grid_from_words(words: DataFrame, pages: DataFrame, min_rows: int = 3, rows: DataFrame | None = None) -> DataFrame:
     """(doc_id, page_no, row_no, cells) of the pages that look like tables: ``min_rows`` rows with two filled cells at least."""
-    rows = visual_rows(words)
+    rows = shared_rows(words) if rows is None else rows
     seps = white_gap_separators(rows, pages).groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list("sep")).alias("seps"))
     cells = "transform(sequence(0, size(seps)), c -> array_join(transform(filter(ws, w -> size(filter(seps, s -> (w.x0 + w.x1) / 2 > s)) = c), w -> w.text), ' '))"
     g = computed(rows.join(seps, ["doc_id", "page_no"]), cells=F.expr(cells)).select("doc_id", "page_no", "row_no", "cells")

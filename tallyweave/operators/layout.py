@@ -7,6 +7,7 @@ rows, phrases that run on) are folds over a page's or row's sorted words, in the
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,11 +150,17 @@ def merge_wrapped(cells: DataFrame) -> DataFrame:
     return r.select("doc_id", number.cast("long").alias("row_no"), *(F.col("description") if c == "description" else F.col(f"o.{c}").alias(c) for c in V.COLUMNS))
 
 
-def rows_from_words(words: DataFrame, pages: DataFrame) -> DataFrame:
+def shared_rows(words: DataFrame) -> DataFrame:
+    """``visual_rows`` that several steps read: the folds run once. They are held in memory as far as it goes, and on disk; a
+    lost part is computed anew. ``spark.catalog.clearCache()`` lets them go when results are written."""
+    return visual_rows(words).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def rows_from_words(words: DataFrame, pages: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Raw ledger rows of all documents: ``words(doc_id, page_no, word_no, text, x0, x1, top, bottom)`` and ``pages(doc_id, page_no,
     width)`` to (doc_id, row_no, columns). A page without a header uses the columns of an earlier one; before any
-    header there are no rows."""
-    rows = visual_rows(words)
+    header there are no rows. ``rows`` are the words' visual rows, if they are there already."""
+    rows = shared_rows(words) if rows is None else rows
     return merge_wrapped(row_cells(rows, column_bounds(rows, headers(rows), pages)))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import vocabulary as V
 from tallyweave.functions.predicates import filled
 from tallyweave.operators.grid import document_grid, grid_from_ruled, grid_from_words, records_from_grid
-from tallyweave.operators.layout import rows_from_words, visual_rows
+from tallyweave.operators.layout import rows_from_words, shared_rows, visual_rows
 from tallyweave.operators.pairs import pairs_from_text
 from tallyweave.operators.reconcile import normalize_rows, reconcile, summarize
 
@@ -36,9 +36,9 @@ def decide_shape(docs: DataFrame) -> DataFrame:
     return docs.withColumn("document_shape", F.when(kept, "ledger").when(table, "table").otherwise("text"))
 
 
-def page_texts(words: DataFrame) -> DataFrame:
+def page_texts(words: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(doc_id, text): words in reading order, a line a visual row, pages one after the other."""
-    r = visual_rows(words).select("doc_id", F.struct("page_no", "row_no", F.expr("array_join(transform(ws, w -> w.text), ' ')").alias("t")).alias("x"))
+    r = (visual_rows(words) if rows is None else rows).select("doc_id", F.struct("page_no", "row_no", F.expr("array_join(transform(ws, w -> w.text), ' ')").alias("t")).alias("x"))
     return r.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n").alias("text"))
 
 
@@ -49,13 +49,14 @@ def process_words(words: DataFrame, pages: DataFrame, mode: str = "auto") -> dic
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode '{mode}' (expected {', '.join(MODES)})")
-    audited = reconcile(normalize_rows(rows_from_words(words, pages)))
+    rows = shared_rows(words)
+    audited = reconcile(normalize_rows(rows_from_words(words, pages, rows)))
     per = summarize(audited)
     ruled = pages.where("size(vlines) > 0").select("doc_id", "page_no", "vlines")
-    plain = words.join(ruled, ["doc_id", "page_no"], "left_anti")
-    grids = grid_from_ruled(words, ruled).unionByName(grid_from_words(plain, pages))
+    plain = rows.join(ruled.select("doc_id", "page_no"), ["doc_id", "page_no"], "left_anti")
+    grids = grid_from_ruled(words, ruled, rows).unionByName(grid_from_words(words, pages, rows=plain))
     grid = document_grid(grids)
-    texts = page_texts(words)
+    texts = page_texts(words, rows)
     pairs = pairs_from_text(texts)
     d = pages.groupBy("doc_id").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.max(F.coalesce(F.size("vlines") > 0, F.lit(False))).alias("ruled"))
     d = d.join(per, "doc_id", "left").join(grid.groupBy("doc_id").agg(F.count("*").alias("grid_rows")), "doc_id", "left").join(pairs.groupBy("doc_id").agg(F.count("*").alias("pairs")), "doc_id", "left").join(texts, "doc_id", "left")
@@ -63,7 +64,7 @@ def process_words(words: DataFrame, pages: DataFrame, mode: str = "auto") -> dic
     s = decide_shape(d.withColumn("office", F.lit(False)).withColumn("mode", F.lit(mode)))
     s = s.withColumn("ok", F.lit(True)).withColumn("error", F.lit(None).cast("string")).withColumn("text_preview", F.when(F.col("document_shape") != "ledger", F.substring("text", 1, V.PREVIEW_CHARS)))
     shaped = lambda df, shape: df.join(s.where(F.col("document_shape") == shape).select("doc_id"), "doc_id", "left_semi")
-    return {"ledger": shaped(audited, "ledger"), "grid": shaped(grid, "table"), "pairs": shaped(pairs, "table").join(s.where("grid_rows > 0").select("doc_id"), "doc_id", "left_anti"), "summary": s}
+    return {"ledger": shaped(audited, "ledger"), "grid": shaped(grid, "table"), "pairs": shaped(pairs, "table").join(s.where("grid_rows > 0").select("doc_id"), "doc_id", "left_anti"), "summary": s, "texts": texts}
 
 
 def process_grids(grids: DataFrame, mode: str = "auto") -> dict[str, DataFrame]:

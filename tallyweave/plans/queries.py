@@ -18,7 +18,7 @@ from tallyweave.operators.pairs import pairs_from_text
 from tallyweave.operators.reconcile import complete, normalize_rows, reconcile, summarize
 from tallyweave.plans import synth as Y
 from tallyweave.sources.office import parse_grids
-from tallyweave.sources.sinks import ledger_files
+from tallyweave.sources.sinks import grid_files, ledger_files, text_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -245,11 +245,11 @@ def wrapped_descriptions(spark, sf):
     return r.select("doc_id", "row_no", "description", parse_money(F.col("amount")).alias("amount"))
 
 
-@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY m) AS BIGINT) AS row_no, 'Long transfer to supplier account number' AS starts, CAST(price AS DECIMAL(28,6)) AS amount FROM ({_PART}) q")
+@query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY m) AS BIGINT) AS row_no, 'Long transfer to supplier account number ' || CAST(p_partkey % 900 + 100 AS VARCHAR) AS description, CAST(price AS DECIMAL(28,6)) AS amount FROM ({_PART}) q")
 def leaked_token_repair(spark, sf):
     p = _parts(spark, sf).withColumn("date", F.lit("2026-01-02")).withColumn("description", F.concat(F.lit("Long transfer to supplier account number "), (F.col("p_partkey") % 900 + 100).cast("string"))).withColumn("amount", Y.us(F.col("price")))
     r = L.rows_from_words(*_one_page(spark, sf, "part", p.select("doc_id", "page_no", "line", "date", "description", "amount"), {"date": 10, "description": 100, "amount": 420}))
-    return r.select("doc_id", "row_no", F.substring("description", 1, 40).alias("starts"), parse_money(F.col("amount")).alias("amount"))
+    return r.select("doc_id", "row_no", "description", parse_money(F.col("amount")).alias("amount"))
 
 
 @query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY m) AS BIGINT) AS row_no, '01/04/2022' AS date, 'Garage ' || CAST(p_partkey AS VARCHAR) AS description FROM ({_PART}) q")
@@ -405,13 +405,16 @@ def engine_arbitration(spark, sf):
     return P.arbitrate(_readings(spark, sf)).select("doc_id", "source", "verified", "parsed")
 
 
-@query(f"""WITH t AS (SELECT * FROM ({Y.LEDGER}) q), x AS (SELECT *, k % 13 = 0 AS gone, k % 11 = 0 AS wrong FROM t)
+@query(f"""WITH t AS (SELECT * FROM ({Y.LEDGER}) q), x AS (SELECT *, k % 13 = 0 AS gone, k % 11 = 0 AS wrong, k % 17 = 0 AS bad FROM t)
 SELECT CAST(sum(CASE WHEN gone OR wrong THEN 0 ELSE 3 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN NOT gone AND wrong THEN 3 ELSE 0 END) AS BIGINT) AS fp,
- CAST(sum(CASE WHEN gone OR wrong THEN 3 ELSE 0 END) AS BIGINT) AS fn, count(*) FILTER (WHERE NOT gone AND NOT wrong) AS matched, count(*) AS truth_rows, count(*) FILTER (WHERE NOT gone) AS predicted_rows FROM x""")
+ CAST(sum(CASE WHEN gone OR wrong THEN 3 ELSE 0 END) AS BIGINT) AS fn, count(*) FILTER (WHERE NOT gone AND NOT wrong) AS matched, count(*) AS truth_rows, count(*) FILTER (WHERE NOT gone) AS predicted_rows,
+ count(*) FILTER (WHERE bad) AS bad_balances, count(*) FILTER (WHERE bad AND NOT gone AND NOT wrong AND k % 2 = 0) AS bad_caught,
+ printf('%.3f', 2.0 * sum(CASE WHEN gone OR wrong THEN 0 ELSE 3 END) / (2 * sum(CASE WHEN gone OR wrong THEN 0 ELSE 3 END) + sum(CASE WHEN NOT gone AND wrong THEN 3 ELSE 0 END) + sum(CASE WHEN gone OR wrong THEN 3 ELSE 0 END))) AS f1 FROM x""")
 def score_micro_f1(spark, sf):
-    truth = complete(Y.ledger_rows(spark, sf)).withColumn("flag", F.lit(None).cast("string"))
-    said = truth.where("k % 13 <> 0").withColumn("balance", F.when(F.col("k") % 11 == 0, F.concat(F.lit("9"), F.regexp_replace("balance", "[-,]", ""), F.lit("7"))).otherwise(F.col("balance")))
-    return S.score(truth, said).select("tp", "fp", "fn", "matched", "truth_rows", "predicted_rows")
+    rows = complete(Y.ledger_rows(spark, sf))
+    truth = rows.withColumn("flag", F.when(F.col("k") % 17 == 0, "balance mismatch"))
+    said = rows.withColumn("flag", F.when((F.col("k") % 17 == 0) & (F.col("k") % 2 == 0), "seen")).where("k % 13 <> 0").withColumn("balance", F.when(F.col("k") % 11 == 0, F.concat(F.lit("9"), F.regexp_replace("balance", "[-,]", ""), F.lit("7"))).otherwise(F.col("balance")))
+    return S.score(truth, said).select("tp", "fp", "fn", "matched", "truth_rows", "predicted_rows", "bad_balances", "bad_caught", "f1")
 
 
 @query("SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, 'type,date,description,debit,credit,amount,balance,flag,llm_classification' AS columns FROM lineitem GROUP BY 1")
@@ -425,12 +428,32 @@ def json_result(spark, sf):
     return s.select("doc_id", F.to_json(F.struct(*s.columns)).alias("json"))
 
 
-@query(f"SELECT doc_id, 'ledger' AS document_shape, true AS ok FROM ({Y.LEDGER}) q GROUP BY doc_id")
+@query(Y.audit_sql(_BASE) + """SELECT doc_id, 'ledger' AS document_shape, true AS ok, "rows", sign_convention, balance_mismatches, verified, parsed, 'pdf-text' AS sources, CAST(NULL AS VARCHAR) AS text_preview FROM sums""")
 def process_words(spark, sf):
     words, pages = Y.ledger_words(spark, sf)
     none = F.lit(None).cast("array<struct<x:double,spans:array<struct<top:double,bottom:double>>>>")
     out = P.process_words(words, pages.withColumns({"source": F.lit("pdf-text"), "vlines": none}))
-    return out["summary"].select("doc_id", "document_shape", "ok")
+    return out["summary"].select("doc_id", "document_shape", "ok", "rows", "sign_convention", "balance_mismatches", "verified", "parsed", F.array_join("sources", ",").alias("sources"), "text_preview")
+
+
+@query(f"""SELECT CAST(o_custkey AS VARCHAR) AS doc_id, 'table' AS document_shape, count(*) * 3 AS pairs, left(string_agg(t, chr(10) ORDER BY o_orderkey), {V.PREVIEW_CHARS}) AS text_preview
+FROM (SELECT *, 'Order: ' || o_orderkey || ' Status: ' || o_orderstatus || ' Clerk: ' || o_custkey AS t FROM orders) q GROUP BY o_custkey""")
+def process_words_pairs(spark, sf):
+    o = Y.views(spark, sf, "orders")["orders"]
+    t = F.concat(F.lit("Order: "), F.col("o_orderkey").cast("string"), F.lit(" Status: "), F.col("o_orderstatus"), F.lit(" Clerk: "), F.col("o_custkey").cast("string"))
+    line = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("int")
+    words = Y.boxes(o.select(F.col("o_custkey").cast("string").alias("doc_id"), F.lit(0).alias("page_no"), line.alias("line"), t.alias("text"), F.lit(10.0).alias("x")))
+    none = F.lit(None).cast("array<struct<x:double,spans:array<struct<top:double,bottom:double>>>>")
+    pages = words.select("doc_id", "page_no").distinct().withColumns({"width": F.lit(600.0), "source": F.lit("pdf-text"), "vlines": none})
+    out = P.process_words(words, pages)["summary"]
+    return out.select("doc_id", "document_shape", F.col("pairs").cast("long").alias("pairs"), "text_preview")
+
+
+@query(f"SELECT doc_id, count(*) AS kept FROM ({Y.LEDGER}) q GROUP BY doc_id")
+def junk_rows(spark, sf):
+    r = Y.ledger_rows(spark, sf)
+    notes = r.select("doc_id", (-F.col("row_no")).alias("row_no"), F.lit("continued overleaf").alias("description"), F.lit("n/a").alias("balance"))
+    return normalize_rows(complete(r.drop("k")).unionByName(complete(notes))).groupBy("doc_id").agg(F.count("*").alias("kept"))
 
 
 # ---- files -----------------------------------------------------------------------------------------------------------
@@ -446,6 +469,42 @@ def docx_roundtrip(spark, sf):
     return _roundtrip(spark, sf, "docx")
 
 
+def _csv(*cells: str) -> str:
+    """SQL for a line of a CSV file: cells with a comma or a quote in quotes."""
+    quoted = (f"""CASE WHEN contains({c}, ',') OR contains({c}, '"') THEN '"' || replace({c}, '"', '""') || '"' ELSE {c} END""" for c in cells)
+    return " || ',' || ".join(quoted) + " || chr(13) || chr(10)"
+
+
+@query(Y.audit_sql(f"SELECT doc_id, row_no, k, dt, false AS total, false AS opening, d, c, CAST(NULL AS DECIMAL(18,2)) AS a, b FROM ({Y.LEDGER}) q") + f"""SELECT doc_id, sha256(chr(65279) || 'date,description,debit,credit,amount,balance,flag,llm_classification' || chr(13) || chr(10) || string_agg({_csv("strftime(dt, '%Y-%m-%d')", "'Order ' || CAST(k AS VARCHAR)", "coalesce(format('{{:,.2f}}', CAST(d AS DOUBLE)), '')", "coalesce(format('{{:,.2f}}', CAST(c AS DOUBLE)), '')", "''", "format('{{:,.2f}}', CAST(b AS DOUBLE))", "coalesce(flag, '')", "''").replace("{{", "{").replace("}}", "}")}, '' ORDER BY row_no)) AS csv_sha256 FROM f GROUP BY doc_id""")
+def ledger_csv(spark, sf):
+    files = ledger_files(_audit(complete(Y.ledger_rows(spark, sf))))
+    return files.where("kind = 'csv'").select("doc_id", F.sha2("content", 256).alias("csv_sha256"))
+
+
+@query(f"""SELECT p_brand AS doc_id, sha256(chr(65279) || string_agg({_csv("CAST(p_partkey AS VARCHAR)", "p_name", "p_type || ', ' || CAST(p_size AS VARCHAR)")}, '' ORDER BY p_partkey)) AS csv_sha256 FROM part GROUP BY 1""")
+def grid_csv(spark, sf):
+    p = Y.views(spark, sf, "part")["part"]
+    cells = F.array(F.col("p_partkey").cast("string"), "p_name", F.concat_ws(", ", "p_type", F.col("p_size").cast("string")))
+    grid = p.select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("row_no"), cells.alias("cells"))
+    return grid_files(grid).where("kind = 'csv'").select("doc_id", F.sha2("content", 256).alias("csv_sha256"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256(coalesce(text, '')) AS txt_sha256 FROM documents")
+def text_txt(spark, sf):
+    d = Y.views(spark, sf, "documents")["documents"].select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return text_files(d).where("kind = 'txt'").select("doc_id", F.sha2("content", 256).alias("txt_sha256"))
+
+
+@query("SELECT p_brand AS doc_id, 2 * count(*) AS rows, max(p_name) AS last_name FROM part GROUP BY 1")
+def workbook_union(spark, sf):
+    """Two sheets of a workbook are one ledger, in order."""
+    p = Y.views(spark, sf, "part")["part"]
+    rows = p.select(F.col("p_brand").alias("doc_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("grid_no"), F.col("p_partkey").cast("int").alias("row_no"), F.array(F.lit("2026-01-02"), "p_name", Y.us(F.col("p_retailprice"))).alias("cells"))
+    head = rows.select("doc_id", "grid_no", F.lit(-1).alias("row_no"), F.array(F.lit("Date"), F.lit("Description"), F.lit("Amount")).alias("cells")).distinct()
+    out = P.process_grids(rows.unionByName(head))["ledger"]
+    return out.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("description").alias("last_name"))
+
+
 def _roundtrip(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     """Ledgers written as files and read back."""
     files = ledger_files(_audit(Y.ledger_rows(spark, sf))).where(F.col("kind") == kind)
