@@ -167,11 +167,12 @@ def known_digests(spark: SparkSession, texts: tuple, digests: tuple = ()) -> Dat
 
 def candidates(text: Column) -> Column:
     """The distinct digests, sorted, of the lines and sentences that speak of a licence; null where there is none."""
-    low = ascii_lower(F.coalesce(text, F.lit("")))
+    # other texts are empty from here on: what stands in a branch may be evaluated for all rows
+    low = F.when(F.contains(F.lower(text), F.lit("licen")), ascii_lower(text)).otherwise("")
     lines = F.regexp_extract_all(low, F.lit(_LINE), F.lit(0))
     sentences = F.filter(F.split(low, _SENTENCE), lambda x: x.rlike("licen[cs]"))
     found = F.array_sort(F.array_distinct(F.transform(F.array_distinct(F.concat(lines, sentences)), lambda x: F.sha2(canonical(x), 256))))
-    return F.when(F.contains(low, F.lit("licen")), F.when(F.size(found) > 0, found))
+    return F.get(F.filter(F.array(found), lambda x: F.size(x) > 0), F.lit(0))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, notices: tuple = NOTICES, text: str = "text") -> DataFrame:
