@@ -66,7 +66,8 @@ EQUIVALENT_PAIRS = (
     ("sub licence", "sublicense"),
 )
 _COPYRIGHT = r"(?m)^[ \t*#/;>-]*(?:copyright(?:[ \t]*(?:\(c\)|©|:|,)|[ \t]+\d)|\(c\)[ \t]*\d|©|all rights reserved)[^\n]*$"
-_ANY = r"\b(?:" + "|".join(a for a, _ in (*EQUIVALENT_PAIRS, *EQUIVALENT)) + r")\b"
+#: What every line that _COPYRIGHT takes has one of.
+_MARKS = ("copyright", "(c)", "©", "all rights reserved")
 _LINE = r"[^\n]*licen[cs][^\n]*"
 #: Where a sentence ends; a line end is none.
 _SENTENCE = r"(?<=[.!?;:])\s+|\n\s*\n"
@@ -144,10 +145,20 @@ DIGESTS = (
 )
 
 
+def _lower(text: Column) -> Column:
+    """Lower-cases A-Z and nothing else; a text of ASCII by the faster way, which is the same there."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(ascii_lower(text))
+
+
+def _speaks(low: Column) -> Column:
+    return F.contains(low, F.lit("licenc")) | F.contains(low, F.lit("licens"))
+
+
 def canonical(text: Column) -> Column:
     """The text whose digest is looked up; null gives the empty text."""
-    bare = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), _COPYRIGHT, "")
-    words = F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
+
+    def bare(low: Column) -> Column:
+        return F.when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(m)) for m in _MARKS)), F.regexp_replace(low, _COPYRIGHT, "")).otherwise(low)
 
     def same(w: Column) -> Column:
         spelt = reduce(lambda c, e: F.regexp_replace(c, rf"\b{e[0]}\b", e[1]), (*EQUIVALENT_PAIRS, *EQUIVALENT), w)
@@ -155,7 +166,9 @@ def canonical(text: Column) -> Column:
         some = F.arrays_overlap(F.split(w, " "), F.array(*(F.lit(a) for a, _ in EQUIVALENT)))
         return F.when(some | reduce(lambda a, b: a | b, (F.contains(w, F.lit(a)) for a, _ in EQUIVALENT_PAIRS)), spelt).otherwise(w)
 
-    return F.get(F.transform(F.array(words), same), F.lit(0))
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    words = F.trim(F.regexp_replace(once(_lower(F.coalesce(text, F.lit(""))), bare), r"[^\p{L}\p{N}]+", " "))
+    return once(words, same)
 
 
 def known_digests(spark: SparkSession, texts: tuple, digests: tuple = ()) -> DataFrame:
@@ -168,9 +181,10 @@ def known_digests(spark: SparkSession, texts: tuple, digests: tuple = ()) -> Dat
 def candidates(text: Column) -> Column:
     """The distinct digests, sorted, of the lines and sentences that speak of a licence; null where there is none."""
     # other texts are empty from here on: what stands in a branch may be evaluated for all rows
-    low = F.when(F.contains(F.lower(text), F.lit("licen")), ascii_lower(text)).otherwise("")
-    lines = F.regexp_extract_all(low, F.lit(_LINE), F.lit(0))
-    sentences = F.filter(F.split(low, _SENTENCE), lambda x: x.rlike("licen[cs]"))
+    low = F.when(_speaks(F.lower(text)), _lower(text)).otherwise("")
+    # lines by a split and a search: a pattern that starts with any characters tries each of them, which is quadratic in long lines
+    lines = F.filter(F.split(low, "\n"), _speaks)
+    sentences = F.filter(F.split(low, _SENTENCE), _speaks)
     found = F.array_sort(F.array_distinct(F.transform(F.array_distinct(F.concat(lines, sentences)), lambda x: F.sha2(canonical(x), 256))))
     return F.get(F.filter(F.array(found), lambda x: F.size(x) > 0), F.lit(0))
 
@@ -187,7 +201,8 @@ def scan_licenses(docs: DataFrame, known: DataFrame, notices: tuple = NOTICES, t
     spark = docs.sparkSession
     found = candidates(F.col(f"`{text}`"))
     group = F.sha2(F.array_join(F.col("lines"), ""), 256)
-    sets = docs.select(found.alias("lines")).where("lines IS NOT NULL").select(group.alias("group"), "lines").dropDuplicates(["group"])
+    # the few texts that count are told by a search, so that their lines are made once and not in a filter too; a null set has no row
+    sets = docs.where(_speaks(F.lower(F.col(f"`{text}`")))).select(found.alias("lines")).select(group.alias("group"), "lines").dropDuplicates(["group"])
     named = sets.select("group", F.explode("lines").alias("digest")).join(F.broadcast(known_digests(spark, notices)), "digest") if notices else None
     k = known.groupBy("digest").agg(F.min("license").alias("license"))
     out = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("doc"), F.sha2(canonical(F.col(f"`{text}`")), 256).alias("digest"), found.alias("lines"))
