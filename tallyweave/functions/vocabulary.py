@@ -38,3 +38,12 @@ SKEW_DEGREES = 0.3
 TEXT_HEIGHT, LEAST_HEIGHT, MOST_ZOOM = 28, 20, 3.0
 IMAGE_KINDS = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".gif", ".webp", ".heic", ".heif")
 GRID_KINDS = (".xlsx", ".xlsm", ".docx")
+ENGINES = ("winocr", "tesseract")
+LEAST_REREAD = 0.8
+
+# What a result says.
+NO_ENGINE = "This is a scan or photo, and no local OCR engine was found (Windows OCR or Tesseract)."
+NO_HEIC = "HEIC/HEIF photos need the optional 'pillow-heif' package. Or convert the photo to JPG/PNG."
+SAID_TEXT = "Plain text extracted."
+SAID_TABLE = "A table was found (not a ledger, so no balance check)."
+SAID_NOTHING = "No table was detected, so the full text was extracted."

@@ -36,6 +36,16 @@ def decide_shape(docs: DataFrame) -> DataFrame:
     return docs.withColumn("document_shape", F.when(kept, "ledger").when(table, "table").otherwise("text"))
 
 
+def said(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, document_shape, mode, text, error)`` with ok, and for all but ledgers the preview and the message; one with an
+    error has neither shape nor text."""
+    failed = F.col("error").isNotNull()
+    plain = ~failed & (F.col("document_shape") != "ledger")
+    message = F.when(F.col("mode") == "text", V.SAID_TEXT).when(F.col("document_shape") == "table", V.SAID_TABLE).otherwise(V.SAID_NOTHING)
+    d = docs.withColumns({"ok": ~failed, "text_preview": F.when(plain, F.substring(F.coalesce("text", F.lit("")), 1, V.PREVIEW_CHARS)), "message": F.when(plain, message)})
+    return d.withColumn("document_shape", F.when(~failed, F.col("document_shape")))
+
+
 def page_texts(words: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(doc_id, text): words in reading order, a line a visual row, pages one after the other."""
     r = (visual_rows(words) if rows is None else rows).select("doc_id", F.struct("page_no", "row_no", F.expr("array_join(transform(ws, w -> w.text), ' ')").alias("t")).alias("x"))
@@ -62,21 +72,30 @@ def process_words(words: DataFrame, pages: DataFrame, mode: str = "auto") -> dic
     d = d.join(per, "doc_id", "left").join(grid.groupBy("doc_id").agg(F.count("*").alias("grid_rows")), "doc_id", "left").join(pairs.groupBy("doc_id").agg(F.count("*").alias("pairs")), "doc_id", "left").join(texts, "doc_id", "left")
     d = d.na.fill(0, ["rows", "rows_with_balance", "verified", "parsed", "grid_rows", "pairs"]).na.fill(False, ["balance_checked"]).na.fill("unknown", ["sign_convention"])
     s = decide_shape(d.withColumn("office", F.lit(False)).withColumn("mode", F.lit(mode)))
-    s = s.withColumn("ok", F.lit(True)).withColumn("error", F.lit(None).cast("string")).withColumn("text_preview", F.when(F.col("document_shape") != "ledger", F.substring("text", 1, V.PREVIEW_CHARS)))
+    s = said(s.withColumn("error", F.lit(None).cast("string")))
     shaped = lambda df, shape: df.join(s.where(F.col("document_shape") == shape).select("doc_id"), "doc_id", "left_semi")
     return {"ledger": shaped(audited, "ledger"), "grid": shaped(grid, "table"), "pairs": shaped(pairs, "table").join(s.where("grid_rows > 0").select("doc_id"), "doc_id", "left_anti"), "summary": s, "texts": texts}
 
 
 def process_grids(grids: DataFrame, mode: str = "auto") -> dict[str, DataFrame]:
-    """The results of office files given as ``grids(doc_id, grid_no, row_no, cells)``: all sheets of a file are one ledger."""
-    audited = reconcile(normalize_rows(records_from_grid(grids)))
+    """The results of office files given as ``grids(doc_id, grid_no, row_no, cells)``: all sheets of a file are one ledger. A row with an
+    ``error`` stands for a file that could not be read, whose result says so; a file without cells has an empty text."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode '{mode}' (expected {', '.join(MODES)})")
+    error = F.max("error") if "error" in grids.columns else F.lit(None).cast("string")
+    files = grids.groupBy("doc_id").agg(error.alias("error"))
+    audited = reconcile(normalize_rows(records_from_grid(grids.where(F.lit(mode != "text") & F.col("cells").isNotNull()))))
     line = grids.select("doc_id", F.struct("grid_no", "row_no", F.expr("array_join(filter(cells, c -> c <> ''), ' ')").alias("t")).alias("x")).where("x.t <> ''")
     texts = line.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n").alias("text"))
+    texts = files.select("doc_id").join(texts, "doc_id", "left").na.fill("", ["text"])
     pairs = pairs_from_text(texts)
-    d = texts.join(summarize(audited), "doc_id", "left").join(pairs.groupBy("doc_id").agg(F.count("*").alias("pairs")), "doc_id", "left")
+    d = files.join(texts, "doc_id").join(summarize(audited), "doc_id", "left").join(pairs.groupBy("doc_id").agg(F.count("*").alias("pairs")), "doc_id", "left")
     d = d.na.fill(0, ["rows", "rows_with_balance", "verified", "parsed", "pairs"]).na.fill(False, ["balance_checked"]).na.fill("unknown", ["sign_convention"])
-    s = decide_shape(d.withColumns({"office": F.lit(True), "ruled": F.lit(False), "grid_rows": F.lit(0), "mode": F.lit(mode)})).withColumn("sources", F.array(F.lit("grid"))).withColumn("ok", F.lit(True))
-    return {"ledger": audited, "pairs": pairs, "summary": s}
+    s = decide_shape(d.withColumns({"office": F.lit(True), "ruled": F.lit(False), "grid_rows": F.lit(0).cast("long"), "mode": F.lit(mode), "sources": F.array(F.lit("grid"))}))
+    s = said(s)
+    shaped = lambda df, shape: df.join(s.where(F.col("document_shape") == shape).select("doc_id"), "doc_id", "left_semi")
+    no_grid = grids.sparkSession.createDataFrame([], "doc_id string, row_no long, cells array<string>")
+    return {"ledger": shaped(audited, "ledger"), "grid": no_grid, "pairs": shaped(pairs, "table"), "summary": s, "texts": texts}
 
 
 def export_columns(rows: DataFrame) -> DataFrame:

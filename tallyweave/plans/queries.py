@@ -13,12 +13,14 @@ from tallyweave.functions.predicates import date_like, file_kind, header_canon,
 from tallyweave.operators import grid as G
 from tallyweave.operators import layout as L
 from tallyweave.operators import pipeline as P
+from tallyweave.operators import readings as R
 from tallyweave.operators import score as S
 from tallyweave.operators.pairs import pairs_from_text
 from tallyweave.operators.reconcile import complete, normalize_rows, reconcile, summarize
 from tallyweave.plans import synth as Y
 from tallyweave.sources.office import parse_grids
-from tallyweave.sources.sinks import grid_files, ledger_files, text_files
+from tallyweave.sources.results import result_files
+from tallyweave.sources.sinks import grid_files, json_lines, ledger_files, text_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -417,15 +419,55 @@ def score_micro_f1(spark, sf):
     return S.score(truth, said).select("tp", "fp", "fn", "matched", "truth_rows", "predicted_rows", "bad_balances", "bad_caught", "f1")
 
 
+@query(f"""WITH t AS (SELECT * FROM ({Y.LEDGER}) q) SELECT doc_id, count(*) AS matched, 2 * count(*) AS truth_rows, 2 * count(*) AS predicted_rows FROM t GROUP BY 1""")
+def score_mixed_keys(spark, sf):
+    """Two truth rows a day, the first known by its amount and the second by its balance: the first takes the row that both fit."""
+    r = complete(Y.ledger_rows(spark, sf)).withColumn("amount", F.format_number(F.col("k"), 2)).withColumn("date", F.concat("date", F.lit(" "), F.col("k").cast("string"))).withColumns({"debit": F.lit(None).cast("string"), "credit": F.lit(None).cast("string"), "flag": F.lit(None).cast("string")})
+    at = lambda n, **c: r.withColumn("row_no", F.col("row_no") * 2 + n).withColumns({k: F.lit(None).cast("string") if v is None else v for k, v in c.items()})
+    truth = at(0, balance=None).unionByName(at(1, amount=None))
+    said = at(0).unionByName(at(1, balance=F.lit("0.01"), amount=F.lit("0.02")))
+    return S.score(truth, said, ["doc_id"]).select("doc_id", "matched", "truth_rows", "predicted_rows")
+
+
+@query(f"SELECT doc_id, length(coalesce(text, '')) >= {V.TEXT_LAYER_CHARS} AS text_layer FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN left(text, CAST(doc_id % 80 AS INT)) ELSE text END AS text FROM documents) d")
+def text_layer_gate(spark, sf):
+    d = Y.views(spark, sf, "documents")["documents"]
+    t = F.when(F.col("doc_id") % 3 == 0, F.left("text", (F.col("doc_id") % 80).cast("int"))).otherwise(F.col("text"))
+    return d.select("doc_id", R.text_layer(t).alias("text_layer"))
+
+
+@query(f"""SELECT o_orderkey, CASE e WHEN 'auto' THEN 'tesseract' WHEN 'paper' THEN NULL ELSE e END AS source, CASE WHEN e = 'paper' THEN 'unknown engine ''paper'' (expected auto, {", ".join(V.ENGINES)})' END AS error
+FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'auto' WHEN 1 THEN 'winocr' WHEN 2 THEN 'tesseract' ELSE 'paper' END AS e FROM orders) q""")
+def engine_resolve(spark, sf):
+    o = Y.views(spark, sf, "orders")["orders"]
+    k = F.col("o_orderkey") % 4
+    e = F.when(k == 0, "auto").when(k == 1, "winocr").when(k == 2, "tesseract").otherwise("paper")
+    return o.select("o_orderkey", R.resolve_engine(e, ["tesseract"]).alias("r")).select("o_orderkey", "r.*")
+
+
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, count(*) AS first_words,
+ CASE WHEN l_orderkey % 3 <> 0 AND count(*) - CAST(l_orderkey % 2 AS INT) >= 0.8 * count(*) THEN count(*) - CAST(l_orderkey % 2 AS INT) ELSE count(*) END AS words,
+ CASE WHEN l_orderkey % 3 <> 0 THEN 14 ELSE 30 END AS height FROM lineitem GROUP BY l_orderkey""")
+def reread_pages(spark, sf):
+    """Pages of words fourteen or thirty high; the second readings, twice as high, lose a word of every other page."""
+    l = Y.views(spark, sf, "lineitem")["lineitem"]
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    h = F.when(F.col("l_orderkey") % 3 == 0, 30.0).otherwise(14.0)
+    w = l.select(F.col("l_orderkey").alias("k"), F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(0).alias("page_no"), n.alias("line"), n.alias("word_no"), F.lit("w").alias("text"), F.lit(0.0).alias("x0"), F.lit(9.0).alias("x1"), (n * 40.0).alias("top"), (n * 40.0 + h).alias("bottom"))
+    second = w.where("k % 2 = 0 OR word_no > 1").withColumn("bottom", 2 * F.col("bottom") - F.col("top"))
+    first = w.groupBy("doc_id").agg(F.count("*").alias("first_words"))
+    got = R.reread(w.drop("k"), second.drop("k")).groupBy("doc_id").agg(F.count("*").alias("words"), F.max(F.round(F.col("bottom") - F.col("top"))).cast("int").alias("height"))
+    return first.join(got, "doc_id")
+
+
 @query("SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, 'type,date,description,debit,credit,amount,balance,flag,llm_classification' AS columns FROM lineitem GROUP BY 1")
 def export_columns(spark, sf):
     return P.used_columns(complete(_general_rows(spark, sf)))
 
 
-@query()
+@query(Y.audit_sql(_BASE) + """SELECT doc_id, '{"doc_id":"' || doc_id || '","rows":' || "rows" || ',"rows_with_balance":' || rows_with_balance || ',"sign_convention":"' || sign_convention || '","balance_checked":' || CASE WHEN balance_checked THEN 'true' ELSE 'false' END || coalesce(',"balance_mismatches":' || balance_mismatches, '') || ',"verified":' || verified || ',"parsed":' || parsed || '}' AS json FROM sums""")
 def json_result(spark, sf):
-    s = summarize(_audit(Y.ledger_rows(spark, sf)))
-    return s.select("doc_id", F.to_json(F.struct(*s.columns)).alias("json"))
+    return json_lines(summarize(_audit(Y.ledger_rows(spark, sf))))
 
 
 @query(Y.audit_sql(_BASE) + """SELECT doc_id, 'ledger' AS document_shape, true AS ok, "rows", sign_convention, balance_mismatches, verified, parsed, 'pdf-text' AS sources, CAST(NULL AS VARCHAR) AS text_preview FROM sums""")
@@ -495,6 +537,41 @@ def text_txt(spark, sf):
     return text_files(d).where("kind = 'txt'").select("doc_id", F.sha2("content", 256).alias("txt_sha256"))
 
 
+def _office(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Orders as office files by their number: ledgers of one line, forms of three labels, notes, and files that cannot be read."""
+    o = Y.views(spark, sf, "orders")["orders"].select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").cast("string").alias("doc_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("dt"), Y.us(F.col("o_totalprice")).alias("v"))
+    row = lambda *c: F.array(*(F.lit(x) if isinstance(x, str) else x for x in c))
+    n = F.col("doc_id")
+    ledger = F.array(row("Date", "Description", "Amount"), row(F.col("dt"), F.concat(F.lit("Order "), n), F.col("v")))
+    form = F.array(row(F.concat(F.lit("Order: "), n)), row(F.concat(F.lit("Day: "), F.col("dt"))), row(F.concat(F.lit("Sum: "), F.col("v"))))
+    kind = F.col("k") % 4
+    rows = o.select("doc_id", F.posexplode(F.when(kind == 0, ledger).when(kind == 1, form).when(kind == 2, F.array(row(F.concat(F.lit("Note "), n)))).otherwise(F.array(F.lit(None).cast("array<string>")))).alias("row_no", "cells"))
+    return P.process_grids(rows.withColumns({"grid_no": F.lit(0), "error": F.when(F.col("cells").isNull(), "BadZipFile: File is not a zip file")}))
+
+
+_KIND = "CASE o_orderkey % 4 WHEN 0 THEN 'ledger' WHEN 1 THEN 'table' WHEN 2 THEN 'text' END"
+
+
+@query(f"""SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, {_KIND} AS document_shape, o_orderkey % 4 <> 3 AS ok, CASE WHEN o_orderkey % 4 = 3 THEN 'BadZipFile: File is not a zip file' END AS error,
+ CASE o_orderkey % 4 WHEN 1 THEN '{V.SAID_TABLE}' WHEN 2 THEN '{V.SAID_NOTHING}' END AS message, CASE o_orderkey % 4 WHEN 2 THEN 'Note ' || o_orderkey WHEN 1 THEN 'Order: ' || o_orderkey || chr(10) || 'Day: ' || strftime(o_orderdate, '%Y-%m-%d') || chr(10) || 'Sum: ' || format('{{{{:,.2f}}}}', CAST(o_totalprice AS DOUBLE)) END AS text_preview FROM orders""".replace("{{", "{").replace("}}", "}"))
+def process_office(spark, sf):
+    return _office(spark, sf)["summary"].select("doc_id", "document_shape", "ok", "error", "message", "text_preview")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, unnest(CASE o_orderkey % 4 WHEN 0 THEN ['csv', 'docx', 'xlsx'] WHEN 1 THEN ['csv', 'text', 'xlsx'] WHEN 2 THEN ['docx', 'text'] ELSE [] END) AS kind,
+ CAST(o_orderkey AS VARCHAR) || '.' || unnest(CASE o_orderkey % 4 WHEN 0 THEN ['csv', 'docx', 'xlsx'] WHEN 1 THEN ['csv', 'txt', 'xlsx'] WHEN 2 THEN ['docx', 'txt'] ELSE [] END) AS name FROM orders""")
+def files_by_shape(spark, sf):
+    return result_files(_office(spark, sf)).select("doc_id", "kind", "name")
+
+
+@query("""SELECT p_brand AS doc_id, CASE WHEN bool_or(p_partkey % 50 = 0) THEN 'xlsx_error' ELSE 'xlsx' END AS kind FROM part GROUP BY 1 UNION ALL SELECT DISTINCT p_brand, 'csv' FROM part""")
+def optional_file_errors(spark, sf):
+    """Tables of which some hold a control character, which a workbook cannot."""
+    p = Y.views(spark, sf, "part")["part"]
+    cell = F.when(F.col("p_partkey") % 50 == 0, F.concat("p_name", F.lit("\x01"))).otherwise(F.col("p_name"))
+    return grid_files(p.select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").cast("long").alias("row_no"), F.array(cell).alias("cells"))).select("doc_id", "kind")
+
+
 @query("SELECT p_brand AS doc_id, 2 * count(*) AS rows, max(p_name) AS last_name FROM part GROUP BY 1")
 def workbook_union(spark, sf):
     """Two sheets of a workbook are one ledger, in order."""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import sys
 import zipfile
+from collections.abc import Callable
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -18,8 +20,10 @@ from tallyweave.functions.money import parse_money
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: A kind that ends in _error has no file: its content is what went wrong with an optional one.
 FILES = "doc_id string, kind string, content binary"
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 _FILL, _RED = "FFF4CCCC", "FF0000"
 
 
@@ -37,6 +41,24 @@ def _csv(rows: list[list[str]]) -> bytes:
     return b"\xef\xbb\xbf" + out.getvalue().encode()
 
 
+def _printable(*texts: str) -> None:
+    """XML holds no control characters."""
+    if any(_CONTROL.search(t) for t in texts):
+        raise ValueError("a cell or line has control characters, which this kind of file cannot hold")
+
+
+def _tried(kind: str, write: Callable[[], bytes]) -> tuple[str, bytes]:
+    """An optional file, or why there is none: the main one ships in any case."""
+    try:
+        return kind, write()
+    except Exception as e:  # whatever a writer cannot do is told beside the files that it could
+        return f"{kind}_error", str(e).encode()
+
+
+def _frame(doc_id: str, files: list[tuple[str, bytes]]) -> pd.DataFrame:
+    return pd.DataFrame([(doc_id, *f) for f in files], columns=["doc_id", "kind", "content"])
+
+
 def _name(i: int) -> str:
     s = ""
     while i >= 0:
@@ -46,6 +68,7 @@ def _name(i: int) -> str:
 
 def xlsx(title: str, rows: list[list[tuple[str, str | None]]], least: int, bold: bool, flagged: set[int]) -> bytes:
     """A workbook of one sheet; a cell is (text, number or None), flagged rows are filled, columns as wide as their text."""
+    _printable(*(text for row in rows for text, _ in row))
     width: dict[int, int] = {}
     body = []
     for r, row in enumerate(rows):
@@ -83,6 +106,7 @@ def _docx(body: str) -> bytes:
 
 
 def _run(text: str, style: str = "") -> str:
+    _printable(text)
     parts = "<w:br/>".join(f'<w:t xml:space="preserve">{escape(t)}</w:t>' for t in text.split("\n"))
     return f"<w:r>{f'<w:rPr>{style}</w:rPr>' if style else ''}{parts}</w:r>"
 
@@ -113,7 +137,7 @@ def ledger_files(rows: DataFrame) -> DataFrame:
         plain = [cols, *pdf[cols].values.tolist()]
         cells = [[(c, None) for c in cols]] + [[(r[c], r[f"n_{c}"] if c in V.MONEY_COLUMNS and r[f"n_{c}"] is not None else None) for c in cols] for r in pdf.to_dict("records")]
         flagged = {i + 1 for i, f in enumerate(pdf["flag"]) if f}
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "kind": ["csv", "xlsx", "docx"], "content": [_csv(plain), xlsx("Transactions", cells, 8, True, flagged), docx_ledger(plain, cols.index("flag"))]})
+        return _frame(pdf["doc_id"].iloc[0], [("csv", _csv(plain)), _tried("xlsx", lambda: xlsx("Transactions", cells, 8, True, flagged)), _tried("docx", lambda: docx_ledger(plain, cols.index("flag")))])
 
     return rows.select("doc_id", "row_no", *text, *numbers).groupBy("doc_id").applyInPandas(make, FILES)
 
@@ -126,7 +150,7 @@ def grid_files(grid: DataFrame) -> DataFrame:
         pdf = pdf.sort_values("row_no")
         rows = [list(r) for r in pdf["cells"]]
         cells = [list(zip(r, n)) for r, n in zip(rows, pdf["numbers"])]
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "kind": ["csv", "xlsx"], "content": [_csv(rows), xlsx("Table", cells, 10, False, set())]})
+        return _frame(pdf["doc_id"].iloc[0], [("csv", _csv(rows)), _tried("xlsx", lambda: xlsx("Table", cells, 10, False, set()))])
 
     return g.groupBy("doc_id").applyInPandas(make, FILES)
 
@@ -134,12 +158,12 @@ def grid_files(grid: DataFrame) -> DataFrame:
 def text_files(docs: DataFrame) -> DataFrame:
     """txt and docx of ``docs(doc_id, text)``."""
 
-    @F.pandas_udf("binary")
-    def word(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: docx_text(t or ""))
+    @F.pandas_udf("kind string, content binary")
+    def word(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_tried("docx", lambda t=t: docx_text(t or "")) for t in texts], columns=["kind", "content"])
 
-    both = F.array(F.struct(F.lit("txt").alias("kind"), F.coalesce("text", F.lit("")).cast("binary").alias("content")), F.struct(F.lit("docx").alias("kind"), word(F.col("text")).alias("content")))
-    return docs.select("doc_id", F.inline(both))
+    plain = F.struct(F.lit("txt").alias("kind"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return docs.select("doc_id", "text", word(F.col("text")).alias("w")).select("doc_id", F.inline(F.array(plain, "w")))
 
 
 def json_lines(summary: DataFrame) -> DataFrame:
