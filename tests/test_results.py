@@ -151,3 +151,20 @@ def test_command_line(spark, tmp_path, capsys):
     found = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
     assert [x["ok"] for x in found] == [False, True] and found[0]["error"].startswith("file not found")
     assert main(["--health"]) == 0 and set(json.loads(capsys.readouterr().out)) == set(health())
+
+
+def test_a_reader_gives_words_of_other_files(spark, tmp_path):
+    (tmp_path / "slip.pdf").write_bytes(b"x")
+    paths = [str(tmp_path / "slip.pdf"), _sheet(tmp_path / "note.xlsx", ["Nothing to count here"])]
+
+    def reader(files):
+        said = F.split(F.lit("Plain words alone"), " ")
+        w = files.select(F.col("path").alias("doc_id"), F.lit(0).alias("page_no"), F.posexplode(said).alias("word_no", "text"))
+        w = w.select("*", (F.col("word_no") * 50.0).alias("x0"), (F.col("word_no") * 50.0 + 40).alias("x1"), F.lit(10.0).alias("top"), F.lit(20.0).alias("bottom"))
+        none = F.lit(None).cast("array<struct<x:double,spans:array<struct<top:double,bottom:double>>>>")
+        return w, files.select(F.col("path").alias("doc_id"), F.lit(0).alias("page_no"), F.lit(600.0).alias("width"), F.lit("tesseract").alias("source"), none.alias("vlines"))
+
+    out = process(spark, paths, available=["tesseract"], reader=reader)
+    got = {r.doc_id: (r.document_shape, list(r.sources), r.text_preview) for r in out["summary"].collect()}
+    assert got == {paths[0]: ("text", ["tesseract"], "Plain words alone"), paths[1]: ("text", ["grid"], "Nothing to count here")}
+    assert {(r.doc_id, r.name) for r in result_files(out).collect()} == {(paths[0], "slip.txt"), (paths[0], "slip.docx"), (paths[1], "note.txt"), (paths[1], "note.docx")}
