@@ -13,6 +13,9 @@ MONEY = "decimal(28,6)"
 # Full-width forms, no-break and wide spaces: what compatibility folding does to the signs of a money cell.
 _WIDE = "０１２３４５６７８９．，－＋（）＄   　"
 _PLAIN = "0123456789.,-+()$    "
+# Cells that say what they are: plain numbers, and cells without anything that could be a digit, or dates, which are no money.
+_EASY = r"\A-?(?:\d+|\d{1,3}(?:,\d{3})*\.\d\d|\d+\.\d\d)\z"
+_NEVER = r"\A(?:(?!(?s:.*)[oO][.,．，][oO])[^\d０-９]*|\d+-\d+-\d+)\z"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -71,4 +74,5 @@ def parse_money(c: Column) -> Column:
         return F.when(neg, -v).otherwise(v).cast(MONEY)
 
     t = F.trim(F.translate(c, _WIDE, _PLAIN))
-    return F.when(c.isNotNull(), let(t, lambda x: F.when(~x.isin("", "-", "—", "N/A", "n/a", "NA"), parsed(x)))).cast(MONEY)
+    easy = F.replace(c, F.lit(","), F.lit("")).try_cast(MONEY)
+    return F.when(c.rlike(_EASY), easy).when(c.rlike(_NEVER), None).when(c.isNotNull(), let(t, lambda x: F.when(~x.isin("", "-", "—", "N/A", "n/a", "NA"), parsed(x)))).cast(MONEY)

@@ -11,6 +11,10 @@ from tallyweave.functions import vocabulary as V
 from tallyweave.functions.money import let
 
 
+#: What a label that names a column must hold: a word that is an entry, or begins one.
+_NAMED = r"(?<![a-z0-9])(?:" + "|".join(sorted({s.split()[0] for _, entries in V.HEADER_WORDS for s in entries})) + r")(?![a-z0-9])"
+
+
 def header_canon(label: Column) -> Column:
     """The ledger column that a header label names, by whole words, or null; the first in the vocabulary's order wins."""
 
@@ -26,7 +30,7 @@ def header_canon(label: Column) -> Column:
             out = F.when(test, name).otherwise(out)
         return out
 
-    return let(F.regexp_extract_all(F.lower(label), F.lit("[a-z0-9]+"), F.lit(0)), named)
+    return F.when(F.lower(label).rlike(_NAMED), let(F.regexp_extract_all(F.lower(label), F.lit("[a-z0-9]+"), F.lit(0)), named))
 
 
 def date_like(c: Column) -> Column:

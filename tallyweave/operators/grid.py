@@ -72,14 +72,20 @@ def document_grid(grids: DataFrame) -> DataFrame:
 def records_from_grid(grids: DataFrame) -> DataFrame:
     """(doc_id, row_no, ledger columns) of cell grids ``(doc_id, grid_no, row_no, cells)``. The header is the first of the top ten rows
     with two named cells; of columns with one name the last filled one counts; grids follow each other in order."""
-    key = ["doc_id", "grid_no"]
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("row_no"))
-    g = grids.withColumn("i", nth).withColumn("rows", F.count("*").over(Window.partitionBy(*key)))
-    top = computed(g.where(f"i <= {V.HEADER_ROWS}"), names=F.transform("cells", lambda c: header_canon(F.coalesce(c, F.lit("")))))
-    head = top.where("size(filter(names, n -> n IS NOT NULL)) >= 2").groupBy(*key).agg(F.min("i").alias("hi"), F.min_by("names", "i").alias("names"))
-    r = g.join(head, key).where("i > hi AND rows >= 2")
-    value = "get(transform(filter(zip_with(names, cells, (n, c) -> named_struct('n', n, 'c', c)), z -> z.n = '%s' AND trim(z.c) <> ''), z -> replace(trim(z.c), '\n', ' ')), -1 + size(filter(zip_with(names, cells, (n, c) -> named_struct('n', n, 'c', c)), z -> z.n = '%s' AND trim(z.c) <> '')))"
-    r = computed(r.select(*key, "i", "names", F.expr("transform(cells, c -> coalesce(c, ''))").alias("cells")), **{c: F.expr(value % (c, c)) for c in V.COLUMNS})
+    # numbered by document first, so that rows meet once, by document, and all else keeps that order
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("grid_no", "row_no"))
+    grid = Window.partitionBy("doc_id", "grid_no")
+    g = grids.select("doc_id", "grid_no", "row_no", "cells", n.alias("n")).withColumns({"start": F.min("n").over(grid), "rows": F.count("*").over(grid)})
+    names = F.when(F.col("n") - F.col("start") < V.HEADER_ROWS, F.transform("cells", lambda c: header_canon(F.coalesce(c, F.lit("")))))
+    g = computed(g, names=names).withColumn("header", F.expr("size(filter(names, n -> n IS NOT NULL)) >= 2"))
+    # for each ledger column the places of the cells with its name
+    places = F.array(*(F.expr(f"filter(sequence(0, size(names) - 1), i -> get(names, i) = '{c}')") for c in V.COLUMNS))
+    g = g.withColumn("places", F.when(F.col("header"), places))
+    r = g.withColumns({"hi": F.min(F.when(F.col("header"), F.col("n"))).over(grid), "at": F.min_by("places", F.when(F.col("header"), F.col("n"))).over(grid)})
+    r = r.where("n > hi AND rows >= 2").select("doc_id", "n", "cells", *(F.get("at", F.lit(k)).alias(f"at_{c}") for k, c in enumerate(V.COLUMNS)))
+    value = """CASE size(at_{0}) WHEN 0 THEN NULL WHEN 1 THEN replace(nullif(trim(get(cells, get(at_{0}, 0))), ''), '\n', ' ')
+      ELSE replace(try_element_at(filter(transform(at_{0}, i -> trim(get(cells, i))), c -> c <> ''), -1), '\n', ' ') END"""
+    r = computed(r, **{c: F.expr(value.format(c)) for c in V.COLUMNS})
     r = r.where(F.coalesce(*V.COLUMNS).isNotNull())
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("grid_no", "i"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("n"))
     return r.select("doc_id", number.cast("long").alias("row_no"), *V.COLUMNS)

@@ -11,7 +11,7 @@ from tallyweave.functions import vocabulary as V
 def pairs_from_text(docs: DataFrame, min_pairs: int = 3, text: str = "text") -> DataFrame:
     """(doc_id, pos, field, value) of documents with ``min_pairs`` pairs at least; a colon between digits makes none."""
     strip = lambda c, marks: F.regexp_replace(c, rf"^[{marks}]+|[{marks}]+$", "")
-    lines = docs.select("doc_id", F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("line", "t")).withColumn("t", F.trim("t"))
+    lines = docs.select("doc_id", F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("line", "t")).withColumn("t", F.trim("t")).where(F.col("t").rlike("[:•]"))
     each = lambda g: F.regexp_extract_all("t", F.lit(V.PAIR), F.lit(g))
     found = lines.select("doc_id", "line", F.posexplode(F.arrays_zip(each(1).alias("f"), each(2).alias("v"))).alias("n", "p"))
     p = found.select("doc_id", "line", "n", strip(F.col("p.f"), r" .\-").alias("field"), strip(F.col("p.v"), r" .:•\-").alias("value")).where("field <> '' AND value <> ''")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,20 +80,24 @@ def process_words(words: DataFrame, pages: DataFrame, mode: str = "auto") -> dic
 
 def process_grids(grids: DataFrame, mode: str = "auto") -> dict[str, DataFrame]:
     """The results of office files given as ``grids(doc_id, grid_no, row_no, cells)``: all sheets of a file are one ledger. A row with an
-    ``error`` stands for a file that could not be read, whose result says so; a file without cells has an empty text."""
+    ``error`` stands for a file that could not be read, whose result says so; a file without cells has an empty text.
+
+    The audited rows, the pairs and the summary, which several results read, are made once and held (memory, then disk) until
+    ``spark.catalog.clearCache()``."""
+    hold = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)
     if mode not in MODES:
         raise ValueError(f"unknown mode '{mode}' (expected {', '.join(MODES)})")
     error = F.max("error") if "error" in grids.columns else F.lit(None).cast("string")
-    files = grids.groupBy("doc_id").agg(error.alias("error"))
-    audited = reconcile(normalize_rows(records_from_grid(grids.where(F.lit(mode != "text") & F.col("cells").isNotNull()))))
-    line = grids.select("doc_id", F.struct("grid_no", "row_no", F.expr("array_join(filter(cells, c -> c <> ''), ' ')").alias("t")).alias("x")).where("x.t <> ''")
-    texts = line.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n").alias("text"))
-    texts = files.select("doc_id").join(texts, "doc_id", "left").na.fill("", ["text"])
-    pairs = pairs_from_text(texts)
-    d = files.join(texts, "doc_id").join(summarize(audited), "doc_id", "left").join(pairs.groupBy("doc_id").agg(F.count("*").alias("pairs")), "doc_id", "left")
+    audited = hold(reconcile(normalize_rows(records_from_grid(grids.where(F.lit(mode != "text") & F.col("cells").isNotNull())))))
+    line = F.struct("grid_no", "row_no", F.expr("array_join(filter(cells, c -> c <> ''), ' ')").alias("t"))
+    lines = F.array_sort(F.collect_list(F.when(F.col("x.t") != "", F.col("x"))))
+    files = hold(grids.withColumn("x", line).groupBy("doc_id").agg(error.alias("error"), F.array_join(F.transform(lines, lambda x: x["t"]), "\n").alias("text")))
+    texts = files.select("doc_id", "text")
+    pairs = hold(pairs_from_text(texts))
+    d = files.join(summarize(audited), "doc_id", "left").join(pairs.groupBy("doc_id").agg(F.count("*").alias("pairs")), "doc_id", "left")
     d = d.na.fill(0, ["rows", "rows_with_balance", "verified", "parsed", "pairs"]).na.fill(False, ["balance_checked"]).na.fill("unknown", ["sign_convention"])
     s = decide_shape(d.withColumns({"office": F.lit(True), "ruled": F.lit(False), "grid_rows": F.lit(0).cast("long"), "mode": F.lit(mode), "sources": F.array(F.lit("grid"))}))
-    s = said(s)
+    s = hold(said(s))
     shaped = lambda df, shape: df.join(s.where(F.col("document_shape") == shape).select("doc_id"), "doc_id", "left_semi")
     no_grid = grids.sparkSession.createDataFrame([], "doc_id string, row_no long, cells array<string>")
     return {"ledger": shaped(audited, "ledger"), "grid": no_grid, "pairs": shaped(pairs, "table"), "summary": s, "texts": texts}

@@ -21,10 +21,11 @@ ERROR = "doc_id string, error string"
 
 def tables(out: dict[str, DataFrame]) -> DataFrame:
     """(doc_id, row_no, cells) of the documents that are tables: their grid, or their pairs under a header of two columns."""
-    p = out["pairs"]
-    head = p.where("pos = 0").select("doc_id", F.lit(0).cast("long").alias("row_no"), F.array(F.lit("field"), F.lit("value")).alias("cells"))
-    body = p.select("doc_id", (F.col("pos") + 1).cast("long").alias("row_no"), F.array("field", "value").alias("cells"))
-    return out["grid"].select("doc_id", "row_no", "cells").unionByName(head).unionByName(body)
+    row = lambda n, *c: F.struct(n.cast("long").alias("row_no"), F.array(*c).alias("cells"))
+    body = row(F.col("pos") + 1, F.col("field"), F.col("value"))
+    head = row(F.lit(0), F.lit("field"), F.lit("value"))
+    pairs = out["pairs"].select("doc_id", F.inline(F.when(F.col("pos") == 0, F.array(head, body)).otherwise(F.array(body))))
+    return out["grid"].select("doc_id", "row_no", "cells").unionByName(pairs)
 
 
 def result_files(out: dict[str, DataFrame], stem: str | None = None) -> DataFrame:
@@ -33,9 +34,10 @@ def result_files(out: dict[str, DataFrame], stem: str | None = None) -> DataFram
     A name is the document's own, or ``stem``, with the kind's ending. An optional file that cannot be written is a row of the
     kind ``<kind>_error`` without a name, whose content says why; a document with an error has no files.
     """
-    shaped = lambda shape: out["summary"].where(F.col("document_shape") == shape).select("doc_id")
-    texts = lambda shape: text_files(shaped(shape).join(out["texts"], "doc_id", "left").select("doc_id", "text"))
-    files = ledger_files(out["ledger"]).unionByName(grid_files(tables(out))).unionByName(texts("table").where("kind = 'txt'")).unionByName(texts("text"))
+    s = out["summary"]
+    s = s if "text" in s.columns else s.join(out["texts"], "doc_id", "left")
+    texts = lambda shape, *kinds: text_files(s.where(F.col("document_shape") == shape).select("doc_id", "text"), kinds)
+    files = ledger_files(out["ledger"]).unionByName(grid_files(tables(out))).unionByName(texts("table", "txt")).unionByName(texts("text", "txt", "docx"))
     base = F.regexp_replace(F.regexp_extract("doc_id", r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "") if stem is None else F.lit(stem)
     name = F.when(~F.col("kind").endswith("_error"), F.concat_ws(".", base, "kind"))
     return files.select("doc_id", F.when(F.col("kind") == "txt", "text").otherwise(F.col("kind")).alias("kind"), name.alias("name"), "content")
