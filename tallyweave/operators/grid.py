@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyweave.functions import vocabulary as V
 from tallyweave.functions.money import fix_ocr_digits
 from tallyweave.functions.predicates import header_canon
-from tallyweave.operators.layout import char_widths, computed, shared_rows, upper_median, visual_rows
+from tallyweave.operators.layout import char_widths, computed, shared_rows, visual_rows
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Pages whose bins a task counts at once.
+_GAPS = 1000
 
 
 def grid_from_ruled(words: DataFrame, rulings: DataFrame, rows: DataFrame | None = None) -> DataFrame:
@@ -26,18 +39,59 @@ def grid_from_ruled(words: DataFrame, rulings: DataFrame, rows: DataFrame | None
     return r.select("doc_id", "page_no", "row_no", F.expr(cells).alias("cells"))
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Separators of ``_GAPS`` pages at a time. Ink and spans are counted over bins by where they begin and end."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, _GAPS):
+            b = whole.slice(at, _GAPS)
+            width = b["bins"].to_numpy(zero_copy_only=False).astype(np.int64)
+            base = np.concatenate(([0], np.cumsum(width + 1)))
+
+            def parts(c: str, b: pa.RecordBatch = b) -> tuple[np.ndarray, np.ndarray]:
+                """The page of each element of the lists, and the elements."""
+                sizes = pc.list_value_length(b[c]).to_numpy(zero_copy_only=False)
+                return np.repeat(np.arange(b.num_rows), sizes), b[c].flatten().to_numpy(zero_copy_only=False)
+
+            def count(lo: str, hi: str, width: np.ndarray = width, base: np.ndarray = base) -> np.ndarray:
+                (page, first), (_, last) = parts(lo), parts(hi)
+                first, last = np.maximum(first.astype(np.int64), 0), np.minimum(last.astype(np.int64), width[page] - 1)
+                there = last >= first
+                at = base[page[there]]
+                return np.cumsum(np.bincount(at + first[there], minlength=base[-1]) - np.bincount(at + last[there] + 1, minlength=base[-1]))
+
+            spanning, inked = count("lo", "hi"), count("x0", "x1")
+            white = np.concatenate(([0], ((spanning >= 2) & (4 * inked <= spanning)).astype(np.int8), [0]))
+            turns = np.diff(white)
+            first, after = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+            page, sizes = np.searchsorted(base, first, "right") - 1, np.bincount(parts("cw")[0], minlength=b.num_rows)
+            of, cw = parts("cw")
+            cw = cw[np.lexsort((cw, of))]
+            some = sizes > 0
+            gap = np.full(b.num_rows, np.inf)
+            gap[some] = 3 * cw[(np.cumsum(sizes) - sizes + sizes // 2)[some]]
+            wide = after - first >= gap[page]
+            page = page[wide]
+            sep = (first[wide] + after[wide]) / 2 - base[page]
+            yield pa.RecordBatch.from_arrays([*(b[c].take(pa.array(page)) for c in b.schema.names[:-6]), pa.array(sep)], [*b.schema.names[:-6], "sep"])
+
+
+def page_separators(pages: DataFrame) -> DataFrame:
+    """(doc_id, page_no, sep) of ``pages(doc_id, page_no, width, rows)``: middles of the runs of 1-point bins, at least three
+    characters wide, at which no more than a quarter of the rows that span them, two at least, have ink."""
+    key = ["doc_id", "page_no"]
+    p = computed(pages.select(*key, (F.floor("width") + 1).cast("int").alias("bins"), "rows"), ws=F.flatten("rows"))
+    each = lambda ws, x: f"transform({ws}, w -> {x})"
+    row = {"lo": f"int(array_min({each('ws', 'w.x0')}))", "hi": f"int(array_max({each('ws', 'w.x1')}))"}
+    lists = [F.expr(f"transform(rows, ws -> {x})").alias(c) for c, x in row.items()] + [F.expr(each("ws", f"int(w.{c})")).alias(c) for c in ("x0", "x1")]
+    p = p.select(*key, "bins", *lists, F.expr(char_widths("ws")).alias("cw"))
+    schema = T.StructType([p.schema[c] for c in key] + [T.StructField("sep", T.DoubleType())])
+    return p.mapInArrow(_runs, schema)
+
+
 def white_gap_separators(rows: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, page_no, sep): middles of the runs of 1-point bins, at least three characters wide, at which no more than a
-    quarter of the rows that span them, two at least, have ink."""
-    bins = lambda lo, hi: F.expr(f"CASE WHEN least(width - 1, int({hi})) >= greatest(0, int({lo})) THEN sequence(greatest(0, int({lo})), least(width - 1, int({hi}))) END")
-    r = rows.join(pages.select("doc_id", "page_no", (F.floor("width") + 1).cast("int").alias("width")), ["doc_id", "page_no"])
-    span = r.select("doc_id", "page_no", F.explode(bins("array_min(transform(ws, w -> w.x0))", "array_max(transform(ws, w -> w.x1))")).alias("bin"), F.lit(1).alias("s"), F.lit(0).alias("k"))
-    ink = r.select("doc_id", "page_no", "width", F.explode("ws").alias("w")).select("doc_id", "page_no", F.explode(bins("w.x0", "w.x1")).alias("bin"), F.lit(0).alias("s"), F.lit(1).alias("k"))
-    h = span.unionByName(ink).groupBy("doc_id", "page_no", "bin").agg(F.sum("s").alias("spanning"), F.sum("k").alias("inked")).where("spanning >= 2 AND inked <= 0.25 * spanning")
-    run = F.col("bin") - F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("bin"))
-    runs = h.withColumn("run", run).groupBy("doc_id", "page_no", "run").agg(F.min("bin").alias("a"), (F.max("bin") + 1).alias("b"))
-    gap = rows.groupBy("doc_id", "page_no").agg(F.expr("3 * " + upper_median("flatten(collect_list(" + char_widths("ws") + "))")).alias("gap"))
-    return runs.join(gap, ["doc_id", "page_no"]).where("b - a >= gap").select("doc_id", "page_no", ((F.col("a") + F.col("b")) / 2).alias("sep"))
+    """(doc_id, page_no, sep) of visual rows and ``pages(doc_id, page_no, width)``, as ``page_separators`` finds them."""
+    key = ["doc_id", "page_no"]
+    return page_separators(rows.groupBy(*key).agg(F.collect_list("ws").alias("rows")).join(pages.select(*key, "width"), key))
 
 
 def grid_from_words(words: DataFrame, pages: DataFrame, min_rows: int = 3, rows: DataFrame | None = None) -> DataFrame:

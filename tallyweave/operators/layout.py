@@ -34,21 +34,35 @@ def char_widths(ws: str) -> str:
     return f"transform({ws}, w -> (w.x1 - w.x0) / greatest(1, length(w.text)))"
 
 
-def visual_rows(words: DataFrame) -> DataFrame:
-    """(doc_id, page_no, row_no, ws): words clustered into rows by their top, each row sorted from left to right.
+def visual_pages(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``rows``, an array of rows of words, instead of ``words``, an array of (word_no, text, x0, x1, top, bottom):
+    words clustered into rows by their top, each row sorted from left to right.
 
     Words come by rounded top, then left edge; one joins the first row whose first word's top is within the tolerance.
-    In that order only the last two rows can still be within it.
+    In that order only the last two rows can still be within it. Words that follow each other with one top are of one row, and
+    are judged once.
     """
-    item = F.struct(F.bround("top", 1).alias("key"), "x0", "word_no", "text", "x1", "top", "bottom")
-    pages = words.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(item)).alias("p"))
-    pages = pages.withColumn("tol", F.expr(f"greatest(2D, 0.4D * {upper_median('transform(p, w -> w.bottom - w.top)')})"))
-    fold = """aggregate(p, named_struct('n', 0, 'a', cast(null as double), 'b', cast(null as double), 'rows', cast(array() as array<int>)),
-     (s, w) -> CASE WHEN s.a IS NOT NULL AND abs(s.a - w.top) <= tol THEN named_struct('n', s.n, 'a', s.a, 'b', s.b, 'rows', concat(s.rows, array(s.n - 2)))
-      WHEN s.b IS NOT NULL AND abs(s.b - w.top) <= tol THEN named_struct('n', s.n, 'a', s.a, 'b', s.b, 'rows', concat(s.rows, array(s.n - 1)))
-      ELSE named_struct('n', s.n + 1, 'a', s.b, 'b', w.top, 'rows', concat(s.rows, array(s.n))) END).rows"""
-    w = pages.select("doc_id", "page_no", F.posexplode_outer(F.expr(f"zip_with(p, {fold}, (w, r) -> named_struct('w', w, 'r', r))"))).select("doc_id", "page_no", F.col("col.r").alias("row_no"), F.struct(F.col("col.w.x0").alias("x0"), "pos", F.col("col.w.text").alias("text"), F.col("col.w.x1").alias("x1"), F.col("col.w.top").alias("top"), F.col("col.w.bottom").alias("bottom")).alias("w"))
-    return w.groupBy("doc_id", "page_no", "row_no").agg(F.array_sort(F.collect_list("w")).alias("ws"))
+    item = "array_sort(transform(words, w -> named_struct('key', bround(w.top, 1), 'x0', w.x0, 'word_no', w.word_no, 'text', w.text, 'x1', w.x1, 'top', w.top, 'bottom', w.bottom)))"
+    p = computed(pages, p=F.expr(item)).drop("words")
+    tol = F.expr(f"greatest(2D, 0.4D * {upper_median('transform(p, w -> w.bottom - w.top)')})")
+    starts = F.expr("filter(sequence(0, size(p) - 1), i -> i = 0 OR get(p, i).top <> get(p, i - 1).top)")
+    p = computed(p, tol=tol, starts=starts, ws=F.expr("transform(p, (w, i) -> named_struct('x0', w.x0, 'pos', i, 'text', w.text, 'x1', w.x1, 'top', w.top, 'bottom', w.bottom))"))
+    fold = """aggregate(transform(starts, i -> get(p, i).top), named_struct('n', 0, 'a', cast(null as double), 'b', cast(null as double), 'rows', cast(array() as array<int>)),
+     (s, t) -> CASE WHEN s.a IS NOT NULL AND abs(s.a - t) <= tol THEN named_struct('n', s.n, 'a', s.a, 'b', s.b, 'rows', concat(s.rows, array(s.n - 2)))
+      WHEN s.b IS NOT NULL AND abs(s.b - t) <= tol THEN named_struct('n', s.n, 'a', s.a, 'b', s.b, 'rows', concat(s.rows, array(s.n - 1)))
+      ELSE named_struct('n', s.n + 1, 'a', s.b, 'b', t, 'rows', concat(s.rows, array(s.n))) END).rows"""
+    p = computed(p, at=F.expr(fold))
+    # runs of words are rows one by one, unless a row takes several runs
+    run = "slice(ws, get(starts, k) + 1, coalesce(get(starts, k + 1), size(ws)) - get(starts, k))"
+    each = f"transform(at, (r, k) -> array_sort({run}))"
+    some = f"transform(sequence(0, array_max(at)), n -> array_sort(flatten(transform(filter(transform(at, (r, k) -> named_struct('r', r, 'k', k)), z -> z.r = n), z -> {run.replace('k)', 'z.k)').replace('k + 1', 'z.k + 1')}))))"
+    return computed(p, rows=F.expr(f"CASE WHEN array_max(at) = size(at) - 1 THEN {each} ELSE {some} END")).drop("p", "tol", "starts", "ws", "at")
+
+
+def visual_rows(words: DataFrame) -> DataFrame:
+    """(doc_id, page_no, row_no, ws): words clustered into rows as ``visual_pages`` does, a row each."""
+    pages = words.groupBy("doc_id", "page_no").agg(F.collect_list(F.struct("word_no", "text", "x0", "x1", "top", "bottom")).alias("words"))
+    return visual_pages(pages).select("doc_id", "page_no", F.posexplode("rows").alias("row_no", "ws"))
 
 
 def headers(rows: DataFrame) -> DataFrame:

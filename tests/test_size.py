@@ -1,6 +1,7 @@
 """Work that grows with the input is done once and in the cheap place: plans, and results that the cheap way could miss."""
 
 import io
+import random
 import zipfile
 from decimal import Decimal
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.money import parse_money
 from tallyweave.operators import grid as G
+from tallyweave.operators import layout as L
 from tallyweave.plans.queries import QUERIES
 from tallyweave.sources import office
 from tallyweave.sources.office import parse_grids, xlsx_grids
@@ -95,3 +97,47 @@ def test_the_header_of_each_grid_and_the_last_filled_cell_of_a_name(spark):
     late = [("late", 0, i, ["x"]) for i in range(10)] + [("late", 0, 10, ["Date", "Amount"]), ("late", 0, 11, ["d", "1"])]
     got = G.records_from_grid(spark.createDataFrame(rows + late, "doc_id string, grid_no int, row_no int, cells array<string>")).orderBy("doc_id", "row_no").collect()
     assert [(r.doc_id, r.row_no, r.date, r.description, r.amount, r.balance) for r in got] == [("d", 1, "d1", "a", None, "1"), ("d", 2, "d2", "b c", None, None), ("d", 3, None, None, "7", None), ("d", 4, "d3", None, "8", None)]
+
+
+def test_white_gaps_need_no_bin_a_row(spark):
+    df = QUERIES["prose_white_gaps"](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # pages are laid out and judged where their document is
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_white_gaps_by_the_definition_bin_by_bin(spark, monkeypatch):
+    monkeypatch.setattr(G, "_GAPS", 7)
+    rng, pages, words, want = random.Random(11), [], [], set()
+    for n in range(60):
+        width, made = rng.choice([80.0, 120.5, 10.0]), []
+        for top in range(rng.randint(1, 9)):
+            for _ in range(rng.randint(1, 5)):
+                x = rng.choice([rng.uniform(-20, 140), rng.choice([0.0, 40.0, 90.0])])
+                made.append((rng.choice(["", "a", "word"]), x, x + rng.choice([0.0, 5.0, 17.5, 30.25]), 20.0 * top, 20.0 * top + 10))
+        pages.append((str(n % 3), n, width))
+        words += [(str(n % 3), n, i, *w) for i, w in enumerate(made)]
+        rows = {}
+        for w in made:
+            rows.setdefault(w[3], []).append(w)
+        cw = sorted((w[2] - w[1]) / max(1, len(w[0])) for w in made)
+        inside = lambda a, b, x: max(0, int(a)) <= x <= min(int(width), int(b))
+        run = []
+        for x in range(int(width) + 2):
+            spans = sum(inside(min(w[1] for w in r), max(w[2] for w in r), x) for r in rows.values())
+            if x <= width and spans >= 2 and sum(inside(w[1], w[2], x) for w in made) <= 0.25 * spans:
+                run.append(x)
+            elif run:
+                if len(run) >= 3 * cw[len(cw) // 2]:
+                    want.add((str(n % 3), n, (run[0] + run[-1] + 1) / 2))
+                run = []
+    boxes = spark.createDataFrame(words, "doc_id string, page_no int, word_no int, text string, x0 double, x1 double, top double, bottom double")
+    got = [tuple(r) for r in G.white_gap_separators(L.visual_rows(boxes), spark.createDataFrame(pages, "doc_id string, page_no int, width double")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def test_rows_that_come_in_several_runs(spark):
+    # tops that round alike come by their left edge, so that two rows take turns
+    boxes = [("d", 0, i, f"w{i}", 10.0 * i, 10.0 * i + 5, top, top + 4) for i, top in enumerate([5.04, 5.0, 5.04, 7.03, 7.049, 7.0, 7.045, 5.02])]
+    got = L.visual_rows(spark.createDataFrame(boxes, "doc_id string, page_no int, word_no int, text string, x0 double, x1 double, top double, bottom double")).orderBy("row_no").collect()
+    assert [(r.row_no, [w.text for w in r.ws]) for r in got] == [(0, ["w0", "w1", "w2", "w3", "w5", "w7"]), (1, ["w4", "w6"])]
