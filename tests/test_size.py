@@ -141,3 +141,10 @@ def test_rows_that_come_in_several_runs(spark):
     boxes = [("d", 0, i, f"w{i}", 10.0 * i, 10.0 * i + 5, top, top + 4) for i, top in enumerate([5.04, 5.0, 5.04, 7.03, 7.049, 7.0, 7.045, 5.02])]
     got = L.visual_rows(spark.createDataFrame(boxes, "doc_id string, page_no int, word_no int, text string, x0 double, x1 double, top double, bottom double")).orderBy("row_no").collect()
     assert [(r.row_no, [w.text for w in r.ws]) for r in got] == [(0, ["w0", "w1", "w2", "w3", "w5", "w7"]), (1, ["w4", "w6"])]
+
+
+def test_text_of_cells_however_it_is_nested():
+    cells = ("<is><t>a</t></is>", "<is><t/></is>", "<is><r><t>b</t></r><r><t> c</t></r></is>", "<is><t>d</t><r><t>e</t></r></is>", "<is/>", "", "<is><r><t>f</t></r></is>")
+    sheet = f'<worksheet xmlns="{NS}"><sheetData><row>{"".join(f"<c t=\'inlineStr\'>{c}</c>" for c in cells)}</row></sheetData></worksheet>'
+    book = {"xl/workbook.xml": f'<workbook xmlns="{NS}" xmlns:r="{REL}"><sheets><sheet name="s" sheetId="1" r:id="r"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<r><x Id="r" Target="a.xml"/></r>', "xl/a.xml": sheet}
+    assert xlsx_grids(_zip(book)) == [[["a", "", "b c", "de", "", "", "f"]]]
