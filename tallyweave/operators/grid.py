@@ -76,12 +76,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def page_separators(pages: DataFrame) -> DataFrame:
-    """(doc_id, page_no, sep) of ``pages(doc_id, page_no, width, rows)``: middles of the runs of 1-point bins, at least three
+    """(doc_id, page_no, sep) of ``pages(doc_id, page_no, width, rows)``, rows sorted from left to right: middles of the runs of 1-point bins, at least three
     characters wide, at which no more than a quarter of the rows that span them, two at least, have ink."""
     key = ["doc_id", "page_no"]
     p = computed(pages.select(*key, (F.floor("width") + 1).cast("int").alias("bins"), "rows"), ws=F.flatten("rows"))
     each = lambda ws, x: f"transform({ws}, w -> {x})"
-    row = {"lo": f"int(array_min({each('ws', 'w.x0')}))", "hi": f"int(array_max({each('ws', 'w.x1')}))"}
+    row = {"lo": "int(get(ws, 0).x0)", "hi": f"int(array_max({each('ws', 'w.x1')}))"}
     lists = [F.expr(f"transform(rows, ws -> {x})").alias(c) for c, x in row.items()] + [F.expr(each("ws", f"int(w.{c})")).alias(c) for c in ("x0", "x1")]
     p = p.select(*key, "bins", *lists, F.expr(char_widths("ws")).alias("cw"))
     schema = T.StructType([p.schema[c] for c in key] + [T.StructField("sep", T.DoubleType())])

@@ -42,9 +42,10 @@ def visual_pages(pages: DataFrame) -> DataFrame:
     In that order only the last two rows can still be within it. Words that follow each other with one top are of one row, and
     are judged once.
     """
-    item = "array_sort(transform(words, w -> named_struct('key', bround(w.top, 1), 'x0', w.x0, 'word_no', w.word_no, 'text', w.text, 'x1', w.x1, 'top', w.top, 'bottom', w.bottom)))"
+    item = "sort_array(transform(words, w -> named_struct('key', CASE WHEN w.top = floor(w.top) THEN w.top ELSE bround(w.top, 1) END, 'x0', w.x0, 'word_no', w.word_no, 'text', w.text, 'x1', w.x1, 'top', w.top, 'bottom', w.bottom)))"
     p = computed(pages, p=F.expr(item)).drop("words")
-    tol = F.expr(f"greatest(2D, 0.4D * {upper_median('transform(p, w -> w.bottom - w.top)')})")
+    # sort_array compares natively, array_sort by an interpreted function
+    tol = F.expr("greatest(2D, 0.4D * get(sort_array(transform(p, w -> w.bottom - w.top)), int(size(p) div 2)))")
     starts = F.expr("filter(sequence(0, size(p) - 1), i -> i = 0 OR get(p, i).top <> get(p, i - 1).top)")
     p = computed(p, tol=tol, starts=starts, ws=F.expr("transform(p, (w, i) -> named_struct('x0', w.x0, 'pos', i, 'text', w.text, 'x1', w.x1, 'top', w.top, 'bottom', w.bottom))"))
     fold = """aggregate(transform(starts, i -> get(p, i).top), named_struct('n', 0, 'a', cast(null as double), 'b', cast(null as double), 'rows', cast(array() as array<int>)),
@@ -54,8 +55,8 @@ def visual_pages(pages: DataFrame) -> DataFrame:
     p = computed(p, at=F.expr(fold))
     # runs of words are rows one by one, unless a row takes several runs
     run = "slice(ws, get(starts, k) + 1, coalesce(get(starts, k + 1), size(ws)) - get(starts, k))"
-    each = f"transform(at, (r, k) -> array_sort({run}))"
-    some = f"transform(sequence(0, array_max(at)), n -> array_sort(flatten(transform(filter(transform(at, (r, k) -> named_struct('r', r, 'k', k)), z -> z.r = n), z -> {run.replace('k)', 'z.k)').replace('k + 1', 'z.k + 1')}))))"
+    each = f"transform(at, (r, k) -> sort_array({run}))"
+    some = f"transform(sequence(0, array_max(at)), n -> sort_array(flatten(transform(filter(transform(at, (r, k) -> named_struct('r', r, 'k', k)), z -> z.r = n), z -> {run.replace('k)', 'z.k)').replace('k + 1', 'z.k + 1')}))))"
     return computed(p, rows=F.expr(f"CASE WHEN array_max(at) = size(at) - 1 THEN {each} ELSE {some} END")).drop("p", "tol", "starts", "ws", "at")
 
 
